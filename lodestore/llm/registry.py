@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestore.llm import simhash, substring_dedup
+from lodestore.llm import simhash, substring_dedup, suffix_dedup
 
-MODULES = [substring_dedup, simhash]
+MODULES = [substring_dedup, suffix_dedup, simhash]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in MODULES for k, f in getattr(m, "ORACLE", {}).items()}
