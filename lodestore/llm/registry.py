@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestore.llm import langid, simhash, substring_dedup, suffix_dedup
+from lodestore.llm import langid, simhash, substring_dedup, suffix_dedup, winnow
 
-MODULES = [substring_dedup, suffix_dedup, langid, simhash]
+MODULES = [substring_dedup, suffix_dedup, winnow, langid, simhash]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in MODULES for k, f in getattr(m, "ORACLE", {}).items()}
