@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 2
 #: Bytes that one numpy pass looks at; bounds the temporaries of a task.
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -26,6 +26,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(spark: SparkSession) -> int:
+    """Half as many as partitions: blocks times buckets is the number of messages."""
+    return max(1, partitions(spark) // 2)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

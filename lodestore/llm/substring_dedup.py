@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import LAST, Texts, U, among, bucket_of, doubled, in_blocks, joined, minimizer, mix, partitions, read_documents
+from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, in_blocks, joined, minimizer, mix, read_documents
 
 WINDOW = 13
 SEPARATOR = np.zeros(256, bool)
@@ -249,7 +249,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     other; texts shorter than the window keep everything.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    n_buckets = partitions(spark)
+    n_buckets = buckets(spark)
     blocks = in_blocks(docs)
     grouped = lambda: blocks.groupBy("block")
     seeds = grouped().applyInArrow(seeds_told(window, n_buckets), SENT).groupBy("bucket").applyInArrow(seeds_answered, BACK)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import Texts, U, among, bucket_of, doubled, in_blocks, joined, minimizer, mix, partitions, read_documents, runs
+from lodestore.llm.common import Texts, U, among, bucket_of, buckets, doubled, in_blocks, joined, minimizer, mix, read_documents, runs
 from lodestore.llm.substring_dedup import BACK, BACK_PA, SENT, SENT_PA, answer, back_of, firsts, tell, told
 
 LENGTH = 200
@@ -411,7 +411,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
     are texts of their own.  Other columns are ignored.
     """
     gram = min(GRAM, (length + 1) // 2) if gram is None else gram
-    n_buckets = partitions(docs.sparkSession)
+    n_buckets = buckets(docs.sparkSession)
     blocks = in_blocks(docs)
     grouped = lambda: blocks.groupBy("block")
     seeds = grouped().applyInArrow(seeds_told(length, gram, n_buckets), SENT).groupBy("bucket").applyInArrow(seeds_answered(hot), BACK)
