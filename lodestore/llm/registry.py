@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestore.llm import langid, licenses, quality, simhash, substring_dedup, suffix_dedup, winnow
+from lodestore.llm import langid, licenses, quality, simhash, substring_dedup, suffix_dedup, wavelet, winnow
 
-MODULES = [substring_dedup, quality, licenses, suffix_dedup, winnow, langid, simhash]
+MODULES = [substring_dedup, quality, wavelet, licenses, suffix_dedup, winnow, langid, simhash]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in MODULES for k, f in getattr(m, "ORACLE", {}).items()}
