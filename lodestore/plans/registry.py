@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lodestore.plans import retrieval_queries
+
+MODULES = [retrieval_queries]
 FLAGSHIP = "hybrid_topk"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
