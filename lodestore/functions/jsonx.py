@@ -14,9 +14,9 @@ CHOICES = {
     "strategy": (STRATEGIES, "single_column"),
     "width_class": (("narrow", "medium", "wide"), "medium"),
     "image_scale": (("small", "medium", "large"), "medium"),
-    "content_priority": (("balanced", "question_first", "knowledge_first"), "balanced"),
+    "content_priority": (("question_first", "context_first", "balanced"), "balanced"),
     "truncation": (("none", "light", "heavy"), "none"),
-    "font_profile": (("small", "normal", "large"), "normal"),
+    "font_profile": (("compact", "normal", "large"), "normal"),
 }
 
 

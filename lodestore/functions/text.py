@@ -31,15 +31,25 @@ def first_letter(c: Column, letters: str = "A-F", default: str = "A") -> Column:
     return F.coalesce(filled(F.regexp_extract(F.upper(c), f"[{letters}]", 0)), F.lit(default))
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def last_answer(c: Column) -> Column:
-    """The answer letter nearest to the end: a line that states one, a lone letter, a delimited one, any; else A."""
-    up = F.upper(F.trim(c))
-    lines = F.reverse(F.split(up, "\n"))
-    stated = F.transform(lines, lambda x: F.coalesce(filled(F.regexp_extract(x, r"ANSWER\s*(?:IS|:)\s*\(?([A-F])", 1)), filled(F.regexp_extract(F.trim(x), r"^\(?([A-F])\)?[.:]?$", 1))))
-    found = F.get(F.filter(stated, lambda x: x.isNotNull()), F.lit(0))
-    apart = F.regexp_extract_all(up, F.lit(r"(?:^|[^A-Z])([A-F])(?=[^A-Z]|$)"), F.lit(1))
-    some = F.regexp_extract_all(up, F.lit("[A-F]"), F.lit(0))
-    return F.coalesce(found, F.element_at(F.when(F.size(apart) > 0, apart), -1), F.element_at(F.when(F.size(some) > 0, some), -1), F.lit("A"))
+    """The answer letter nearest to the end, else A.
+
+    Lines from the last up: one that states an answer, or a letter by itself; then the last letter between
+    delimiters, then the last letter of any kind.
+    """
+    s = strip(c)
+    lines = F.transform(F.reverse(F.split(s, "\n")), strip)
+    stated = lambda x: filled(F.regexp_extract(x, r"(?i)answer\s*(?:is|:)\s*\(?([A-F])\)?", 1))
+    lone = lambda x: filled(F.regexp_extract(x, r"^[\s*(\[]*([A-Fa-f])[\s*)\].:]*$", 1))
+    found = F.get(F.filter(F.transform(lines, lambda x: F.coalesce(stated(x), lone(x))), lambda x: x.isNotNull()), F.lit(0))
+    apart = F.regexp_extract_all(s, F.lit(r"(?:^|[\s*(\[])([A-Fa-f])(?:[\s*)\].,;:!?]|$)"), F.lit(1))
+    some = F.regexp_extract_all(F.upper(s), F.lit("[A-F]"), F.lit(0))
+    last = lambda a: F.element_at(F.when(F.size(a) > 0, a), -1)
+    return F.coalesce(F.upper(F.coalesce(found, last(apart))), last(some), F.lit("A"))
 
 
 def letter(i: Column) -> Column:

@@ -82,10 +82,12 @@ def answer_letters(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_letter(c).alias("first"), T.first_letter(c, "A-H", "").alias("first_h"), T.last_answer(c).alias("last"))
 
 
-_LAST = """coalesce(
-  list_filter(list_transform(list_reverse(string_split(upper(trim(text)), chr(10))), lambda x: coalesce(nullif(regexp_extract(x, 'ANSWER\\s*(?:IS|:)\\s*\\(?([A-F])', 1), ''), nullif(regexp_extract(trim(x), '^\\(?([A-F])\\)?[.:]?$', 1), ''))), lambda x: x is not null)[1],
-  list_filter(regexp_extract_all(upper(trim(text)), '[A-Z]+|[^A-Z]+'), lambda x: regexp_full_match(x, '[A-F]'))[-1],
-  regexp_extract_all(upper(trim(text)), '[A-F]')[-1], 'A')"""
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_LAST = f"""coalesce(upper(coalesce(
+  list_filter(list_transform(list_reverse(string_split({_STRIP.format('text')}, chr(10))), lambda x: coalesce(nullif(regexp_extract({_STRIP.format('x')}, '(?i)answer\\s*(?:is|:)\\s*\\(?([A-F])\\)?', 1), ''),
+    nullif(regexp_extract({_STRIP.format('x')}, '^[\\s*(\\[]*([A-Fa-f])[\\s*)\\].:]*$', 1), ''))), lambda x: x is not null)[1],
+  regexp_extract_all({_STRIP.format('text')}, '(?:^|[\\s*(\\[])([A-Fa-f])(?:[\\s*)\\].,;:!?]|$)', 1)[-1])),
+  regexp_extract_all(upper(text), '[A-F]')[-1], 'A')"""
 
 
 def prompts(spark, sf_dir):
@@ -101,7 +103,7 @@ def record_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     none = F.array().cast("array<string>")
     choices = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(none)
-    return d.select("doc_id", T.record_blocks(header=[F.col("source"), F.lit(""), F.col("lang")], labelled=[("Context", F.col("text")), ("Hint", F.when(F.col("doc_id") % 4 == 0, F.col("lang")))], choices=choices, fallback=F.to_json(F.struct("doc_id", "lang"))).alias("blocks"))
+    return d.select("doc_id", T.record_blocks(header=[F.col("source"), F.lit(""), F.col("lang")], labelled=[("Context", F.col("text")), ("Hint", F.when(F.col("doc_id") % 4 == 0, F.col("lang")))], choices=choices, fallback=F.to_json(F.struct("doc_id", "lang"))).alias("blocks")).select("doc_id", F.array_join("blocks", "\n\n").alias("blocks"), F.size("blocks").alias("n_blocks"))
 
 
 def json_decisions(spark, sf_dir):
@@ -214,8 +216,8 @@ concat_ws(chr(10), {_ASK}, 'Answer:') v0, concat_ws(chr(10), 'You answer multipl
 concat_ws(chr(10), 'Use the pictures of earlier questions if they help.', {_ASK}, 'Think step by step, then give the letter.') v2,
 concat_ws(chr(10), case p_partkey % 3 when 1 then 'Memories:' || chr(10) || '1) ' || p_type when 2 then 'Memories:' || chr(10) || '1) ' || p_type || chr(10) || '2) ' || p_brand end, {_ASK}, 'The answer is:') v3,
 trim(p_name || ' ' || coalesce({_HINT}, '')) as query, concat_ws(' ', p_type, p_name, {_HINT}, concat_ws(' ', p_brand, p_type, p_size)) as memory from part""",
-    "record_blocks": """select doc_id, list_filter([concat_ws(' | ', source, lang), 'Context: ' || nullif(text, ''), case when doc_id % 4 = 0 then 'Hint: ' || lang end,
-case when doc_id % 2 = 0 then 'A. ' || lang || chr(10) || 'B. ' || source end], lambda x: x is not null) blocks from documents""",
+    "record_blocks": """with r as (select doc_id, list_filter([concat_ws(' | ', source, lang), 'Context: ' || nullif(text, ''), case when doc_id % 4 = 0 then 'Hint: ' || lang end,
+case when doc_id % 2 = 0 then 'A. ' || lang || chr(10) || 'B. ' || source end], lambda x: x is not null) b from documents) select doc_id, array_to_string(b, chr(10) || chr(10)) blocks, len(b)::int n_blocks from r""",
     "json_decisions": f"""{_RESPONSE}, a as (select *, case when not ok then case when cand then 'APPEND' else 'CREATE' end when upper(act) in ('CREATE', 'APPEND', 'NOOP') then upper(act) else 'NOOP' end as action from e)
 select event_id, action, case when action = 'APPEND' then case when ok and cand and cid in ('c1', 'c3') then cid when cand then 'c1' end end canvas_id, case when ok then event_type end topic from a""",
     "metadata_json": "select event_type, count((props ->> '$.k')::int) n, sum((props ->> '$.k')::int)::bigint total, count_if((props ->> '$.k')::int = 7)::bigint sevens, 0::bigint missing from events group by 1",
