@@ -79,6 +79,7 @@ def simulate(steps: DataFrame, candidates: DataFrame, sizes: DataFrame, interval
     spark = steps.sparkSession
     _shared_folder(spark)
     n = steps.count()
+    candidates = candidates.select("query_id", "mem_id", "rank").checkpoint()
     state = sizes.select("mem_id", "size", F.lit(0).alias("quality"), F.lit(0).cast("long").alias("hits")).checkpoint()
     snapshots = None
     at = 0

@@ -77,7 +77,7 @@ def last_access(spark, sf_dir):
 def simulated(spark, sf_dir, interval: int = 40, threshold: int = 0, epochs: int = 3):
     q, k, _ = sides(spark, sf_dir)
     found = R.candidates(q, k, 30).where(F.col("ord") != F.col("query_id"))
-    found = found.select("query_id", F.col("ord").alias("mem_id"), "rank").checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else found.select("query_id", F.col("ord").alias("mem_id"), "rank")
+    found = found.select("query_id", F.col("ord").alias("mem_id"), "rank")
     steps = q.select("query_id", (F.row_number().over(Window.orderBy("query_id")) - 1).alias("step"))
     sizes = memories(spark, sf_dir).select(F.col("ord").alias("mem_id"), (F.lit(1000) + F.pmod(F.col("ord") * 37, F.lit(500))).alias("size"))
     return G.simulate(steps, found, sizes, interval, threshold, epochs)

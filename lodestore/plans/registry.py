@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestore.plans import analytics_queries, retrieval_queries, text_queries
+from lodestore.plans import analytics_queries, layout_queries, retrieval_queries, stream_queries, text_queries
 
-MODULES = [retrieval_queries, text_queries, analytics_queries]
+MODULES = [retrieval_queries, text_queries, analytics_queries, layout_queries, stream_queries]
 FLAGSHIP = "hybrid_topk"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
