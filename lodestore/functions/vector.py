@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once although use may name it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    scaled = lambda v, n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return let(a, lambda v: let(norm(v), lambda n: scaled(v, n)))
 
 
 def hybrid_key(image: Column, text: Column, alpha: float) -> Column:

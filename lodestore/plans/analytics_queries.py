@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestore.functions import vector as V
+from lodestore.functions import models as N
+from lodestore.operators import agent as A
 from lodestore.operators import evaluation as E
 from lodestore.operators import forgetting as G
 from lodestore.operators import memory as B
@@ -251,7 +253,31 @@ def mean_pooled(spark, sf_dir):
     return e.select("label", F.posexplode(V.mean_pool(F.transform("t", lambda x: x["embedding"]))).alias("place", "x")).select("label", "place", F.round("x", 6).alias("mean"))
 
 
+def canvas_replay(spark, sf_dir):
+    """Events as canvas actions: topics by user, a new canvas at each signup."""
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "NOOP").otherwise("append")
+    log = e.select(F.col("event_id").alias("ord"), action.alias("action"), F.concat(F.lit("u"), "user_id").alias("topic"), F.col("event_type").alias("text"))
+    return A.replay(log, 8)
+
+
+def batch_outcomes(spark, sf_dir):
+    """New memories (every 50th) resolved against the bank of all others in one batch."""
+    q, k, _ = sides(spark, sf_dir, 1)
+    near = R.nearest(q, k.where(F.col("ord") % EVERY != 0))
+    return A.resolve_batch(near.withColumn("action", R.duplicate_action(F.col("sim"), 0.45, 0.30)))
+
+
+def stub_answers(spark, sf_dir):
+    """Hash answers to questions about parts; rows only, as DuckDB has no XXH64."""
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", N.get("first_choice")(F.col("p_name"), F.array("p_brand", "p_type")).alias("answer"), F.round(V.norm(N.get("hash_embedding")(F.col("p_name"))), 4).alias("norm"))
+
+
 QUERIES = {
+    "canvas_replay": canvas_replay,
+    "batch_outcomes": batch_outcomes,
+    "stub_answers": stub_answers,
     "labelled_documents": labelled_documents,
     "label_frequency": label_frequency,
     "store_statistics": store_statistics,
@@ -291,6 +317,13 @@ _RATIO = "case quality when 0 then 1.0::double when 1 then 0.5795::double when 2
 _SPARE = "greatest((select count(*) from b) - 150, 0)"
 
 ORACLE = {
+    "canvas_replay": """with l as (select event_id, event_type, 'u' || user_id topic, sum((event_type = 'signup')::int) over (partition by user_id order by event_id rows unbounded preceding) run from events where event_type <> 'error'),
+r as (select *, (row_number() over (partition by topic, run order by event_id) - 1) // 8 part from l), g as (select topic, run, part, count(*) n_items, list(event_type order by event_id) i, min(event_id) created_at, max(event_id) last_at from r group by 1, 2, 3)
+select topic || '-' || run || '-' || part canvas, case when part > 0 then topic || ' (cont.)' else topic end topic, n_items, array_to_string(i[greatest(len(i) - 4, 1):], ' | ')[1:200] summary, created_at, last_at from g""",
+    "batch_outcomes": f"""{sql_scores(1)}, {sql_rank("s", "t", 1, f"ord % {EVERY} <> 0")},
+n as (select q.query_id, t.ord neighbour, t.sim, case when t.sim >= 0.45 then 'REMAIN' when t.sim >= 0.30 then 'MERGE' else 'ADD' end a from q left join (select * from t where sim >= 0) t using (query_id)),
+r as (select *, row_number() over (partition by neighbour order by sim desc, query_id) n from n)
+select query_id, case when a = 'REMAIN' then 'kept' when a = 'MERGE' and n = 1 then 'merged' else 'added' end outcome, case when a = 'MERGE' and n = 1 then neighbour end target from r""",
     "labelled_documents": f"with {_LINES}, k as (select doc_id, arg_max(q, ord) q, arg_max(t, ord) t from l where not noparen and not nocolon group by 1) select d.doc_id, lang, 'q' || q topic, 't' || t modality from documents d left join k using (doc_id)",
     "label_frequency": f"with {_LINES} select 'q' || q a, 't' || t b, count(*) n, min(ord) first_line from l where not noparen group by all",
     "store_statistics": f"with {BANK} select coalesce(category, '(all)') category, count(*) n, sum(size)::bigint bytes from b group by rollup (category)",
