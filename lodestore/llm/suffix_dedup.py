@@ -435,3 +435,20 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_suffix_array_dedup": op5_suffix_array_dedup}
+
+#: Two hexadecimal digits for each byte, as strings can be cut in SQL and blobs cannot.
+ORACLE = {
+    "op5_suffix_array_dedup": """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+p as (select doc_id, i, md5(substr(h, 2 * i - 1, 400)) g from t, unnest(range(1, greatest(length(h) // 2 - 198, 1))) r(i)),
+again as (select g from p group by g having count(*) > 1),
+s as (select doc_id, i, lag(i) over w b, lead(i) over w n from (select doc_id, i from p semi join again using (g)) window w as (partition by doc_id order by i)),
+x as (select doc_id, sum(least(200, coalesce(n - i, 200)))::bigint n_removed, count_if(b is null or i - b > 200)::bigint n_spans from s group by 1),
+-- what stays before each removed run, and behind the last one
+k as (select s.doc_id, i, substr(h, 2 * (coalesce(b + 200, 1)) - 1, 2 * (i - coalesce(b + 200, 1))) part from s join t using (doc_id) where b is null or i - b > 200
+  union all select s.doc_id, i + 200, substr(h, 2 * (i + 200) - 1) from s join t using (doc_id) where n is null),
+j as (select doc_id, string_agg(part, '' order by i) kept from k group by 1)
+select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256
+from t left join x using (doc_id) left join j using (doc_id)
+"""
+}
