@@ -52,12 +52,13 @@ def stream_access(spark, sf_dir):
 def late_windows(spark, sf_dir):
     """Closed windows only: those that the watermark has passed by the end."""
     rows = A.windowed_counts(stream(spark, sf_dir), "6 hours", "1 hour")
-    return finished(spark, rows, "late", "append")
+    return finished(spark, rows, "late", "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def sessions(spark, sf_dir):
     rows = A.sessions(stream(spark, sf_dir), "30 minutes", "1 hour")
-    return finished(spark, rows, "sessions", "append")
+    out = finished(spark, rows, "sessions", "append")
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
 
 
 def jsonl_round_trip(spark, sf_dir):
@@ -85,6 +86,12 @@ QUERIES = {"stream_daily_counts": tumbling, "stream_access_counts": stream_acces
 ORACLE = {
     "stream_daily_counts": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
     "stream_access_counts": "select user_id, count(*) n, max(ts) last_ts from events group by 1",
+    "stream_late_windows": """select time_bucket(interval '6 hours', ts)::timestamp as start, event_type, count(*) n from events group by 1, 2
+having start + interval '6 hours' <= (select max(ts) from events) - interval '1 hour'""",
+    "stream_sessions": """with g as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval '30 minutes', true)::int fresh from events),
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) s from g),
+r as (select user_id, min(ts) as start, max(ts) + interval '30 minutes' as end, count(*) n from s group by user_id, s)
+select * from r where "end" <= (select max(ts) from events) - interval '1 hour'""",
     "jsonl_round_trip": "select doc_id, md5(text) digest, lang, source from documents",
     "bank_versions": "select doc_id, source, lang, case when doc_id % 10 = 0 then 1 else 0 end v from documents where doc_id % 10 = 0 or source <> 'src3'",
 }
