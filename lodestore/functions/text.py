@@ -122,3 +122,29 @@ def pipe_tables(text: Column) -> Column:
     cells = lambda x: F.transform(F.split(F.trim(F.regexp_replace(F.trim(x), r"^\||\|$", "")), r"\|"), lambda c: F.trim(c))
     rows = F.filter(F.transform(F.filter(lines, pipes), cells), lambda r: F.exists(r, lambda c: ~c.rlike("^[- ]*$")))
     return F.struct(rows.alias("rows"), F.array_join(F.filter(lines, lambda x: ~pipes(x)), "\n").alias("prose"))
+
+
+def wrap_words(c: Column, width: int) -> Column:
+    """Lines of at most `width` characters, broken between words; longer words are cut; empty paragraphs stay.
+
+    Works on the text with a greedy pattern: as many characters as fit before a blank or the end.
+    """
+    line = f"(\\S.{{0,{width - 1}}}(?=\\s|$)|\\S{{{width}}})"
+    wrapped = lambda p: F.when(F.trim(p) == "", F.array(F.lit(""))).otherwise(F.transform(F.regexp_extract_all(p, F.lit(line), F.lit(1)), lambda x: F.rtrim(x)))
+    return F.flatten(F.transform(F.split(c, "\n"), wrapped))
+
+
+def dict_rows(rows: Column, headers: Column | None = None) -> Column:
+    """headers and rows of a list of maps: columns of the first map, missing cells empty."""
+    names = F.map_keys(F.get(rows, F.lit(0))) if headers is None else headers
+    return F.struct(names.alias("headers"), F.transform(rows, lambda r: F.transform(names, lambda k: F.coalesce(F.element_at(r, k).cast("string"), F.lit("")))).alias("rows"))
+
+
+def key_values(m: Column) -> Column:
+    """Two columns, key and value, of one map."""
+    return F.transform(F.map_entries(m), lambda e: F.array(e["key"].cast("string"), F.coalesce(e["value"].cast("string"), F.lit(""))))
+
+
+def content_id(*parts: Column) -> Column:
+    """mem_<16 digits> from the content, the same whenever it is computed."""
+    return F.concat(F.lit("mem_"), F.substring(F.sha2(F.concat_ws("\u0001", *parts).cast("binary"), 256), 1, 16))

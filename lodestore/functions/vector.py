@@ -77,3 +77,9 @@ def age_days(then: Column, now: Column) -> Column:
 
 def time_decay(score: Column, then: Column, now: Column, rate: float) -> Column:
     return score * F.exp(-F.lit(rate) * age_days(then, now))
+
+
+def is_blank(pixels: Column, least: float = 100.0) -> Column:
+    """Whether the population variance of pixel values is below `least`."""
+    mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x) / F.size(pixels)
+    return let(mean, lambda m: F.aggregate(pixels, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(pixels) < least)

@@ -89,7 +89,16 @@ def image_sizes(spark, sf_dir):
     return s.select("p_partkey", L.measured_image(F.col("w"), F.col("h")).alias("m"), F.size(t).alias("sections"), F.element_at(t, -1)["bottom"].alias("foot"), L.align(F.col("w"), 28).alias("low"), L.align(F.col("w"), 28, True).alias("up")).select("p_partkey", "m.w", "m.h", "sections", "foot", "low", "up")
 
 
-QUERIES = {"layout_candidates": candidates, "layout_single_column": single_columns, "layout_best": best, "layout_preprocess": preprocessed, "layout_parameter_quality": parameter_quality, "canvas_slices": slices, "image_sizes": image_sizes}
+def tiles(spark, sf_dir):
+    s = sizes(spark, sf_dir).select("p_partkey", "w", "h", L.tile_grid(F.col("w"), F.col("h")).alias("g"))
+    return s.select("p_partkey", "g.cols", "g.rows", F.element_at(L.tile_boxes(F.col("g")), -1)["top"].alias("last_top"))
+
+
+def stacked(spark, sf_dir):
+    return blocks(spark, sf_dir).select("doc_id", L.stacked_patches(F.col("b")).alias("patches"))
+
+
+QUERIES = {"tile_grid": tiles, "stacked_patches": stacked, "layout_candidates": candidates, "layout_single_column": single_columns, "layout_best": best, "layout_preprocess": preprocessed, "layout_parameter_quality": parameter_quality, "canvas_slices": slices, "image_sizes": image_sizes}
 
 _IMG = "struct_pack(img := true, w := (120 + doc_id * {0} % 400)::int, h := (90 + doc_id * {1} % 380)::int, t := null::varchar, f := 0)"
 _TXT = "struct_pack(img := false, w := 400, h := 0, t := {0}, f := {1})"
@@ -100,7 +109,20 @@ case when b.img then floor(b.h * least((tw - 30) / b.w, 1.0)) else list_sum(list
 l as (select doc_id, tw, (sum(h + 10) + 15 + 15 - 10)::int height, sum(w * h)::bigint content_area from w group by 1, 2)"""
 
 ORACLE = {
+    "tile_grid": f"""with {SIZES}, g as (select i, j from range(1, 13) a(i), range(1, 13) b(j) where i * j <= 12),
+d as (select p_partkey, i, j, abs(w / h - i / j) d, w::double * h > 0.5 * 448 * 448 * i * j filled from z, g),
+b as (select *, row_number() over (partition by p_partkey order by i * j, i) n from (select *, min(d) over (partition by p_partkey) m from d) where d = m),
+f as (select p_partkey, i, j, row_number() over (partition by p_partkey order by case when n = 1 or filled then n else 0 end desc) r from b)
+select p_partkey, i::int as cols, j::int as rows, ((j - 1) * 448)::int last_top from f where r = 1""",
+    "stacked_patches": f"""with {_BLOCKS.split(",\nw as")[0]},
+w as (select doc_id, case when b.img then floor(b.h * least(600 / b.w, 320 / b.h, 1.0)) else list_sum(list_transform(string_split(b.t, chr(10)), lambda p: greatest(ceil(length(p) / floor(600 / (b.f * 0.5))), 1))) * floor(b.f * 1.3) end h from d)
+select doc_id, greatest(1, ceil((40 + sum(h + 15)) / 640))::int patches from w group by 1""",
     "layout_single_column": f"""with {_BLOCKS} select doc_id, tw, height, content_area, round(0.6 * least(tw / greatest(height, 1), 1 / (tw / greatest(height, 1))) + 0.3 * content_area / greatest(tw * height::bigint, 1) + 0.1 * (height between 224 and 1344)::int, 6) fit from l""",
+    "layout_preprocess": """with r as (select doc_id, unnest([7, case when doc_id % 2 = 0 then 5 else 4 end, 2, 0, 2, 2]) p, unnest([0, 1, 2, 3, 4, 5]) i, unnest([true, true, doc_id % 4 >= 1, true, doc_id % 4 >= 2, doc_id % 4 >= 3]) there,
+unnest([source || ' ' || lang, text, null, text[-90:], null, null]) t, unnest([14, 12, 0, 16, 0, 0]) f, unnest([0, 0, 120 + doc_id * 7 % 400, 0, 120 + doc_id * 8 % 400, 120 + doc_id * 9 % 400]) iw, unnest([0, 0, 90 + doc_id * 11 % 380, 0, 90 + doc_id * 12 % 380, 90 + doc_id * 13 % 380]) ih from documents)
+select doc_id, (row_number() over (partition by doc_id order by case p when 0 then 0 when 2 then 1 else 2 end, p, i) - 1)::int pos, ['question', '', 'figure', '', 'context', 'knowledge', '', 'header'][p + 1] as role,
+case when p = 2 then greatest(floor(iw * 0.6::double), 50) else 400 end::int w, case when p = 2 then greatest(floor(ih * 0.6::double), 50) else 0 end::int h, case when p = 2 then 0 else greatest(f - 2, 10) end::int font,
+case when p = 5 and length(t) > greatest(floor(length(t) * 0.3::double), 50) then greatest(floor(length(t) * 0.3::double), 50) + 3 else length(t) end::int n_chars from r where there""",
     "layout_parameter_quality": """with d as (select doc_id, n_chars c, doc_id % 2 = 0 img, doc_id % 3 = 0 know from documents),
 g as (select * from (values ('single_column'), ('two_column'), ('side_by_side'), ('compact'), ('emphasis'), ('grid'), ('text_wrap'), ('panoramic')) a(strategy), (values ('narrow', 1), ('medium', 2), ('wide', 3)) b(width_class, i), (values ('none'), ('heavy')) x(truncation), (values ('compact'), ('normal'), ('large')) y(font_profile))
 select doc_id, strategy, width_class, truncation, font_profile, round(0.3 * (0.25 * case when c < 300 then [1.0, 0.8, 0.5][i] when c < 800 then [0.7, 1.0, 0.8][i] else [0.5, 0.8, 1.0][i] end::double

@@ -106,3 +106,13 @@ def test_vectors(spark):
     hour = V.age_days(F.lit("2024-01-01 23:30:00").cast("timestamp_ntz"), F.lit("2024-01-02 00:30:00").cast("timestamp_ntz"))
     assert one(spark, hour)[0] == 0
     assert one(spark, V.mean_pool(F.array(f(1, 2), f(3, 4))), V.valid_tokens(arr("a", "b"), F.array(F.lit(True), F.lit(False))), V.valid_tokens(arr("a"), F.lit(None).cast("array<boolean>"))) == ([2.0, 3.0], ["a"], ["a"])
+
+
+def test_wrapping_and_tables(spark):
+    assert one(spark, T.wrap_words(lit("aa bb cc\n\nabcdefghij"), 5))[0] == ["aa bb", "cc", "", "abcde", "fghij"]
+    m = F.array(F.create_map(lit("x"), lit("1"), lit("y"), lit("2")), F.create_map(lit("y"), lit("3")))
+    d = one(spark, T.dict_rows(m))[0]
+    assert d.headers == ["x", "y"] and d.rows == [["1", "2"], ["", "3"]]
+    assert one(spark, T.key_values(F.create_map(lit("k"), lit(5))))[0] == [["k", "5"]]
+    assert one(spark, T.content_id(lit("a"), lit("b")) == T.content_id(lit("a"), lit("b")), F.length(T.content_id(lit("a")))) == (True, 20)
+    assert one(spark, V.is_blank(arr(250, 251, 250)), V.is_blank(arr(0, 255)))== (True, False)
