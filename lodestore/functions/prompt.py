@@ -27,23 +27,74 @@ def memory_text(*parts: Column, choices: Column | None = None) -> Column:
     return F.concat_ws(" ", *[filled(p) for p in parts], *more)
 
 
+# Prompt texts, which models are sensitive to.
+TEMPLATES = {
+    "science": """Study the reference canvases above. Each shows a solved example.
+{hint}
+
+Question: {question}
+{choices}
+Think step by step, then answer with just the letter:""",
+    "visual": """Study the reference canvases. Answer the question about the last image.
+Question: {question}
+Answer concisely:""",
+    "documents_with_memory": """Below are memory canvases from similar questions. Study them.
+---
+{context}
+Question: {question}
+Answer concisely:""",
+    "documents": """{context}
+Question: {question}
+Answer concisely:""",
+    "multi_hop": """{memory_instruction}
+
+Now answer the following new question using the context below.
+
+{context}
+
+Question: {question}
+Answer concisely:""",
+}
+MULTI_HOP_INSTRUCTION = "Below are memory canvases from previously solved similar questions. Each canvas shows: relevant context passages, the question, and the correct answer (marked with ✓). Study these canvases carefully."
+QA_HEAD = "The image above shows reference material (background knowledge, context, and/or figures). Use ONLY the information in the image to answer the following question."
+QA_END = "Answer with ONLY the letter (A, B, C, etc.)."
+TASK = "Answer the following question by selecting the correct option."
+LETTER = "Answer with just the letter (A, B, C, D, etc.):"
+REASON = "Think step by step, then give your final answer as a single letter (A, B, C, D, etc.) on the last line."
+GUIDE = ("Below are memory canvas images from similar problems you solved before.", "Each canvas contains: the original question, answer choices (correct answer marked with ✓), background knowledge, and solution reasoning.")
+SYSTEM = "You are a knowledgeable student who learns from past examples. When given reference canvases from similar problems, carefully study the solutions and background knowledge shown in them, then apply that knowledge to solve new problems."
+#: For each variant: what comes before the memories, how a memory is announced, the last line, the system prompt.
+VARIANTS = (
+    (("Below are reference examples shown as images:",), "Reference {}", LETTER, None),
+    ((*GUIDE, "Study these canvases and use the knowledge to help answer the new question.", ""), "[Canvas {}]", LETTER, None),
+    ((*GUIDE, "Study these canvases carefully and apply the relevant knowledge to the new question.", ""), "[Canvas {}]", REASON, None),
+    ((*GUIDE, "Study these canvases carefully and apply the relevant knowledge to the new question.", ""), "[Canvas {}]", REASON, SYSTEM),
+)
+#: Choices that have a letter in these prompts.
+MOST_CHOICES = 6
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template with its names replaced, an absent value by nothing."""
+    out = F.lit(TEMPLATES[template])
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
 def qa_prompt(question: Column, choices: Column) -> Column:
-    return lines(labelled("Question", question), "Choices:", format_choices(choices), "Answer with the letter of the correct choice only.")
-
-
-def variant(n: int, question: Column, choices: Column, hint: Column, memories: Column | None = None) -> Column:
-    """Prompt variants: 0 bare, 1 with a role, 2 with a reasoning request, 3 with memories and a fixed answer line."""
-    ask = [labelled("Question", question), labelled("Context", hint), "Choices:", format_choices(choices, most=6)]
-    if n == 0:
-        return lines(*ask, "Answer:")
-    if n == 1:
-        return lines("You answer multiple-choice questions.", *ask, "Reply with one letter.")
-    if n == 2:
-        return lines("Use the pictures of earlier questions if they help.", *ask, "Think step by step, then give the letter.")
-    if n == 3:
-        shown = F.when(F.size(memories) > 0, F.concat(F.lit("Memories:\n"), F.array_join(F.transform(memories, lambda m, i: F.concat((i + 1).cast("string"), F.lit(") "), m)), "\n")))
-        return lines(shown, *ask, "The answer is:")
-    raise ValueError(f"no prompt variant {n}")
+    listed = F.array_join(F.transform(choices, lambda c, i: F.concat(F.lit("  "), F.char(F.lit(65) + i), F.lit(". "), c, F.lit("\n"))), "")
+    return F.concat(F.lit(QA_HEAD + "\n\nQ: "), question, F.lit("\n"), listed, F.lit("\n" + QA_END))
+
+
+def variant(n: int, question: Column, choices: Column, hint: Column, memories: Column) -> Column:
+    """system and user prompt of a variant; memories is an array of structs with subject and topic."""
+    intro, mark, end, system = VARIANTS[n]
+    before, after = mark.split("{}")
+    shown = F.transform(memories, lambda m, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(after + " ("), m["subject"], F.lit(" - "), m["topic"], F.lit(")")))
+    top = F.when(F.size(memories) > 0, F.array_join(F.concat(F.array(*[F.lit(x) for x in intro]), shown, F.array(F.lit(""), F.lit("---"))), "\n"))
+    options = F.concat(F.lit("Options:\n"), format_choices(choices, most=MOST_CHOICES))
+    return F.struct(F.lit(system).cast("string").alias("system"), lines(top, TASK, labelled("Context", hint), F.concat(F.lit("Question: "), question), options, end).alias("user"))
 
 
 def context(paragraphs: Column, most: int = 500) -> Column:

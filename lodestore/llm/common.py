@@ -39,19 +39,22 @@ def block_of(spark: SparkSession, key: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(BLOCKS_PER_PARTITION * partitions(spark))).cast("int")
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """block, doc_id, text: the only columns that the block operators read, so extra columns cannot clash."""
-    return docs.select(block_of(docs.sparkSession).alias("block"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def in_blocks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """block, doc_id, text and kept columns as _0, _1, ...: what block operators read, so extra columns cannot clash."""
+    return docs.select(block_of(docs.sparkSession).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
 
 
 class Texts:
     """The documents of a block, in ascending doc_id order, as one UTF-8 buffer."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["doc_id", "text"]).combine_chunks()
+        table = table.drop_columns(["block"]) if "block" in table.column_names else table
+        table = table.combine_chunks()
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
         table = table.take(order).combine_chunks()
         self.doc_id = table.column("doc_id")
+        #: The other columns, in the same order.
+        self.kept = [table.column(c) for c in table.column_names if c not in ("doc_id", "text")]
         #: A null doc_id counts as larger than any other.
         self.key = pc.fill_null(self.doc_id, int(LAST)).to_numpy()
         text = pc.fill_null(table.column("text"), "")

@@ -150,6 +150,24 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def annotate(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """All columns of docs with _held_out, _lang_pred, _score and _rejected; rows are neither moved nor dropped."""
+    model = fit(docs) if model is None else model
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS rows, whatever the input
+    names = docs.columns
+
+    def f(batches):
+        m = shared.value
+        for b in batches:
+            found = [m.predict(t) for t in b.column("_t").to_pylist()]
+            more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.record_batch([b.column(c) for c in names] + [b.column("_held_out"), *more], names=[*names, "_held_out", "_lang_pred", "_score", "_rejected"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], is_held_out().alias("_held_out"), F.col("text").cast("string").alias("_t"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return rows.mapInArrow(f, f"{schema}, _held_out boolean, _lang_pred string, _score double, _rejected boolean")
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs(doc_id, text, lang).
 
@@ -158,16 +176,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     columns are ignored.  The score is the calibrated probability of lang_pred.
     """
     model = fit(docs) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS rows, whatever the input
-
-    def f(batches):
-        m = shared.value
-        for b in batches:
-            found = [m.predict(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), is_held_out().alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(f, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    rows = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
+    return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("held_out", "lang_pred", "score", "rejected")])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,12 +82,13 @@ class Windows:
             self.doc = self.start
             return
         keep = doc[: len(full)] == doc[n - 1 : n - 1 + len(full)]
-        self.start = np.flatnonzero(keep)
+        # places within a run of documents fit 32 bits
+        self.start = np.flatnonzero(keep).astype(np.int32)
         self.full = full[keep]
         self.check = (joined(seeds[: len(full)], seeds[n - half : n - half + len(full)], 0x51ED27) >> U(32)).astype(np.uint32)[keep]
-        self.seed = minimizer(seeds, n - half + 1)[keep]
+        self.seed = minimizer(seeds, n - half + 1)[keep].astype(np.int32)
         self.key = seeds[self.seed]
-        self.doc = doc[self.start] + i
+        self.doc = (doc[self.start] + i).astype(np.int32)
 
 
 def firsts(sorted_array: np.ndarray) -> np.ndarray:
@@ -236,21 +237,23 @@ def without(n: int, with_text: bool):
         cols = {"doc_id": texts.doc_id, "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         if with_text:
             cols["kept_text"] = pa.array(out["kept"], pa.string())
-        return pa.table(cols)
+        return pa.table(cols | {f"_{k}": c for k, c in enumerate(texts.kept)})
 
     return f
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text for every row of docs(doc_id, text).
 
+    keep names further columns of docs that the result carries along, row by row.
+
     A word goes if a window over it also starts in a document with a smaller doc_id.  A null text has no
     words; a null doc_id counts as the largest; rows with equal doc_id do not count as earlier than each
     other; texts shorter than the window keep everything.  Other columns are ignored.
     """
     spark = docs.sparkSession
     n_buckets = buckets(spark)
-    blocks = in_blocks(docs)
+    blocks = in_blocks(docs, keep)
     grouped = lambda: blocks.groupBy("block")
     seeds = grouped().applyInArrow(seeds_told(window, n_buckets), SENT).groupBy("bucket").applyInArrow(seeds_answered, BACK)
     late = grouped().cogroup(seeds.groupBy("block")).applyInArrow(windows_told(window, n_buckets), SENT).groupBy("bucket").applyInArrow(windows_answered, BACK)
@@ -259,13 +262,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
 
     def end(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return END.empty_table()
+            return pa.schema([*END, *[f for f in docs.schema if f.name.startswith("_")]]).empty_table()
         kind = back.column("kind").to_numpy() if back.num_rows else np.zeros(0, np.int32)
         return last(docs, back.filter(pa.array(kind == 0)), back.filter(pa.array(kind == 1)))
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    kinds = dict(blocks.dtypes)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", _{k} {kinds[f'_{k}']}" for k in range(len(keep)))
     END = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text)
-    return grouped().cogroup(back.groupBy("block")).applyInArrow(end, schema)
+    return grouped().cogroup(back.groupBy("block")).applyInArrow(end, schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(keep)})
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

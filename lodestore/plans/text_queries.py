@@ -91,12 +91,15 @@ _LAST = f"""coalesce(upper(coalesce(
 
 
 def prompts(spark, sf_dir):
+    """Prompts of all forms for questions made of parts, with none, one or two memories."""
     b = table(spark, sf_dir, "part")
     choices = F.array("p_brand", "p_type", F.col("p_size").cast("string"))
     hint = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type"))
     q = F.col("p_name")
-    mem = F.slice(F.array("p_type", "p_brand"), 1, F.pmod("p_partkey", F.lit(3)).cast("int"))
-    return b.select("p_partkey", P.qa_prompt(q, choices).alias("qa"), *[P.variant(n, q, choices, hint, mem).alias(f"v{n}") for n in range(4)], P.query_text(q, hint).alias("query"), P.memory_text(F.col("p_type"), F.lit(""), q, hint, choices=choices).alias("memory"))
+    mem = F.slice(F.array(F.struct(F.col("p_type").alias("subject"), F.col("p_brand").alias("topic")), F.struct(F.col("p_brand").alias("subject"), F.col("p_type").alias("topic"))), 1, F.pmod("p_partkey", F.lit(3)).cast("int"))
+    users = [P.variant(n, q, choices, hint, mem)["user"].alias(f"v{n}") for n in range(4)]
+    science = P.fill("science", hint=hint, question=q, choices=T.format_choices(choices))
+    return b.select("p_partkey", P.qa_prompt(q, choices).alias("qa"), *users, science.alias("science"), P.query_text(q, hint).alias("query"), P.memory_text(F.col("p_type"), F.lit(""), q, hint, choices=choices).alias("memory"))
 
 
 def record_blocks(spark, sf_dir):
@@ -194,7 +197,24 @@ QUERIES = {
 
 _CH = "concat_ws(chr(10), 'A. ' || p_brand, 'B. ' || p_type, 'C. ' || p_size)"
 _HINT = "case when p_partkey % 3 <> 0 then p_type end"
-_ASK = f"'Question: ' || p_name, 'Context: ' || {_HINT}, 'Choices:', {_CH}"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _variant_sql(n: int) -> str:
+    intro, mark, end, _ = P.VARIANTS[n]
+    before, after = mark.split("{}")
+    one = f"{_text(before + '1' + after)} || ' (' || p_type || ' - ' || p_brand || ')'"
+    two = f"{_text(before + '2' + after)} || ' (' || p_brand || ' - ' || p_type || ')'"
+    head = f"{_text(chr(10).join(intro))} || chr(10) || {one}"
+    top = f"case p_partkey % 3 when 1 then {head} || chr(10) || chr(10) || '---' when 2 then {head} || chr(10) || {two} || chr(10) || chr(10) || '---' end"
+    return f"concat_ws(chr(10), {top}, {_text(P.TASK)}, 'Context: ' || {_HINT}, 'Question: ' || p_name, 'Options:' || chr(10) || {_CH}, {_text(end)}) v{n}"
+
+
+_QA = f"{_text(P.QA_HEAD)} || chr(10) || chr(10) || 'Q: ' || p_name || chr(10) || '  A. ' || p_brand || chr(10) || '  B. ' || p_type || chr(10) || '  C. ' || p_size || chr(10) || chr(10) || {_text(P.QA_END)} qa"
+_SCIENCE = f"replace(replace(replace({_text(P.TEMPLATES['science'])}, '{{hint}}', coalesce({_HINT}, '')), '{{question}}', p_name), '{{choices}}', {_CH}) science"
 _SIM = "case when {0} = {1} then 1.0 else 1.0 - levenshtein({0}, {1}) / greatest(length({0}), length({1})) end"
 _RESPONSE = """with e as (select *, case user_id % 4 when 0 then 'create' when 1 then 'APPEND' when 2 then 'noop' else 'other' end act, event_id % 7 <> 0 ok, event_id % 3 <> 0 cand, 'c' || event_id % 5 cid from events)"""
 
@@ -211,10 +231,7 @@ r as (select a.doc_id, a.w p, list_filter([b.w, c.w, a.w || '.', ' ' || a.w], la
 select doc_id, least(1.0, len(list_filter(answers, lambda a: trim(lower(a)) = regexp_replace(trim(lower(p)), '\\.+$', ''))) / 3)::double soft,
 (len(list_filter(answers, lambda a: {sql_normal('a').replace('lambda w', 'lambda w2').replace('when w in', 'when w2 in').replace('else w end', 'else w2 end')} = {sql_normal('p').replace('lambda w', 'lambda w3').replace('when w in', 'when w3 in').replace('else w end', 'else w3 end')})) > 0)::int::double as any from r""",
     "answer_letters": f"select conv_id, turn, coalesce(nullif(regexp_extract(upper(text), '[A-F]'), ''), 'A') as first, regexp_extract(upper(text), '[A-H]') first_h, {_LAST} as last from conversations",
-    "prompts": f"""select p_partkey, concat_ws(chr(10), 'Question: ' || p_name, 'Choices:', {_CH}, 'Answer with the letter of the correct choice only.') qa,
-concat_ws(chr(10), {_ASK}, 'Answer:') v0, concat_ws(chr(10), 'You answer multiple-choice questions.', {_ASK}, 'Reply with one letter.') v1,
-concat_ws(chr(10), 'Use the pictures of earlier questions if they help.', {_ASK}, 'Think step by step, then give the letter.') v2,
-concat_ws(chr(10), case p_partkey % 3 when 1 then 'Memories:' || chr(10) || '1) ' || p_type when 2 then 'Memories:' || chr(10) || '1) ' || p_type || chr(10) || '2) ' || p_brand end, {_ASK}, 'The answer is:') v3,
+    "prompts": f"""select p_partkey, {_QA}, {", ".join(map(_variant_sql, range(4)))}, {_SCIENCE},
 trim(p_name || ' ' || coalesce({_HINT}, '')) as query, concat_ws(' ', p_type, p_name, {_HINT}, concat_ws(' ', p_brand, p_type, p_size)) as memory from part""",
     "record_blocks": """with r as (select doc_id, list_filter([concat_ws(' | ', source, lang), 'Context: ' || nullif(text, ''), case when doc_id % 4 = 0 then 'Hint: ' || lang end,
 case when doc_id % 2 = 0 then 'A. ' || lang || chr(10) || 'B. ' || source end], lambda x: x is not null) b from documents) select doc_id, array_to_string(b, chr(10) || chr(10)) blocks, len(b)::int n_blocks from r""",
