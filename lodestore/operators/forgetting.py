@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestore.session import shared_folder
+
 # Share of the full size at each level, and how images shrink at each.
 SIZE_RATIOS = (1.0, 0.5795, 0.3709, 0.00518, 0.0)
 LABELS = ("PNG", "WebP-85", "AVIF-50", "AVIF-50@0.5x", "Deleted")
@@ -17,17 +19,6 @@ IMAGE_SCALES = (1.0, 0.75, 0.5, 0.25, 0.0)
 DELETED = 4
 
 
-def _shared_folder(spark) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="lodestore-checkpoint-")
-        sc.setCheckpointDir(named)
-
-
 def ratio(quality: Column) -> Column:
     return F.get(F.array(*[F.lit(r) for r in SIZE_RATIOS]), quality)
 
@@ -77,7 +68,7 @@ def simulate(steps: DataFrame, candidates: DataFrame, sizes: DataFrame, interval
     steps(query_id, step): the order of the queries, from 0; candidates(query_id, mem_id, rank); sizes(mem_id, size).
     """
     spark = steps.sparkSession
-    _shared_folder(spark)
+    shared_folder(spark)
     n = steps.count()
     candidates = candidates.select("query_id", "mem_id", "rank").checkpoint()
     state = sizes.select("mem_id", "size", F.lit(0).alias("quality"), F.lit(0).cast("long").alias("hits")).checkpoint()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestore.session import ranked_over_all
+
 SCHEMA = "id string, canvas_path string, text string, metadata map<string,string>, image_embedding_path string, text_embedding_path string, access_count long, quality_level int, deleted boolean, ord long"
 
 
@@ -80,8 +82,7 @@ def evicted(bank: DataFrame, limit: int, strategy: str = "oldest", cutoff=None)
     else:
         raise ValueError(f"unknown strategy {strategy}")
     spare = bank.count() - limit
-    # a top-n, which Spark keeps per task before it merges
-    return bank.orderBy(*order).limit(spare) if spare > 0 else bank.limit(0)
+    return ranked_over_all(bank, order, "_rank").where(F.col("_rank") <= spare).drop("_rank") if spare > 0 else bank.limit(0)
 
 
 def statistics(bank: DataFrame, category: str, size: str) -> DataFrame:

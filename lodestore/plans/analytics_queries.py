@@ -80,7 +80,7 @@ def simulated(spark, sf_dir, interval: int = 40, threshold: int = 0, epochs: int
     q, k, _ = sides(spark, sf_dir)
     found = R.candidates(q, k, 30).where(F.col("ord") != F.col("query_id"))
     found = found.select("query_id", F.col("ord").alias("mem_id"), "rank")
-    steps = q.select("query_id", (F.row_number().over(Window.orderBy("query_id")) - 1).alias("step"))
+    steps = q.select("query_id", F.floor(F.col("query_id") / EVERY).alias("step"))
     sizes = memories(spark, sf_dir).select(F.col("ord").alias("mem_id"), (F.lit(1000) + F.pmod(F.col("ord") * 37, F.lit(500))).alias("size"))
     return G.simulate(steps, found, sizes, interval, threshold, epochs)
 
@@ -249,8 +249,9 @@ def ranking_loss(spark, sf_dir):
 
 
 def mean_pooled(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
-    return e.select("label", F.posexplode(V.mean_pool(F.transform("t", lambda x: x["embedding"]))).alias("place", "x")).select("label", "place", F.round("x", 6).alias("mean"))
+    """Mean vectors of the labels, place by place, so no label is collected."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
+    return e.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 def canvas_replay(spark, sf_dir):

@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestore.operators import memory as B
-from lodestore.operators.forgetting import _shared_folder
 from lodestore.plans.common import table
+from lodestore.session import shared_folder
 from lodestore.sources import records as S
 from lodestore.streaming import access as A
 
 
 def folder(spark, name: str) -> str:
     """A new folder that all executors see."""
-    _shared_folder(spark)
+    shared_folder(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestore.functions import jsonx as J
@@ -160,16 +161,19 @@ def pipe_tables(spark, sf_dir):
 
 
 def conversation_summary(spark, sf_dir):
+    """The last five turns of each conversation; only those are gathered."""
     c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = c.withColumn("n", F.row_number().over(w)).where("n <= 5")
     items = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return c.groupBy("conv_id").agg(T.recent_summary(items).alias("summary"), F.count("*").alias("n_items"))
+    return last.groupBy("conv_id").agg(T.recent_summary(items).alias("summary")).join(c.groupBy("conv_id").agg(F.count("*").alias("n_items")), "conv_id")
 
 
 def paragraphs(spark, sf_dir):
     """Context of conversations: titles and sentences zipped, supporting ones kept."""
-    c = table(spark, sf_dir, "conversations").withColumn("s", F.struct("turn", "role", F.split("text", "\n").alias("lines")))
+    c = table(spark, sf_dir, "conversations").where("turn < 3").withColumn("s", F.struct("turn", "role", F.split("text", "\n").alias("lines")))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    z = P.zip_paragraphs(F.transform("s", lambda x: F.concat(x["role"], x["turn"].cast("string"))), F.transform(F.filter("s", lambda x: x["turn"] < 3), lambda x: x["lines"]))
+    z = P.zip_paragraphs(F.transform("s", lambda x: F.concat(x["role"], x["turn"].cast("string"))), F.transform("s", lambda x: x["lines"]))
     keep = P.supporting(z, F.array(F.lit("user0"), F.lit("assistant1")))
     return g.select("conv_id", P.context(z).alias("context"), P.context(keep, 1000).alias("supporting"))
 
