@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import shared_folder
-from lodestore.llm.langid import identify
+from lodestore.llm.langid import annotate
 from lodestore.llm.mixing import mix
 from lodestore.llm.packing import pack_documents
 from lodestore.llm.simhash import simhash_components
@@ -29,22 +29,22 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is not rejected; rows without doc_id go."""
-    ok = identify(docs).where(~F.col("rejected") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return _columns(docs.join(ok, "doc_id", "left_semi"))
+    """Keeps the documents whose language is not rejected."""
+    return _columns(annotate(docs.select(*COLUMNS)).where(~F.col("_rejected")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; of equal rows one."""
+    """Keeps the document with the smallest doc_id of each component; of equal rows one; rows without doc_id go."""
     found = simhash_components(docs)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return _columns(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = docs.join(first, "doc_id", "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    return _columns(rows.withColumn("_one", one).where("_one = 1"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the words under repeated 13-word windows out of the texts; texts without a word left go."""
-    kept = substring_dedup(docs, with_text=True).where("n_words > n_removed").select(F.col("doc_id").alias("id"), "kept_text")
-    rows = docs.join(kept, F.col("doc_id") == F.col("id"))
+    rows = substring_dedup(docs, with_text=True, keep=("lang", "source")).where("n_words > n_removed")
     return rows.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
