@@ -51,6 +51,12 @@ def subwords(text: bytes) -> np.ndarray:
     return ((h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS)).astype(np.int64)
 
 
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each occurs, in as few bytes as hold them."""
+    ids, n = np.unique(subwords(text), return_counts=True)
+    return ids.astype(np.uint16), n.astype(np.uint16 if len(text) < 1 << 14 else np.uint32)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -87,11 +93,10 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     if not langs:
         return Model(np.zeros((BUCKETS, 1)), np.zeros(1), [])
     pieces = [(t[i : i + PIECE], langs.index(y), n) for n, (t, y) in enumerate(zip(texts, labels, strict=True)) for i in range(0, max(len(t), 1), PIECE)]
-    x = [subwords(t.encode()) for t, _, _ in pieces]
-    rows = [np.unique(s, return_counts=True) for s in x]
+    rows = [counted(t.encode()) for t, _, _ in pieces]
     y = np.array([k for _, k, _ in pieces])
     held = np.array([n % 5 == 4 for _, _, n in pieces])
-    use = [k for k in np.flatnonzero(~held) if len(x[k])]
+    use = [k for k in np.flatnonzero(~held) if len(rows[k][0])]
     r = np.random.default_rng(seed)
     e = r.normal(0, 0.1, (BUCKETS, DIM))
     w, b = r.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
@@ -112,7 +117,7 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
             e[ids] -= rate * 5 * share * back
             done += 1
     model = Model(e @ w, b, langs)
-    check = [k for k in np.flatnonzero(held) if len(x[k])] or use
+    check = [k for k in np.flatnonzero(held) if len(rows[k][0])] or use
     if not check:
         return model
     z = np.array([model.logits(pieces[k][0].encode()) for k in check])
