@@ -8,6 +8,8 @@ size when the cluster is set up for more data.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +22,14 @@ CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and a stage must not pay for the one before."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,6 +58,7 @@ class Texts:
     """The documents of a block, in ascending doc_id order, as one UTF-8 buffer."""
 
     def __init__(self, table: pa.Table):
+        give_back()
         table = table.drop_columns(["block"]) if "block" in table.column_names else table
         table = table.combine_chunks()
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])

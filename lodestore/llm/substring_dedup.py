@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, in_blocks, joined, minimizer, mix, read_documents
+from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, joined, minimizer, mix, read_documents
 
 WINDOW = 13
 SEPARATOR = np.zeros(256, bool)
@@ -264,7 +264,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
         if not docs.num_rows:
             return pa.schema([*END, *[f for f in docs.schema if f.name.startswith("_")]]).empty_table()
         kind = back.column("kind").to_numpy() if back.num_rows else np.zeros(0, np.int32)
-        return last(docs, back.filter(pa.array(kind == 0)), back.filter(pa.array(kind == 1)))
+        out = last(docs, back.filter(pa.array(kind == 0)), back.filter(pa.array(kind == 1)))
+        give_back()
+        return out
 
     kinds = dict(blocks.dtypes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + "".join(f", _{k} {kinds[f'_{k}']}" for k in range(len(keep)))

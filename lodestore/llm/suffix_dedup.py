@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import Texts, U, among, bucket_of, buckets, doubled, in_blocks, joined, minimizer, mix, read_documents, runs
+from lodestore.llm.common import Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, joined, minimizer, mix, read_documents, runs
 from lodestore.llm.substring_dedup import BACK, BACK_PA, SENT, SENT_PA, answer, back_of, firsts, tell, told
 
 LENGTH = 200
@@ -425,7 +425,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
         if not docs.num_rows:
             return pa.schema(fields).empty_table()
         kind = back.column("kind").to_numpy() if back.num_rows else np.zeros(0, np.int32)
-        return last(docs, back.filter(pa.array(kind == 0)), back.filter(pa.array(kind == 1)))
+        out = last(docs, back.filter(pa.array(kind == 0)), back.filter(pa.array(kind == 1)))
+        give_back()
+        return out
 
     return grouped().cogroup(back.groupBy("block")).applyInArrow(end, schema)
 
