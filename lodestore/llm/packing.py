@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import partitions, read_documents, shared_folder
+from lodestore.llm.common import give_back, partitions, read_documents, shared_folder
 from lodestore.llm.tokens import BYTE_BPE, encoder
 
 SEQUENCE = 1024
@@ -53,6 +53,8 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = Non
                     ids.append(np.frombuffer(raw[4 * x : 4 * y], "<i4") if with_ids else None)
             cols = [pa.array(x, t) for x, t in ((doc, pa.int64()), (piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (ids, pa.list_(pa.int32())))]
             yield pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        e.pieces.rest()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(f, PIECES)
     return rows if with_ids else rows.drop("ids")

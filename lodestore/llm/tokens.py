@@ -17,7 +17,7 @@ import numpy as np
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Pieces whose ids a task keeps: this many new ones, and as many from before that.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 
 #: Characters with plain rules: no combining marks, no case pairs of another length, NFC is the identity.
 PLAIN = re.compile(r"[\n\x20-\x7e¡-§©«¬®¯°±´¶·»¿À-ÖØ-öø-įĲ-ľŁ-ňŊ-žǍ-ǜ–—‘’“”…€]*")
@@ -53,6 +53,10 @@ class Kept:
         self.new[piece] = ids
         return ids
 
+    def rest(self) -> None:
+        """At the end of a task: only the newer ones stay for the next."""
+        self.old.clear()
+
 
 class Encoder:
     """ids as little-endian unsigned 32-bit bytes; one per task."""
@@ -65,7 +69,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words = "word" in os.path.basename(path)
-        self.pieces, self.parts = Kept(), Kept()
+        #: Of blank-free runs and of the parts they are cut into; a part by itself has the same ids.
+        self.pieces = Kept()
         if self.words:
             self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
         else:
@@ -75,13 +80,13 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, piece: str) -> bytes:
-        ids = self.parts.new.get(piece)
+        ids = self.pieces.new.get(piece)
         if ids is None:
-            ids = self.parts.old.get(piece)
+            ids = self.pieces.old.get(piece)
             if ids is None:
                 found = [t.id for t in self.model.tokenize(_shown(piece))]
                 ids = struct.pack(f"<{len(found)}I", *found)
-            self.parts.add(piece, ids)
+            self.pieces.add(piece, ids)
         return ids
 
     def chunk(self, chunk: str) -> bytes:
