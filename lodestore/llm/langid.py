@@ -160,15 +160,18 @@ def annotate(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = fit(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS rows, whatever the input
     names = docs.columns
+    # a text column of another type is read as a string beside the original
+    text = "text" if dict(docs.dtypes)["text"] == "string" else "_t"
+    more = [F.col("text").cast("string").alias("_t")] if text == "_t" else []
 
     def f(batches):
         m = shared.value
         for b in batches:
-            found = [m.predict(t) for t in b.column("_t").to_pylist()]
-            more = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.record_batch([b.column(c) for c in names] + [b.column("_held_out"), *more], names=[*names, "_held_out", "_lang_pred", "_score", "_rejected"])
+            found = [m.predict(t.as_py()) for t in b.column(text)]
+            new = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.record_batch([b.column(c) for c in names] + [b.column("_held_out"), *new], names=[*names, "_held_out", "_lang_pred", "_score", "_rejected"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], is_held_out().alias("_held_out"), F.col("text").cast("string").alias("_t"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], is_held_out().alias("_held_out"), *more)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return rows.mapInArrow(f, f"{schema}, _held_out boolean, _lang_pred string, _score double, _rejected boolean")
 
