@@ -49,13 +49,18 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in training order."""
+    """A row for each time that the mix takes a document, in training order: by part file, and by row in it."""
     return _columns(mix(docs, weights=WEIGHTS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and offset."""
-    return pack_documents(docs, sequence=SEQUENCE)
+    """The pieces of all documents with their sequence and offset; those of a length take its places in training order.
+
+    The order is that of the files the stage before wrote: the number of the part, and the row in it.
+    """
+    part = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long")
+    rows = docs.select("doc_id", "text", F.coalesce(part, F.lit(0)).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return pack_documents(rows, sequence=SEQUENCE, order=("_file", "_row"))
 
 
 STAGES = [

@@ -80,21 +80,48 @@ def position(place: Column, target: Column, slope: Column) -> Column:
     return F.least(F.greatest(curve, F.lit(0.0)), F.lit(1.0))
 
 
-def mix(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS) -> DataFrame:
-    """One row for each time a document is taken, with epoch and position, range-sorted by position."""
-    rows = plan(docs, repeat, weights).where("copies > 0")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+def mixed(planned: DataFrame) -> DataFrame:
+    """One row for each time a row of plan() is taken, with epoch and position, range-sorted by position."""
+    rows = planned.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = F.col("epoch") * F.col("source_size") + F.col("place")
     rows = rows.withColumn("position", position(at, F.col("target"), F.col("slope")))
-    n = partitions(docs.sparkSession)
+    n = partitions(planned.sparkSession)
     return rows.repartitionByRange(n, "position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch")
 
 
+def mix(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS) -> DataFrame:
+    """One row for each time a document is taken, with epoch and position, range-sorted by position."""
+    return mixed(plan(docs, repeat, weights))
+
+
+MIX_COLUMNS = ("doc_id", "size", "source_size", "target", "taken", "copies", "place")
+
+
+def documents_of_mix(docs: DataFrame) -> DataFrame:
+    """The columns of MIX_COLUMNS for every document: taken is what the rows of the mix come to, 0 without one.
+
+    Rows of the mix are put together by everything that is returned but taken; documents that are equal in it
+    share the rows evenly and come out as often as they came in.
+    """
+    planned = plan(docs.select("doc_id", "text", "source")).drop("text", "source")
+    key = [c for c in MIX_COLUMNS if c != "taken"]
+    found = mixed(planned).groupBy(*key).agg(F.count_if(F.col("epoch") == 0).alias("_rows"), F.sum("size").alias("_sum"))
+    found = found.withColumn("taken", F.expr("_sum div _rows"))
+    found = found.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    none = planned.where("copies = 0").withColumn("taken", F.lit(0).cast("long"))
+    return found.select(*MIX_COLUMNS).unionByName(none.select(*MIX_COLUMNS))
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "place")
+    return documents_of_mix(read_documents(spark, sf_dir))
+
+
+def op9_curriculum_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself, which the columns of op9_curriculum_mix (fixed by its SQL) have no room for."""
+    return mix(read_documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "source", "size", "epoch", "position")
 
 
-QUERIES = {"op9_curriculum_mix": op9_curriculum_mix}
+QUERIES = {"op9_curriculum_mix": op9_curriculum_mix, "op9_curriculum_positions": op9_curriculum_positions}
 
 ORACLE = {
     "op9_curriculum_mix": """

@@ -24,12 +24,14 @@ END_ID = 2
 #: Lengths that a pattern of three takes its middle one from; patterns in all are about as many times the lengths.
 MIDDLES = 24
 STEPS = 400
+#: Rows of a file that are ranked within a length in one group.
+ROWS = 1 << 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
-def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, with_ids, ids: documents cut into pieces.
+def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, with_ids, ids: documents cut into pieces; order: long columns to keep.
 
     A document of up to `sequence` ids, its end id among them, is one piece; of a longer one the first piece
     is the shorter one.  A null text is empty and still has its end id.
@@ -39,24 +41,26 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = Non
         e = encoder(vocabulary, folder)
         end = np.uint32(end_id).tobytes()
         for b in batches:
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            doc, piece, start, length, crc, ids, row = [], [], [], [], [], [], []
+            for at, (d, t) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
                 raw = memoryview(e.encode(t or "") + end)
                 n = len(raw) // 4
                 cuts = [0, *range((n - 1) % sequence + 1, n + 1, sequence)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     doc.append(d)
+                    row.append(at)
                     piece.append(k)
                     start.append(x)
                     length.append(y - x)
                     crc.append(zlib.crc32(raw[4 * x : 4 * y]))
                     ids.append(np.frombuffer(raw[4 * x : 4 * y], "<i4") if with_ids else None)
             cols = [pa.array(x, t) for x, t in ((doc, pa.int64()), (piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (ids, pa.list_(pa.int32())))]
-            yield pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            cols += [b.column(c).take(pa.array(row, pa.int64())) for c in order]
+            yield pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", *order])
         e.pieces.rest()
         give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(f, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("long") for c in order]).mapInArrow(f, ", ".join([PIECES, *[f"{c} long" for c in order]]))
     return rows if with_ids else rows.drop("ids")
 
 
@@ -177,8 +181,12 @@ def plan(counts: np.ndarray, sequence: int = SEQUENCE) -> Plan:
     return Plan(np.array([r + [0] * (width - len(r)) for r in rows], np.int64).reshape(-1, width), np.array(repeats, np.int64))
 
 
-def pack(rows: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """The pieces with sequence_id and offset.  Reruns on equal rows agree; equal rows may swap places."""
+def pack(rows: DataFrame, sequence: int = SEQUENCE, order: tuple[str, ...] = ()) -> DataFrame:
+    """The pieces with sequence_id and offset.  Reruns on equal rows agree; equal rows may swap places.
+
+    With order, the names of a file's number and of a row's number in it, the pieces of a length take its places
+    in that order; without it, in the order of a hash.
+    """
     spark = rows.sparkSession
     histogram = rows.groupBy("length").count().collect()  # a row for each length: at most `sequence`
     counts = np.zeros(sequence + 1, np.int64)
@@ -188,14 +196,17 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     places = spark.sparkContext.broadcast(found)  # bounded by the number of patterns
     # ranks within a length: rank within a share of it, plus the sizes of the shares before
     shares = partitions(spark)
-    keyed = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int"))
+    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("long")
+    if order:
+        share = F.col(order[0]) * (1 << 24) + F.floor(F.col(order[1]) / ROWS)
+    keyed = rows.withColumn("share", share)
     sizes = keyed.groupBy("length", "share").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("share")) - F.col("count")).drop("count")
-    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns]
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy(*order)) - 1).join(before, ["length", "share"])
+    by = [*order[1:], *[c for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns]]
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy(*by)) - 1).join(before, ["length", "share"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
 
-    names = rows.columns
+    names = [c for c in rows.columns if c not in order]
 
     def f(batches):
         s = places.value
@@ -206,17 +217,17 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             out = [b.column(c) for c in names] + [pa.array(s["base"][k] + rank - s["low"][k]), pa.array(s["offset"][k])]
             yield pa.record_batch(out, names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + ["sequence_id long", "offset long"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c in names] + ["sequence_id long", "offset long"])
     return ranked.select(*names, "rank").mapInArrow(f, schema)
 
 
-def pack_documents(docs: DataFrame, sequence: int = SEQUENCE, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, sequence: int = SEQUENCE, order: tuple[str, ...] = (), **options) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs(doc_id, text).
 
     Null texts are empty; repeated rows and null doc_ids are documents of their own; other columns are ignored.
     """
     shared_folder(docs.sparkSession)
-    return pack(pieces(docs, sequence=sequence, **options).checkpoint(), sequence)
+    return pack(pieces(docs, sequence=sequence, order=order, **options).checkpoint(), sequence, order)
 
 
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

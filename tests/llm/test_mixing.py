@@ -67,3 +67,21 @@ def test_positions_follow_the_schedule(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert plan(df).collect() == [] and mix(df).collect() == []
+
+
+def test_query_is_what_the_mix_takes(spark, tmp_path, monkeypatch):
+    import lodestore.llm.mixing as m
+
+    rows = rows_of(6, True) + [(903, None, "s1"), (903, None, "s1"), (903, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = m.op9_curriculum_mix(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "copies", "place"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, plan(df).select(*got.columns).collect()))
+    at = [(x.doc_id, x.epoch, x.position) for x in m.op9_curriculum_positions(spark, str(tmp_path)).collect()]
+    assert [x[2] for x in at] == sorted(x[2] for x in at)
+    assert sorted(map(str, at)) == sorted(str((x.doc_id, x.epoch, x.position)) for x in mix(df).collect())
+    # a mix that drops its later epochs shows in taken
+    whole = m.mixed
+    monkeypatch.setattr(m, "mixed", lambda planned: whole(planned).where("epoch = 0"))
+    assert sum(x.taken for x in m.op9_curriculum_mix(spark, str(tmp_path)).collect()) < sum(x.taken for x in got.collect())

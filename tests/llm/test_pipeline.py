@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestore.llm.langid import fit
 from lodestore.llm.tokens import BYTE_BPE, encoder
@@ -79,3 +81,23 @@ def test_run(spark, tmp_path):
     df = spark.createDataFrame(texts(2, 40), "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 10
+
+
+def test_mix_order_reaches_packing(spark, tmp_path):
+    rows = [(d, "word " * 30, "en", f"s{d % 3}", 150) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mixture(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    written = spark.read.parquet(f"{tmp_path}/mix")
+    order = [r.doc_id for r in written.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    assert order == [r.doc_id for r in corpus_pipeline.mix(docs, weights=corpus_pipeline.WEIGHTS).collect()]
+    # all pieces are of one length: along the sequences, each offset is served in the order of the file
+    mixed = docs.withColumn("n_chars", F.pmod(F.col("doc_id") * 77, F.lit(300)))
+    mixed.repartitionByRange(3, "n_chars").sortWithinPartitions("n_chars").write.parquet(f"{tmp_path}/ordered")
+    packed = corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/ordered"), "")
+    assert set(packed.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    places = {}
+    for r in packed.collect():
+        places.setdefault(r.offset, []).append((r.sequence_id, r.doc_id * 77 % 300))
+    for v in places.values():
+        at = [x for _, x in sorted(v)]
+        assert at == sorted(at)
