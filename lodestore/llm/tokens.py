@@ -3,7 +3,8 @@
 Both tokenizers cut a text into pieces (words with their blank, runs of marks, ...) and encode each piece by
 itself, so the ids of a piece can be kept: texts are cut with the same rules and only pieces not seen before
 go to the tokenizers library.  A text with a character outside a range where those rules are plain (ASCII,
-Latin-1 and Latin Extended-A letters, no control characters) is encoded whole by the library.
+Latin-1 and Latin Extended-A letters, no control characters) is encoded whole by the library, and so is one
+with the string of an added token, which the library finds before it cuts.
 """
 
 from __future__ import annotations
@@ -66,7 +67,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        #: Case counts for nothing here: normalized added tokens are looked for in the lowered text.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.words = "word" in os.path.basename(path)
         #: Of blank-free runs and of the parts they are cut into; a part by itself has the same ids.
@@ -97,7 +100,7 @@ class Encoder:
         return self.pieces.add(chunk, ids)
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or self.added is not None and self.added.search(text):
             return self.whole(text)
         get, chunk = self.pieces.new.get, self.chunk
         if self.words:

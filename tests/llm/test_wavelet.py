@@ -57,3 +57,16 @@ def test_round_trip(spark, tmp_path):
     assert got == want
     write_shards(df.limit(0), f"{tmp_path}/y")
     assert read_shards(spark, f"{tmp_path}/y").collect() == []
+
+
+@pytest.mark.parametrize("name", [WORD_BPE, BYTE_BPE])
+def test_added_tokens_are_found_as_the_library_finds_them(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(public_tokenizers.path(name)), encoder(name)
+    end = plain.token_to_id("<|endoftext|>")
+    for t in ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|EndOfText|>", "one\n<|endoftext|>two  <|endoftext|", *(weird(random.Random(k), 30) for k in range(500))]:
+        ids = np.frombuffer(e.encode(t), "<u4").tolist()
+        assert ids == plain.encode(t, add_special_tokens=False).ids
+        assert ids.count(end) == t.count("<|endoftext|>")
