@@ -15,7 +15,7 @@ from lodestore.llm.common import shared_folder
 from lodestore.llm.langid import annotate
 from lodestore.llm.mixing import mix
 from lodestore.llm.packing import pack_documents
-from lodestore.llm.simhash import simhash_components
+from lodestore.llm.simhash import row_mark, simhash_survivors
 from lodestore.llm.substring_dedup import substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,11 +34,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; of equal rows one; rows without doc_id go."""
-    found = simhash_components(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(first, "doc_id", "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    """Keeps one row of each component: that with the smallest doc_id, null last; of rows equal in doc_id and text one."""
+    first = simhash_survivors(docs)
+    rows = docs.withColumn("mark", row_mark()).join(first, "mark", "left_semi")
+    one = F.row_number().over(Window.partitionBy("mark").orderBy("lang", "source", "n_chars"))
     return _columns(rows.withColumn("_one", one).where("_one = 1"))
 
 

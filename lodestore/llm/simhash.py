@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import U, read_documents, shared_folder
@@ -84,15 +84,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(U)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the kept string columns."""
 
     def f(batches):
         for b in batches:
             fps = [_signed(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in b.column("text").cast(pa.binary())]
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(fps, pa.int64()), *[b.column(c) for c in keep]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(f, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(f, ", ".join(["doc_id long, fp long", *[f"{c} string" for c in keep]]))
 
 
 def _linked(fp: np.ndarray, chain: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -176,6 +176,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.select("used", "value", F.xxhash64("part").alias("part"), "chain", "fp").mapInArrow(_forest, "u long, v long").distinct()
 
 
+def _rooted(fps: DataFrame, low: Column) -> DataFrame:
+    """fp, low (the aggregate of its rows), root (the smallest fingerprint of its component)."""
+    distinct = fps.groupBy("fp").agg(low.alias("low")).checkpoint()
+    found = components(links(distinct))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs(doc_id, text).
 
@@ -185,14 +192,26 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     shared_folder(docs.sparkSession)
     fps = fingerprints(docs).checkpoint()
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
-    found = components(links(distinct))
-    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(fps, F.min("doc_id"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     member = named.join(least, "root").select("fp", "component_id")
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_mark() -> Column:
+    """A 128-bit name of a row by its doc_id and text, nulls among them."""
+    text = F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("n"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("n")), F.lit(":"), text).cast("binary"))
+
+
+def simhash_survivors(docs: DataFrame) -> DataFrame:
+    """mark: row_mark() of one row for each component, that with the smallest doc_id, null last, then mark."""
+    shared_folder(docs.sparkSession)
+    fps = fingerprints(docs.withColumn("_mark", row_mark()), ("_mark",)).checkpoint()
+    named = _rooted(fps, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_mark")))
+    return named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low._mark").alias("mark"))
+
+
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_documents(spark, sf_dir))
 

@@ -101,3 +101,13 @@ def test_mix_order_reaches_packing(spark, tmp_path):
     for v in places.values():
         at = [x for _, x in sorted(v)]
         assert at == sorted(at)
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    r = random.Random(8)
+    some = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (some() for _ in range(5))
+    rows = [(5, a), (5, b), (2, b), (None, c), (None, d), (None, d), (None, b), (9, e), (None, e), (7, a), (7, a)]
+    df = spark.createDataFrame([(k, t, "en", f"s{n}", len(t)) for n, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted([(5, a), (2, b), (None, c), (None, d), (9, e)], key=str)
