@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing.
 
 Hashes of all GRAM-character grams; of every WINDOW consecutive ones the smallest is kept, the rightmost of
-equals, with its position.  Two texts that share GRAM + WINDOW - 1 characters share a kept hash.
+equals, with its position.  Two texts that share GRAM + WINDOW - 1 = 23 characters share a kept hash, so the
+window is small for every text: short ones keep several hashes too.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestore.llm.common import BLOCKS_PER_PARTITION, LAST, U, doubled, minimizer, mix, partitions, read_documents
 
 GRAM = 16
-WINDOW = 64
+WINDOW = 8
 
 
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +32,10 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
 
 
 def encoded(h: np.ndarray, at: np.ndarray) -> str:
-    return ",".join([f"{a:08x}@{b}" for a, b in zip(h.tolist(), at.tolist(), strict=True)])
+    if not len(h):
+        return ""
+    shown = h.astype(">u4").tobytes().hex(",", 4).split(",")
+    return ",".join([f"{a}@{b}" for a, b in zip(shown, at.tolist(), strict=True)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

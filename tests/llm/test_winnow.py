@@ -70,3 +70,15 @@ def test_small_tables(spark):
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
     assert fingerprints(df.limit(0)).collect() == []
     assert likeness(np.zeros(0), np.array([1])) == 0.0
+
+
+def test_short_near_copies_share_hashes():
+    from lodestore.llm.winnow import edited
+
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    for n in range(31, 160):
+        text = some(n)
+        a, b = winnow(text)[0], winnow(edited(text, some(n)))[0]
+        assert len(np.intersect1d(a, b)), n
+        assert n < 60 or len(a) >= 3
