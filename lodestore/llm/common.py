@@ -1,6 +1,6 @@
 """Pieces that several of the operators share: blocks of documents, hashing of windows, and minimizers.
 
-Documents are dealt to *blocks* by a hash of doc_id.  A block is the unit that a Python task sees: what it
+Documents are dealt to *blocks* by a hash.  A block is the unit that a Python task sees: what it
 has to tell other blocks is first made distinct inside the block, so a string that a third of all rows hold
 reaches any one task at most once per block.  Blocks follow spark.sql.shuffle.partitions, so they keep their
 size when the cluster is set up for more data.
@@ -45,8 +45,9 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def block_of(spark: SparkSession, key: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(BLOCKS_PER_PARTITION * partitions(spark))).cast("int")
+def block_of(spark: SparkSession) -> Column:
+    """By doc_id and text, so that neither null nor repeated ids make one block larger."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(BLOCKS_PER_PARTITION * partitions(spark))).cast("int")
 
 
 def in_blocks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -55,14 +56,15 @@ def in_blocks(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 class Texts:
-    """The documents of a block, in ascending doc_id order, as one UTF-8 buffer."""
+    """The documents of a block, in ascending doc_id order or as they come, as one UTF-8 buffer."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, ordered: bool = True):
         give_back()
         table = table.drop_columns(["block"]) if "block" in table.column_names else table
         table = table.combine_chunks()
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
-        table = table.take(order).combine_chunks()
+        if ordered:
+            order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+            table = table.take(order).combine_chunks()
         self.doc_id = table.column("doc_id")
         #: The other columns, in the same order.
         self.kept = [table.column(c) for c in table.column_names if c not in ("doc_id", "text")]
@@ -99,6 +101,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+BASE = 0x9FB21C651E98DF25
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(max(n, 1 << 16), b, U)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     """The hash of a window from those of two windows that cover it."""
     return mix(a * U(0x9E3779B97F4A7C15) + b + U(salt))

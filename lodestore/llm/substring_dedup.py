@@ -23,30 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, joined, minimizer, mix, read_documents
+from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, joined, minimizer, mix, powers, read_documents
 
 WINDOW = 13
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BASE = 0x9FB21C651E98DF25
 SENT = "block int, bucket int, data binary"
 BACK = "block int, data binary"
 SENT_PA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 BACK_PA = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 16), b, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def word_hashes(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every word, and for each document the number of words before it (one more entry at the end)."""
     # a separator after every document keeps words of neighbours apart

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from lodestore.llm.suffix_dedup import deep_shallow, suffix_dedup
+from lodestore.llm import suffix_dedup as suffix_dedup_module
+from lodestore.llm.suffix_dedup import deep_shallow, multikey_quicksort, runs_of, suffix_dedup
 
 
 def brute(rows, n):
@@ -38,7 +39,7 @@ def rows_of(seed=3):
     return rows + [(200, None), (201, ""), (None, common[0]), (None, common[0]), (202, common[1] * 20), (202, common[1] * 20), (203, "z" * 3000), (204, some(3000))]
 
 
-@pytest.mark.parametrize(("length", "hot"), [(40, 100_000), (40, 5), (17, 100_000), (64, 0)])
+@pytest.mark.parametrize(("length", "hot"), [(40, 10_000), (40, 5), (17, 10_000), (64, 0), (17, 2)])
 def test_against_brute_force(spark, length, hot):
     rows = rows_of()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, block int")
@@ -63,3 +64,29 @@ def test_deep_shallow_sorts():
         keys = [(int(group[i]), buf[at[i] : at[i] + length].tobytes()) for i in order]
         assert keys == sorted(keys)
         assert all((keys[i] == keys[i - 1]) == (number[i] == number[i - 1]) for i in range(1, n))
+
+
+def test_multikey_quicksort_alone():
+    r = np.random.default_rng(2)
+    for depth in (1, 2, 3):
+        c = r.integers(0, 4, (500, depth)).astype(np.uint64)
+        group = r.integers(0, 3, 500)
+        order, start = multikey_quicksort(lambda which, k: c[which, k], group, depth)
+        keys = [(int(group[i]), *c[i].tolist()) for i in order]
+        assert keys == sorted(keys)
+        assert [keys.index(k) for k in keys] == start.tolist()
+
+
+def test_long_text_is_cut_into_slices_that_overlap(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup_module, "SEGMENT", 64)
+    r = random.Random(8)
+    t = "".join(r.choice("abcdefgh") for _ in range(500))
+    bounds = np.array([0, 500, 520, 1020])
+    data = (t + "x" * 20 + t).encode()
+    buf = np.frombuffer(data, np.uint8)
+    found = runs_of(buf, bounds, 40, 20)
+    starts = sorted(x for a, b in zip(found["low"], found["high"]) for x in range(a, b + 1))
+    assert starts == [*range(461), *range(520, 981)]
+    for row in found:
+        grams = {data[i : i + 20] for i in range(row["low"], row["high"] + 21)}
+        assert data[row["seed"] : row["seed"] + 20] in grams
