@@ -1,16 +1,17 @@
 """Substring deduplication of word windows by level-wise doubling.
 
-The ladder of window lengths is 1, 2, 4, 7, 13 for the usual 13 words: each length is twice the one before
-(the last steps overlap so as to end at the wanted length).  A window can only be repeated if the shorter
-windows inside it are, so only what is repeated at the seed length is extended:
-
-1. seeds: of the windows of about half the length, the minimizer of every full window; per block the
-   distinct ones go to buckets by hash, which send back those that a second block also has;
-2. full windows around surviving seeds go the same way, each with the smallest doc_id of its block;
-3. words under a window that an earlier document also starts are dropped.
-
-Every full window contains the minimizer that its content alone determines, so equal windows are extended
-from equal seeds and no repeat is lost.
+The levels of the usual 13 words are windows of 4, 7 and 13: each about twice as long as the one before.  Only
+what is repeated at one length is extended to the next:
+
+1. every full window has a witness of 4 words, the minimizer of the windows of 4 in it.  Per block the distinct
+   witnesses go to buckets by hash, which send back those that a second block also has; full windows whose
+   witness is not repeated are no candidates any more;
+2. the candidates that are left go through the same exchange with witnesses of 7 words;
+3. those left then go themselves, each distinct one with the smallest doc_id of its block, and words under a
+   window that an earlier document also starts are dropped.
+
+A witness depends on the content of the full window alone, so equal windows are extended from equal witnesses
+and no repeat is lost.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, joined, minimizer, mix, powers, read_documents
 
 WINDOW = 13
+#: The first level has windows of this many words at most.
+START = 4
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SENT = "block int, bucket int, data binary"
@@ -50,32 +54,49 @@ def word_hashes(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, np.searchsorted(start, bounds + np.arange(n_docs + 1))
 
 
+def ladder(n: int) -> list[int]:
+    """Lengths of the levels: each twice the one before, or one less; the last is n."""
+    out = [n]
+    while out[0] > START:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 class Windows:
-    """The full windows of a run of documents with their seeds."""
+    """The full windows of a run of documents that are still candidates, and the hashes of one level's windows."""
 
     def __init__(self, texts: Texts, i: int, j: int, n: int):
         bounds = texts.bounds[i : j + 1]
-        h, self.words = word_hashes(texts.bytes[bounds[0] : bounds[-1]], bounds - bounds[0])
-        half = n // 2 + 1
-        seeds = doubled(h, 1, half)
-        full = doubled(seeds, half, n)
-        count = np.diff(self.words)
-        doc = np.repeat(np.arange(j - i), count)
-        if not len(full):
-            self.start = self.seed = np.zeros(0, np.int64)
-            self.key = self.full = np.zeros(0, U)
-            self.check = np.zeros(0, np.uint32)
-            self.doc = self.start
-            return
-        keep = doc[: len(full)] == doc[n - 1 : n - 1 + len(full)]
+        self.grams, self.words = word_hashes(texts.bytes[bounds[0] : bounds[-1]], bounds - bounds[0])
+        self.n, self.level, self.before = n, 1, self.grams
+        doc = np.repeat(np.arange(j - i), np.diff(self.words))
         # places within a run of documents fit 32 bits
-        self.start = np.flatnonzero(keep).astype(np.int32)
-        self.full = full[keep]
-        self.check = (joined(seeds[: len(full)], seeds[n - half : n - half + len(full)], 0x51ED27) >> U(32)).astype(np.uint32)[keep]
-        self.seed = minimizer(seeds, n - half + 1)[keep].astype(np.int32)
-        self.key = seeds[self.seed]
+        self.start = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]).astype(np.int32) if len(doc) >= n else np.zeros(0, np.int32)
         self.doc = (doc[self.start] + i).astype(np.int32)
 
+    def extend(self, length: int) -> None:
+        """Hashes of windows of this length from those of the level before."""
+        self.before, self.grams, self.half = self.grams, doubled(self.grams, self.level, length), self.level
+        self.level = length
+
+    def witnesses(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each candidate the window of this length that its content picks: hashes and documents, run by run."""
+        self.extend(length)
+        at = minimizer(self.grams, self.n - length + 1)[self.start]
+        self.first = firsts(at)
+        return self.grams[at[self.first]], self.doc[self.first]
+
+    def keep(self, ok: np.ndarray) -> None:
+        """Only the candidates of these runs go on."""
+        on = np.repeat(ok, np.diff(np.append(self.first, len(self.start))))
+        self.start, self.doc = self.start[on], self.doc[on]
+
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the candidates themselves, of 64 and of 32 bits."""
+        self.extend(self.n)
+        other = joined(self.before[self.start], self.before[self.start + (self.n - self.half)], 0x51ED27) >> U(32)
+        return self.grams[self.start], other.astype(np.uint32)
+
 
 def firsts(sorted_array: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_array[1:] != sorted_array[:-1]))) if len(sorted_array) else np.zeros(0, np.int64)
@@ -113,20 +134,36 @@ def answer(blocks: list[int], row: np.ndarray, *arrays: np.ndarray) -> pa.Table:
     return pa.table({"block": pa.array([blocks[row[p[0]]] for p in parts], pa.int32()), "data": pa.array(data, pa.binary())}, schema=BACK_PA)
 
 
-def seeds_told(n: int, n_buckets: int):
-    def f(table: pa.Table) -> pa.Table:
-        texts = Texts(table)
-        found = []
-        for i, j in texts.chunks():
-            w = Windows(texts, i, j, n)
-            found.append(w.key[firsts(w.seed)] if len(w.seed) else w.key)
-        h = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
-        return tell(table.column("block")[0].as_py(), h, n_buckets)
+def survivors(texts: Texts, n: int, backs: list[np.ndarray]) -> list[tuple[int, int, Windows]]:
+    """The windows whose witness of every level so far is repeated: in another block, or in two documents here."""
+    parts = [(i, j, Windows(texts, i, j, n)) for i, j in texts.chunks()]
+    for length, back in zip(ladder(n), backs, strict=False):
+        found = [w.witnesses(length) for _, _, w in parts]
+        key = np.concatenate([k for k, _ in found] or [np.zeros(0, U)])
+        doc = np.concatenate([texts.key[d] for _, d in found] or [np.zeros(0, np.int64)])
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        here = key[1:][(key[1:] == key[:-1]) & (doc[1:] != doc[:-1])]
+        known = np.sort(np.concatenate((back, here)))
+        for (_, _, w), (k, _) in zip(parts, found, strict=True):
+            w.keep(among(k, known))
+    return parts
+
+
+def level_told(n: int, level: int, n_buckets: int):
+    """The distinct witnesses of a level, of what is left after the levels before."""
+
+    def f(docs: pa.Table, back: pa.Table | None) -> pa.Table:
+        if not docs.num_rows:
+            return SENT_PA.empty_table()
+        found = [w.witnesses(ladder(n)[level])[0] for _, _, w in survivors(Texts(docs), n, levels_of(back, level))]
+        h = np.sort(np.concatenate(found or [np.zeros(0, U)]))
+        return tell(docs.column("block")[0].as_py(), h[firsts(h)], n_buckets)
 
     return f
 
 
-def seeds_answered(table: pa.Table) -> pa.Table:
+def level_answered(table: pa.Table) -> pa.Table:
     """What two blocks or more have."""
     row, (h,) = told(table.column("data").to_pylist(), [U])
     order = np.argsort(h, kind="stable")
@@ -137,26 +174,21 @@ def seeds_answered(table: pa.Table) -> pa.Table:
     return answer(table.column("block").to_pylist(), row[again], h[again])
 
 
-def surviving(texts: Texts, n: int, back: np.ndarray):
-    """The full windows whose seed is repeated: in another block, or in two documents of this one."""
-    parts = [(i, j, Windows(texts, i, j, n)) for i, j in texts.chunks()]
-    if parts:
-        key = np.concatenate([w.key[firsts(w.seed)] if len(w.seed) else w.key for _, _, w in parts])
-        doc = np.concatenate([texts.key[w.doc[firsts(w.seed)]] if len(w.seed) else w.doc for _, _, w in parts])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        here = np.unique(key[1:][(key[1:] == key[:-1]) & (doc[1:] != doc[:-1])])
-        back = np.union1d(back, here)
-    for i, j, w in parts:
-        yield i, j, w, among(w.key, back)
-
-
-def local_first(texts: Texts, n: int, back: np.ndarray):
-    """The distinct surviving windows with the smallest doc_id each, by hash; then the windows by chunk."""
-    parts = list(surviving(texts, n, back))
-    h = np.concatenate([w.full[m] for _, _, w, m in parts] or [np.zeros(0, U)])
-    check = np.concatenate([w.check[m] for _, _, w, m in parts] or [np.zeros(0, np.uint32)])
-    doc = np.concatenate([texts.key[w.doc[m]] for _, _, w, m in parts] or [np.zeros(0, np.int64)])
+def levels_of(back: pa.Table | None, n: int) -> list[np.ndarray]:
+    """The answers to the first n levels."""
+    if back is None or not back.num_rows:
+        return [np.zeros(0, U)] * n
+    kind = back.column("kind").to_numpy()
+    return [back_of(back.filter(pa.array(kind == k)), [U])[0] for k in range(n)]
+
+
+def local_first(texts: Texts, n: int, backs: list[np.ndarray]):
+    """Windows by chunk, of each its number among the distinct ones; of those the hashes and the smallest doc_id."""
+    parts = survivors(texts, n, backs)
+    found = [w.full() for _, _, w in parts]
+    h = np.concatenate([x for x, _ in found] or [np.zeros(0, U)])
+    check = np.concatenate([x for _, x in found] or [np.zeros(0, np.uint32)])
+    doc = np.concatenate([texts.key[w.doc] for _, _, w in parts] or [np.zeros(0, np.int64)])
     order = np.lexsort((doc, check, h))
     h, check, doc = h[order], check[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))) if len(h) else np.zeros(0, np.int64)
@@ -170,43 +202,41 @@ def back_of(table: pa.Table, kinds: list) -> list[np.ndarray]:
 
 
 def windows_told(n: int, n_buckets: int):
-    def f(docs: pa.Table, back: pa.Table) -> pa.Table:
+    def f(docs: pa.Table, back: pa.Table | None) -> pa.Table:
         if not docs.num_rows:
             return SENT_PA.empty_table()
-        _, _, h, check, doc = local_first(Texts(docs), n, np.sort(back_of(back, [U])[0]))
-        return tell(docs.column("block")[0].as_py(), h, n_buckets, check, doc)
+        _, _, h, check, doc = local_first(Texts(docs), n, levels_of(back, len(ladder(n)) - 1))
+        return tell(docs.column("block")[0].as_py(), h, n_buckets, check, doc, np.arange(len(h), dtype=np.int32))
 
     return f
 
 
 def windows_answered(table: pa.Table) -> pa.Table:
-    """To each block: the windows that a document of another block with a smaller doc_id has."""
-    row, (h, check, doc) = told(table.column("data").to_pylist(), [U, np.uint32, np.int64])
-    order = np.lexsort((doc, check, h))
-    h, check, doc, row = h[order], check[order], doc[order], row[order]
+    """To each block: the numbers of its windows that a document of another block with a smaller doc_id has."""
+    row, (h, check, doc, number) = told(table.column("data").to_pylist(), [U, np.uint32, np.int64, np.int32])
+    order = np.lexsort((check, h))
+    h, check, doc = h[order], check[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))) if len(h) else np.zeros(0, np.int64)
-    least = np.repeat(doc[first], np.diff(np.append(first, len(h))))
-    late = np.flatnonzero(least < doc)
-    return answer(table.column("block").to_pylist(), row[late], h[late], check[late])
+    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(h)))) if len(h) else doc
+    late = order[least < doc]
+    return answer(table.column("block").to_pylist(), row[late], number[late])
 
 
 def without(n: int, with_text: bool):
-    def f(docs: pa.Table, seeds: pa.Table, late: pa.Table) -> pa.Table:
+    def f(docs: pa.Table, back: pa.Table) -> pa.Table:
         texts = Texts(docs)
-        parts, number, h, check, doc = local_first(texts, n, np.sort(back_of(seeds, [U])[0]))
-        lh, lc = back_of(late, [U, np.uint32])
-        pair = np.zeros(len(lh), [("h", U), ("c", np.uint32)])
-        pair["h"], pair["c"] = lh, lc
-        mine = np.zeros(len(h), pair.dtype)
-        mine["h"], mine["c"] = h, check
-        elsewhere = np.isin(mine, pair) if len(pair) else np.zeros(len(h), bool)
+        levels = len(ladder(n)) - 1
+        parts, number, _, _, doc = local_first(texts, n, levels_of(back, levels))
+        elsewhere = np.zeros(len(doc), bool)
+        if back.num_rows:
+            elsewhere[back_of(back.filter(pc.equal(back.column("kind"), levels)), [np.int32])[0]] = True
         out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept")}
         at = 0
-        for i, j, w, m in parts:
-            mine_at = number[at : at + int(m.sum())]
+        for i, j, w in parts:
+            mine_at = number[at : at + len(w.start)]
             at += len(mine_at)
-            gone = (doc[mine_at] < texts.key[w.doc[m]]) | elsewhere[mine_at]
-            starts = w.start[m][gone]
+            gone = (doc[mine_at] < texts.key[w.doc]) | elsewhere[mine_at]
+            starts = w.start[gone]
             total = int(w.words[-1])
             change = np.bincount(starts, minlength=total + 1) - np.bincount(starts + n, minlength=total + 1)[: total + 1]
             kept = np.cumsum(change)[:total] == 0
@@ -228,6 +258,13 @@ def without(n: int, with_text: bool):
     return f
 
 
+def asking(grouped: GroupedData, back: DataFrame | None, ask) -> DataFrame:
+    """What blocks tell buckets, given the answers so far."""
+    if back is None:
+        return grouped.applyInArrow(lambda docs: ask(docs, None), SENT)
+    return grouped.cogroup(back.groupBy("block")).applyInArrow(lambda docs, back: ask(docs, back), SENT)
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text for every row of docs(doc_id, text).
 
@@ -241,16 +278,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     n_buckets = buckets(spark)
     blocks = in_blocks(docs, keep)
     grouped = lambda: blocks.groupBy("block")
-    seeds = grouped().applyInArrow(seeds_told(window, n_buckets), SENT).groupBy("bucket").applyInArrow(seeds_answered, BACK)
-    late = grouped().cogroup(seeds.groupBy("block")).applyInArrow(windows_told(window, n_buckets), SENT).groupBy("bucket").applyInArrow(windows_answered, BACK)
-    back = seeds.select("block", F.lit(0).alias("kind"), "data").unionByName(late.select("block", F.lit(1).alias("kind"), "data"))
+    levels = len(ladder(window)) - 1
+    back = None
+    for level in range(levels + 1):
+        ask, reply = (level_told(window, level, n_buckets), level_answered) if level < levels else (windows_told(window, n_buckets), windows_answered)
+        asked = asking(grouped(), back, ask)
+        found = asked.groupBy("bucket").applyInArrow(reply, BACK).select("block", F.lit(level).alias("kind"), "data")
+        back = found if back is None else back.unionByName(found)
     last = without(window, with_text)
 
     def end(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.schema([*END, *[f for f in docs.schema if f.name.startswith("_")]]).empty_table()
-        kind = back.column("kind").to_numpy() if back.num_rows else np.zeros(0, np.int32)
-        out = last(docs, back.filter(pa.array(kind == 0)), back.filter(pa.array(kind == 1)))
+        out = last(docs, back)
         give_back()
         return out
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from lodestore.llm.substring_dedup import substring_dedup
+from lodestore.llm.substring_dedup import ladder, substring_dedup
 
 
 def brute(rows, n):
@@ -49,3 +49,16 @@ def test_text_and_empty(spark):
     got = {r.doc_id: r.kept_text for r in substring_dedup(df, 3, with_text=True).collect()}
     assert got == {1: "a b c d e", 2: "x y"}
     assert substring_dedup(df.limit(0)).collect() == []
+
+
+def test_ladder_doubles():
+    assert ladder(13) == [4, 7, 13]
+    assert ladder(50) == [4, 7, 13, 25, 50]
+    assert ladder(3) == [3]
+    assert all(b <= 2 * a for n in range(1, 200) for a, b in zip(ladder(n), ladder(n)[1:]))
+
+
+def test_long_windows(spark):
+    rows = rows_of(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup(df, 37).collect()), key=str) == brute(rows, 37)
