@@ -19,23 +19,93 @@ from lodestore.llm.common import BLOCKS_PER_PARTITION, LAST, U, doubled, minimiz
 
 GRAM = 16
 WINDOW = 8
+#: Characters that are hashed at a time, and characters of the texts that are compared at a time.
+SEGMENT = 1 << 17
+PART = 1 << 20
+
+
+def _hashes(points: np.ndarray, gram: int) -> np.ndarray:
+    return doubled(mix(points.astype(U) + U(0x7F4A7C15)), 1, gram)
 
 
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Kept 32-bit hashes and their positions; one hash of the whole text if it is shorter than a gram."""
     if not text:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = doubled(mix(points.astype(U) + U(0x7F4A7C15)), 1, min(gram, len(points)))
-    at = np.unique(minimizer(h, min(window, len(h))))
-    return (h[at] >> U(32)).astype(np.uint32), at
+    points = _points([text])
+    if len(points) < gram + window - 1:
+        h = _hashes(points, min(gram, len(points)))
+        at = _distinct(minimizer(h, min(window, len(h))))
+        return (h[at] >> U(32)).astype(np.uint32), at
+    found = []
+    # a long text in slices that overlap, so that each window is in one
+    for s in range(0, len(points) - gram - window + 2, SEGMENT):
+        h = _hashes(points[s : s + SEGMENT + gram + window - 2], gram)
+        at = _distinct(minimizer(h, window))
+        found.append(((h[at] >> U(32)).astype(np.uint32), at + s))
+    h, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    return h[new], at[new]
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _distinct(sorted_array: np.ndarray) -> np.ndarray:
+    return sorted_array[np.concatenate(([True], sorted_array[1:] != sorted_array[:-1]))] if len(sorted_array) else sorted_array
+
+
+def winnow_all(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept hashes and positions of all texts behind one another, and where each text's end, from a leading 0 on."""
+    size = np.array([len(t) for t in texts], np.int64)
+    usual = (size >= gram + window - 1) & (size <= SEGMENT)
+    found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in np.flatnonzero(~usual & (size > 0)).tolist():
+        h, at = winnow(texts[k], gram, window)
+        found.append((h, at, np.full(len(h), k)))
+    which = np.flatnonzero(usual)
+    upto = np.cumsum(size[which])
+    i = 0
+    while i < len(which):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SEGMENT, "right")))
+        some = which[i:j]
+        ends = np.cumsum(size[some])
+        h = _hashes(_points([texts[k] for k in some.tolist()]), gram)
+        at = minimizer(h, window)
+        edge = np.zeros(len(at) + 1, np.int8)
+        edge[ends - size[some]] = 1
+        edge[ends - gram - window + 2] -= 1
+        at = _distinct(at[np.cumsum(edge[:-1], dtype=np.int8).view(bool)])
+        of = np.searchsorted(ends, at, "right")
+        found.append(((h[at] >> U(32)).astype(np.uint32), at - (ends - size[some])[of], some[of]))
+        i = j
+    h, at, of = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return h[order], at[order], np.searchsorted(of[order], np.arange(len(texts) + 1))
+
+
+_HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
+
+
+def spelled(h: np.ndarray, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A string for each text: hash@position, comma-joined."""
+    n, wide = len(h), len(str(int(at.max()))) if len(at) else 1
+    cells = np.empty((n, wide + 10), np.uint8)
+    raw = h.astype(">u4").view(np.uint8).reshape(n, 4)
+    cells[:, 0:8:2], cells[:, 1:8:2], cells[:, 8], cells[:, -1] = _HEX[raw >> 4], _HEX[raw & 15], ord("@"), ord(",")
+    use = np.ones(cells.shape, bool)
+    for k in range(wide):
+        power = 10 ** (wide - 1 - k)
+        cells[:, 9 + k] = at // power % 10 + ord("0")
+        use[:, 9 + k] = at >= power if power > 1 else True
+    use[ends[1:][ends[1:] > ends[:-1]] - 1, -1] = False
+    upto = np.concatenate(([0], np.cumsum(use.sum(axis=1))))[ends]
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(cells[use].tobytes())).cast(pa.string())
 
 
 def encoded(h: np.ndarray, at: np.ndarray) -> str:
-    if not len(h):
-        return ""
-    shown = h.astype(">u4").tobytes().hex(",", 4).split(",")
-    return ",".join([f"{a}@{b}" for a, b in zip(shown, at.tolist(), strict=True)])
+    return spelled(h, at, np.array([0, len(h)]))[0].as_py()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -46,6 +116,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def likenesses(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Likeness of n pairs: a and b hold the number of the pair above 32 bits of hash, each entry once."""
+    both = np.bincount((np.intersect1d(a, b, assume_unique=True) >> U(32)).astype(np.int64), minlength=n)
+    every = np.bincount((a >> U(32)).astype(np.int64), minlength=n) + np.bincount((b >> U(32)).astype(np.int64), minlength=n) - both
+    return np.where(every > 0, both / np.maximum(every, 1), 1.0)
+
+
 def edited(text: str, after: str) -> str:
     n = len(text) // 4
     return text[: len(text) - n] + after[:n] if n else text
@@ -81,6 +158,27 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 SCHEMA_PA = pa.schema(list(zip(COLUMNS, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)))
 
 
+def _part(ids: pa.ChunkedArray, texts: list[str], gram: int, window: int) -> pa.Table:
+    """Rows for all texts but the last, which only follows."""
+    m = len(texts) - 1
+    new = [edited(t, after) for t, after in zip(texts, texts[1:], strict=False)]
+    h, at, ends = winnow_all(texts + new, gram, window)
+    cut = ends[m + 1]
+    sets = _distinct(np.sort(np.repeat(np.arange(2 * m + 1), np.diff(ends)).astype(U) << U(32) | h))
+    low = np.searchsorted(sets, np.array([0, m, 1, m + 1, m + 1, 2 * m + 1]).astype(U) << U(32))
+    own, after, edits = (sets[x:y] for x, y in low.reshape(3, 2))
+    cols = [
+        ids,
+        pa.array([len(t) for t in texts[:m]], pa.int64()),
+        pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
+        spelled(h[: ends[m]], at[: ends[m]], ends[: m + 1]),
+        spelled(h[cut:], at[cut:], ends[m + 1 :] - cut),
+        pa.array(likenesses(own, edits - (U(m + 1) << U(32)), m)),
+        pa.array(likenesses(own, after - (U(1) << U(32)), m)),
+    ]
+    return pa.table([c.cast(t) for c, t in zip(cols, SCHEMA_PA.types, strict=True)], schema=SCHEMA_PA)
+
+
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprint of every text of docs(doc_id, text), of its edited text, and how alike they and the next are.
 
@@ -95,19 +193,20 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
         table = table.take(pc.sort_indices(table, sort_keys=[("look", "ascending"), ("key", "ascending"), ("text", "ascending")]))
         look = table.column("look").to_pylist()
         n = look.index(True) if True in look else len(look)
-        ids = table.column("doc_id")
-        out = []
-        text, kept = None, None
-        for k in range(n + 1):
-            after = table.column("text")[min(k, len(look) - 1)].as_py() or ""
-            new = winnow(after, gram, window)
-            if k:
-                t = edited(text, after)
-                e = winnow(t, gram, window)
-                a, b, c = (np.unique(x[0]) for x in (kept, e, new))
-                out.append((ids[k - 1].as_py(), len(text), hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*kept), encoded(*e), likeness(a, b), likeness(a, c)))
-            text, kept = after, new
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SCHEMA_PA.types, strict=True)], schema=SCHEMA_PA) if out else SCHEMA_PA.empty_table()
+        texts = [t or "" for t in table.column("text").slice(0, n + 1).to_pylist()]
+        if not n:
+            return SCHEMA_PA.empty_table()
+        # the row after the last one; none follows if the range is the whole table and its first row came along as look
+        texts += texts[-1:] if len(texts) == n else []
+        parts = []
+        upto = np.cumsum([len(t) for t in texts])
+        i = 0
+        while i < n:
+            # about as many characters at a time, and the text after them
+            j = min(n, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PART, "right"))))
+            parts.append(_part(table.column("doc_id").slice(i, j - i), texts[i : j + 1], gram, window))
+            i = j
+        return pa.concat_tables(parts)
 
     return in_order(docs).groupBy("bucket").applyInArrow(f, SCHEMA)
 
