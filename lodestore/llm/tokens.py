@@ -28,13 +28,16 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ľŁ-ňŊ-žǍ-ǜ"
 
 def _shown(piece: str) -> str:
     """A piece as the byte-level vocabularies spell it: every byte is a visible character."""
+    if piece.isascii() and "\n" not in piece:
+        # of the plain characters only the blank is spelled in another way
+        return piece.replace(" ", _SPELLING[0x20])
     return piece.encode().decode("latin-1").translate(_SPELLING)
 
 
-def _spelling() -> dict[int, int]:
+def _spelling() -> dict[int, str]:
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in visible]
-    return {b: 256 + k for k, b in enumerate(hidden)}
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 _SPELLING = _spelling()
