@@ -1,8 +1,8 @@
 """Similarity retrieval with exact, named top-k semantics.
 
-Queries against all keys: the keys are scanned once, in parallel; each task multiplies blocks of keys with a
-block of queries and keeps only the best of them for every query, so what is shuffled is queries times window
-times tasks, never all pairs.  Queries are taken in blocks of a bounded number of bytes.
+Queries against all keys: both are dealt to blocks, and each pair of a query block and a key block is one group of
+a cogroup, so neither passes through the driver.  A group multiplies tiles of a bounded size and keeps the best of
+the window for every query; what is shuffled then is queries times window times key blocks, never all pairs.
 
 Order is by similarity, ties by the ordinal of the key.  The window is cut before filters that are not
 monotone in the similarity (self matches, deleted rows, categories), as its size is part of the semantics.
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import vector as V
 
-#: Bytes of query vectors that are sent to the tasks at once.
+#: Bytes of query vectors in a block, and of scores that a task holds at once.
 BLOCK_BYTES = 64 << 20
+TILE_BYTES = 64 << 20
+#: Keys that are scored at a time.
+TILE_KEYS = 4096
 SCALE = 6
 
 
@@ -36,50 +39,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(window: int, metric: str, ids: np.ndarray, q: np.ndarray):
-    qq = (q * q).sum(axis=1)
+FOUND = pa.schema([("query_id", pa.int64()), ("ord", pa.int64()), ("sim", pa.float64())])
+
 
-    def f(batches):
-        top_s, top_o = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            v, o = _matrix(b.column("vec")), b.column("ord").to_numpy()
-            for i in range(0, len(o), 4096):
-                k = v[i : i + 4096]
-                s = q @ k.T
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum(qq[:, None] + (k * k).sum(axis=1)[None] - 2 * s, 0))
-                # ties are decided on rounded scores, so that they do not depend on the order of summation
-                s = np.round(np.concatenate((top_s, s), axis=1), 9)
-                at = np.concatenate((top_o, np.broadcast_to(o[i : i + 4096], (len(ids), len(k)))), axis=1)
-                if s.shape[1] > window:
-                    # everything that is not below the window's last score, then in order
-                    least = -np.partition(-s, window - 1, axis=1)[:, window - 1]
-                    keep = max(window, int((s >= least[:, None]).sum(axis=1).max()))
-                    part = np.argpartition(-s, min(keep, s.shape[1] - 1), axis=1)[:, :keep] if keep < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                    s, at = np.take_along_axis(s, part, 1), np.take_along_axis(at, part, 1)
-                    order = np.lexsort((at, -s), axis=1)[:, :window]
-                    s, at = np.take_along_axis(s, order, 1), np.take_along_axis(at, order, 1)
-                top_s, top_o = s, at
-        n = top_s.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(top_o.ravel()), pa.array(top_s.ravel())], names=["query_id", "ord", "sim"])
+def _tile_best(window: int, metric: str, q: np.ndarray, v: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ordinals of the best keys of each query of a tile."""
+    qq = (q * q).sum(axis=1)
+    top_s, top_o = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
+    for i in range(0, len(o), TILE_KEYS):
+        k = v[i : i + TILE_KEYS]
+        s = q @ k.T
+        if metric == "l2":
+            s = -np.sqrt(np.maximum(qq[:, None] + (k * k).sum(axis=1)[None] - 2 * s, 0))
+        # ties are decided on rounded scores, so that they do not depend on the order of summation
+        s = np.round(np.concatenate((top_s, s), axis=1), 9)
+        at = np.concatenate((top_o, np.broadcast_to(o[i : i + TILE_KEYS], (len(q), len(k)))), axis=1)
+        if s.shape[1] > window:
+            # everything that is not below the window's last score, then in order
+            least = -np.partition(-s, window - 1, axis=1)[:, window - 1]
+            keep = max(window, int((s >= least[:, None]).sum(axis=1).max()))
+            part = np.argpartition(-s, min(keep, s.shape[1] - 1), axis=1)[:, :keep] if keep < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+            s, at = np.take_along_axis(s, part, 1), np.take_along_axis(at, part, 1)
+            order = np.lexsort((at, -s), axis=1)[:, :window]
+            s, at = np.take_along_axis(s, order, 1), np.take_along_axis(at, order, 1)
+        top_s, top_o = s, at
+    return top_s, top_o
+
+
+def _block_best(window: int, metric: str):
+    def f(queries: pa.Table, keys: pa.Table) -> pa.Table:
+        if not queries.num_rows or not keys.num_rows:
+            return FOUND.empty_table()
+        ids, ords = queries.column("query_id").to_numpy(), keys.column("ord").to_numpy()
+        q, v = (_matrix(t.column("vec").combine_chunks()) for t in (queries, keys))
+        rows = max(1, TILE_BYTES // (8 * (TILE_KEYS + window)))
+        out = []
+        for i in range(0, len(ids), rows):
+            s, at = _tile_best(window, metric, q[i : i + rows], v, ords)
+            out.append(pa.table([np.repeat(ids[i : i + rows], s.shape[1]), at.ravel(), s.ravel()], schema=FOUND))
+        return pa.concat_tables(out)
 
     return f
 
 
 def candidates(queries: DataFrame, keys: DataFrame, window: int, metric: str = "cosine") -> DataFrame:
-    """query_id, ord, sim, rank <= window; queries(query_id, vec), keys(ord, vec) as keys_of makes them."""
+    """query_id, ord, sim, rank <= window; queries(query_id, vec), keys(ord, vec) as keys_of makes them.
+
+    Query blocks hold BLOCK_BYTES of vectors; key blocks follow spark.sql.shuffle.partitions.
+    """
     n = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
-    per_block = max(1, BLOCK_BYTES // (8 * max(n[1] or 1, 1)))
-    blocks = -(-n[0] // per_block)
-    found = None
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        table = mine.select("query_id", "vec").toArrow().combine_chunks()
-        f = _best(window, metric, table.column("query_id").to_numpy(), _matrix(table.column("vec").combine_chunks()))
-        part = keys.mapInArrow(f, "query_id long, ord long, sim double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, ord long, sim double, rank int")
+    query_blocks = max(1, -(-n[0] // max(1, BLOCK_BYTES // (8 * max(n[1] or 1, 1)))))
+    key_blocks = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    q = queries.select("query_id", "vec", block("query_id", query_blocks).alias("qb"), every(key_blocks).alias("kb"))
+    k = keys.select("ord", "vec", block("ord", key_blocks).alias("kb"), every(query_blocks).alias("qb"))
+    found = q.groupBy("qb", "kb").cogroup(k.groupBy("qb", "kb")).applyInArrow(_block_best(window, metric), "query_id long, ord long, sim double")
     return ranked(found, window)
 
 
@@ -134,6 +149,20 @@ def recent(rows: DataFrame, k: int, start=None, end=None, category: Column | Non
     return out if files is None else out.join(files, "ord", "left_semi")
 
 
+def at_path(meta: Column, path: str) -> Column:
+    """The value at a dotted path of a variant (null if a step is missing), as text."""
+    return F.try_variant_get(meta, "$" + "".join(f'["{p}"]' for p in path.split(".")), "string")
+
+
+def matches(meta: Column, wanted: dict[str, object]) -> Column:
+    """Whether every dotted path of `wanted` is there and has that value."""
+    ok = F.lit(True)
+    for path, value in wanted.items():
+        text = str(value).lower() if isinstance(value, bool) else str(value)
+        ok = ok & F.coalesce(at_path(meta, path) == F.lit(text), F.lit(False))
+    return ok
+
+
 def first_matching(rows: DataFrame, condition: Column, k: int) -> DataFrame:
     return rows.where(F.coalesce(condition, F.lit(False))).orderBy("ord").limit(k)
 
