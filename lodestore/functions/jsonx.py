@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import filled
+from lodestore.functions.vector import let
 
 STRATEGIES = ("single_column", "two_column", "side_by_side", "compact", "emphasis", "grid", "text_wrap", "panoramic")
 LAYOUT = "struct<strategy:string,width_class:string,image_scale:string,content_priority:string,truncation:string,font_profile:string>"
@@ -31,22 +32,32 @@ def response_json(c: Column) -> Column:
 
 
 def fenced_json(c: Column) -> Column:
-    """As response_json, with the inside of a fenced block first."""
+    """The first of these that is JSON: the inside of a fenced block, the first flat object, the whole; else null."""
     s = without_thoughts(c)
-    return F.coalesce(filled(F.regexp_extract(s, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)), filled(F.regexp_extract(s, r"\{[^{}]*\}", 0)), s)
+    tries = F.array(F.regexp_extract(s, r"(?s)```(?:json)?\s*(\{[^`]+\})\s*```", 1), F.regexp_extract(s, r"\{[^{}]*\}", 0), s)
+    return F.get(F.filter(tries, lambda x: F.coalesce(F.try_parse_json(x).isNotNull(), F.lit(False))), F.lit(0))
 
 
 def layout_params(c: Column) -> Column:
     """Layout parameters of a response, defaults for missing ones; null if there is no JSON object."""
-    p = F.from_json(fenced_json(c), LAYOUT)
-    known = F.try_parse_json(fenced_json(c))
-    made = F.struct(*[F.coalesce(filled(p[k]), F.lit(d)).alias(k) for k, (_, d) in CHOICES.items()])
-    return F.when(known.isNotNull() & p.isNotNull(), made)
+    made = lambda p: F.when(p.isNotNull(), F.struct(*[F.coalesce(filled(p[k]), F.lit(d)).alias(k) for k, (_, d) in CHOICES.items()]))
+    return let(F.from_json(fenced_json(c), LAYOUT), made)
 
 
-def valid_params(p: Column) -> Column:
+#: What a response has to name; the other parameters have defaults.
+REQUIRED = ("strategy", "width_class")
+
+
+def valid_response(c: Column) -> Column:
+    """Whether a response is JSON with a known strategy and width; other fields may be missing or odd."""
+    return let(F.from_json(fenced_json(c), LAYOUT), lambda p: valid_params(p, REQUIRED))
+
+
+def valid_params(p: Column, fields: tuple[str, ...] = tuple(CHOICES)) -> Column:
+    """Whether these fields have values that are allowed."""
     ok = F.lit(True)
-    for k, (values, _) in CHOICES.items():
+    for k in fields:
+        values = CHOICES[k][0]
         ok = ok & F.coalesce(p[k].isin(*values), F.lit(False))
     return ok
 
@@ -67,25 +78,31 @@ def write_decision(c: Column, candidates: Column) -> Column:
     Without JSON: CREATE if there is no candidate, else APPEND to the first; an unknown action is NOOP; an
     APPEND to a canvas that is not a candidate goes to the first.
     """
-    j = F.from_json(response_json(c), "action string, canvas_id string, topic string")
-    first = F.get(candidates, F.lit(0))
-    action = F.upper(j["action"])
-    parsed = action.isNotNull()
-    known = F.array_contains(candidates, j["canvas_id"])
-    chosen = F.when(~parsed & first.isNull(), "CREATE").when(~parsed, "APPEND").when(action.isin("CREATE", "APPEND", "NOOP"), action).otherwise("NOOP")
-    target = F.when(chosen == "APPEND", F.when(F.coalesce(known, F.lit(False)), j["canvas_id"]).otherwise(first))
-    return F.struct(chosen.alias("action"), target.alias("canvas_id"), j["topic"].alias("topic"))
+
+    def decided(j: Column) -> Column:
+        first = F.get(candidates, F.lit(0))
+        action = F.upper(j["action"])
+        parsed = action.isNotNull()
+        known = F.array_contains(candidates, j["canvas_id"])
+        chosen = F.when(~parsed & first.isNull(), "CREATE").when(~parsed, "APPEND").when(action.isin("CREATE", "APPEND", "NOOP"), action).otherwise("NOOP")
+        target = F.when(chosen == "APPEND", F.when(F.coalesce(known, F.lit(False)), j["canvas_id"]).otherwise(first))
+        return F.struct(chosen.alias("action"), target.alias("canvas_id"), j["topic"].alias("topic"))
+
+    return let(F.from_json(response_json(c), "action string, canvas_id string, topic string"), decided)
 
 
 def read_decision(c: Column, candidates: Column) -> Column:
     """RETRIEVE with the named candidates (the first if none is valid) or DIRECT_ANSWER."""
-    j = F.from_json(response_json(c), "action string, canvas_ids array<string>")
-    action = F.coalesce(F.upper(j["action"]), F.lit("RETRIEVE"))
-    valid = F.array_intersect(F.coalesce(j["canvas_ids"], F.array().cast("array<string>")), candidates)
-    ids = F.when(F.size(valid) > 0, valid).otherwise(F.slice(candidates, 1, 1))
-    none = F.array().cast("array<string>")
-    chosen = F.when(action == "DIRECT_ANSWER", action).otherwise("RETRIEVE")
-    return F.struct(chosen.alias("action"), F.when(chosen == "RETRIEVE", ids).otherwise(none).alias("canvas_ids"))
+
+    def decided(j: Column) -> Column:
+        action = F.coalesce(F.upper(j["action"]), F.lit("RETRIEVE"))
+        valid = F.array_intersect(F.coalesce(j["canvas_ids"], F.array().cast("array<string>")), candidates)
+        ids = F.when(F.size(valid) > 0, valid).otherwise(F.slice(candidates, 1, 1))
+        none = F.array().cast("array<string>")
+        chosen = F.when(action == "DIRECT_ANSWER", action).otherwise("RETRIEVE")
+        return F.struct(chosen.alias("action"), F.when(chosen == "RETRIEVE", ids).otherwise(none).alias("canvas_ids"))
+
+    return let(F.from_json(response_json(c), "action string, canvas_ids array<string>"), decided)
 
 
 def answers_of(c: Column) -> Column:

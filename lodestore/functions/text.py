@@ -35,6 +35,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+# Patterns by which an answer letter is found: stated, alone on a line, between delimiters.
+ANSWER_STATED = r"(?i)answer\s*(?:is|:)\s*\(?([A-F])\)?"
+ANSWER_ALONE = r"^[\s*(\[]*([A-Fa-f])[\s*)\].:]*$"
+ANSWER_APART = r"(?:^|[\s*(\[])([A-Fa-f])(?:[\s*)\].,;:!?]|$)"
+
+
 def last_answer(c: Column) -> Column:
     """The answer letter nearest to the end, else A.
 
@@ -43,10 +49,10 @@ def last_answer(c: Column) -> Column:
     """
     s = strip(c)
     lines = F.transform(F.reverse(F.split(s, "\n")), strip)
-    stated = lambda x: filled(F.regexp_extract(x, r"(?i)answer\s*(?:is|:)\s*\(?([A-F])\)?", 1))
-    lone = lambda x: filled(F.regexp_extract(x, r"^[\s*(\[]*([A-Fa-f])[\s*)\].:]*$", 1))
+    stated = lambda x: filled(F.regexp_extract(x, ANSWER_STATED, 1))
+    lone = lambda x: filled(F.regexp_extract(x, ANSWER_ALONE, 1))
     found = F.get(F.filter(F.transform(lines, lambda x: F.coalesce(stated(x), lone(x))), lambda x: x.isNotNull()), F.lit(0))
-    apart = F.regexp_extract_all(s, F.lit(r"(?:^|[\s*(\[])([A-Fa-f])(?:[\s*)\].,;:!?]|$)"), F.lit(1))
+    apart = F.regexp_extract_all(s, F.lit(ANSWER_APART), F.lit(1))
     some = F.regexp_extract_all(F.upper(s), F.lit("[A-F]"), F.lit(0))
     last = lambda a: F.element_at(F.when(F.size(a) > 0, a), -1)
     return F.coalesce(F.upper(F.coalesce(found, last(apart))), last(some), F.lit("A"))
@@ -78,14 +84,22 @@ def clip(c: Column, n: int, tail: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(tail))).otherwise(c)
 
 
+# Markdown that is replaced, in this order, and by what.
+MARKDOWN = (
+    (r"```[\s\S]*?```", "[text]"),
+    (r"`([^`]+)`", "$1"),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?m)^#{1,6}\s+", ""),
+)
+
+
 def markdown_strip(c: Column) -> Column:
-    """Fences, inline code, bold, italics, links and heading marks out, their text kept."""
-    s = F.regexp_replace(c, r"```[\s\S]*?```", "")
-    s = F.regexp_replace(s, r"`([^`]+)`", "$1")
-    s = F.regexp_replace(s, r"\*\*([^*]+)\*\*", "$1")
-    s = F.regexp_replace(s, r"\*([^*]+)\*", "$1")
-    s = F.regexp_replace(s, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    return F.regexp_replace(s, r"(?m)^#{1,6}\s+", "")
+    """Inline code, bold, italics, links and heading marks out, their text kept; a fenced block becomes a mark."""
+    for pattern, by in MARKDOWN:
+        c = F.regexp_replace(c, pattern, by)
+    return c
 
 
 def html_escape(c: Column) -> Column:
@@ -109,6 +123,12 @@ def table_markdown(header: Column, rows: Column, most: int = 10, cell: int = 50)
     return F.array_join(body, "\n")
 
 
+def table_rows(header: Column, rows: Column, most: int = 8, cell: int = 40) -> Column:
+    """headers, and the first rows with their cells cut."""
+    cut = F.transform(F.slice(rows, 1, most), lambda r: F.transform(r, lambda x: F.substring(x, 1, cell)))
+    return F.struct(header.alias("headers"), cut.alias("rows"))
+
+
 def recent_summary(items: Column, last: int = 5, size: int = 200) -> Column:
     """The last items joined by ` | `, cut to a size."""
     start = F.greatest(F.size(items) - F.lit(last - 1), F.lit(1))

@@ -171,7 +171,7 @@ def conversation_summary(spark, sf_dir):
 
 def paragraphs(spark, sf_dir):
     """Context of conversations: titles and sentences zipped, supporting ones kept."""
-    c = table(spark, sf_dir, "conversations").where("turn < 3").withColumn("s", F.struct("turn", "role", F.split("text", "\n").alias("lines")))
+    c = table(spark, sf_dir, "conversations").withColumn("s", F.struct("turn", "role", F.split("text", "\n").alias("lines")))
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     z = P.zip_paragraphs(F.transform("s", lambda x: F.concat(x["role"], x["turn"].cast("string"))), F.transform("s", lambda x: x["lines"]))
     keep = P.supporting(z, F.array(F.lit("user0"), F.lit("assistant1")))
@@ -248,7 +248,7 @@ case when ok and s <> 'odd' then w || '_medium_balanced_none_normal' else case w
     "page_text": """select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as text,
 length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'))::int n_escaped from pages""",
     "markdown_strip": r"""with m as (select doc_id, '## Head' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '**bold** and *it* `x` [name](http://a.b)' || chr(10) || text t from documents)
-select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '```[\s\S]*?```', '', 'g'), '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g') as text from m""",
+select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '```[\s\S]*?```', '[text]', 'g'), '`([^`]+)`', '\1', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g') as text from m""",
     "table_markdown": """with r as (select l_orderkey, list('| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' |' order by l_linenumber, l_partkey, l_returnflag) r from lineitem group by 1)
 select l_orderkey, concat_ws(chr(10), '| line | part | flag |', '| --- | --- | --- |', array_to_string(r[1:3], chr(10)), case when len(r) > 3 then '... (' || len(r) || ' rows total)' end) md from r""",
     "pipe_tables": r"""with l as (select doc_id, string_split(text, chr(10)) l from documents),
@@ -256,7 +256,7 @@ p as (select doc_id, list_filter(list_transform(list_filter(l, lambda x: length(
 list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) < 4) t from l)
 select doc_id, len(r)::int n_rows, coalesce(list_sum(list_transform(r, lambda x: len(x))), 0)::int n_cells, length(array_to_string(t, chr(10)))::int prose_chars from p""",
     "conversation_summary": "with g as (select conv_id, list(text order by turn) t from conversations group by 1) select conv_id, array_to_string(t[greatest(len(t) - 4, 1):], ' | ')[1:200] summary, len(t)::bigint n_items from g",
-    "paragraph_context": """with p as (select conv_id, turn, role || turn title, replace(text, chr(10), ' ') as text from conversations where turn < 3),
+    "paragraph_context": """with p as (select conv_id, turn, role || turn title, replace(text, chr(10), ' ') as text from conversations),
 z as (select conv_id, list('[' || title || ']' || chr(10) || text[1:500] order by turn) c, list('[' || title || ']' || chr(10) || case when length(text) > 300 then text[1:300] || '...' else text end order by turn) filter (where title in ('user0', 'assistant1')) s from p group by 1)
 select conv_id, array_to_string(c, chr(10) || chr(10)) as context, coalesce(array_to_string(s, chr(10) || chr(10)), '') supporting from z""",
 }

@@ -59,7 +59,7 @@ def test_first_letter(spark):
 
 
 def test_markup(spark):
-    assert one(spark, T.markdown_strip(lit("# T\n**b** [x](y) `c` ```\nz\n```")))[0] == "T\nb x c "
+    assert one(spark, T.markdown_strip(lit("# T\n**b** [x](y) `c` ```\nz\n```")))[0] == "T\nb x c [text]"
     assert one(spark, T.html_escape(lit("<a&'\">")))[0] == "&lt;a&amp;&#x27;&quot;&gt;"
     rows = F.array(arr("1", "2"), arr("3", "4"))
     assert one(spark, T.table_markdown(arr("x", "y"), rows, 1))[0] == "| x | y |\n| --- | --- |\n| 1 | 2 |\n... (2 rows total)"
