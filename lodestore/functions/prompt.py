@@ -55,6 +55,7 @@ Now answer the following new question using the context below.
 Question: {question}
 Answer concisely:""",
 }
+# Further prompt texts, which models are sensitive to.
 MULTI_HOP_INSTRUCTION = "Below are memory canvases from previously solved similar questions. Each canvas shows: relevant context passages, the question, and the correct answer (marked with ✓). Study these canvases carefully."
 QA_HEAD = "The image above shows reference material (background knowledge, context, and/or figures). Use ONLY the information in the image to answer the following question."
 QA_END = "Answer with ONLY the letter (A, B, C, etc.)."
@@ -118,3 +119,43 @@ def supporting(paragraphs: Column, titles: Column, most: int = 300) -> Column:
 def canvas_line(canvas_id: Column, topic: Column, items: Column, patches: Column, most: Column, summary: Column) -> Column:
     share = F.round(100.0 * patches / most, 0).cast("int")
     return F.concat(F.lit("["), canvas_id, F.lit("] "), topic, F.lit(" ("), items.cast("string"), F.lit(" items, "), share.cast("string"), F.lit("% full): "), summary)
+
+
+# What the agent is asked when it writes, reads and lays out.
+EMPTY_LIBRARY = "(empty — no canvases yet)"
+WRITE = "<canvas_library>\n{library}\n</canvas_library>\n\n<new_knowledge>\n{knowledge}\n</new_knowledge>\n\nDecide how to store this knowledge."
+READ = "<question>{question}</question>\n\n<candidates>\n{candidates}\n</candidates>\n\nWhich canvases should be retrieved to answer the question?"
+LAYOUT_HEAD = "You are a canvas layout agent. Given content blocks, output the optimal layout as JSON.\n\nContent blocks:"
+LAYOUT_END = "\nAvailable strategies: {strategies}\nOutput JSON with keys: strategy, width_class(narrow/medium/wide), image_scale(small/medium/large), content_priority(question_first/context_first/balanced), truncation(none/light/heavy), font_profile(compact/normal/large)"
+
+
+def _filled(template: str, **parts: Column) -> Column:
+    """The template with its fields; a field's text is not looked at for further fields."""
+    out, rest = [], template
+    for name, c in parts.items():
+        before, rest = rest.split("{" + name + "}", 1)
+        out += [F.lit(before), c]
+    return F.concat(*out, F.lit(rest))
+
+
+def write_prompt(library: Column, knowledge: Column) -> Column:
+    """library: a display line for each canvas."""
+    shown = F.when(F.size(library) > 0, F.array_join(library, "\n")).otherwise(F.lit(EMPTY_LIBRARY))
+    return _filled(WRITE, library=shown, knowledge=knowledge)
+
+
+def read_prompt(question: Column, candidates: Column) -> Column:
+    """candidates: structs of canvas_id, topic, score and summary."""
+    line = lambda c: F.concat(F.lit("[Canvas #"), c["canvas_id"], F.lit('] Topic: "'), c["topic"], F.lit('" | Similarity: '), F.format_string("%.2f", c["score"] + F.lit(0.0)), F.lit("\n  Summary: "), F.coalesce(F.substring(filled(c["summary"]), 1, 200), F.lit("No summary")))
+    return _filled(READ, question=question, candidates=F.array_join(F.transform(candidates, line), "\n"))
+
+
+def layout_prompt(blocks: Column) -> Column:
+    """blocks as the layout operators take them."""
+    from lodestore.functions.jsonx import STRATEGIES
+
+    number = lambda i: F.concat(F.lit("  #"), i.cast("string"))
+    text = lambda b, i: F.concat(number(i), F.lit(" [text/"), b["role"], F.lit("] "), F.length(b["text"]).cast("string"), F.lit(" chars, font="), b["font"].cast("string"))
+    image = lambda b, i: F.concat(number(i), F.lit(" [image/"), b["role"], F.lit("] "), b["w"].cast("string"), F.lit("x"), b["h"].cast("string"), F.lit(", ar="), F.format_string("%.2f", b["w"] / F.greatest(b["h"], F.lit(1))))
+    lines = F.array_join(F.transform(blocks, lambda b, i: F.when(b["type"] == "image", image(b, i)).otherwise(text(b, i))), "\n")
+    return F.concat(F.lit(LAYOUT_HEAD + "\n"), lines, F.lit("\n" + LAYOUT_END.replace("{strategies}", ", ".join(STRATEGIES))))
