@@ -29,17 +29,22 @@ def get(name: str) -> Model:
     return _models[name]
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """A unit vector from the hashes of a text; equal texts have equal vectors, a null text the zero vector."""
-    h = lambda i: F.xxhash64(F.coalesce(text, F.lit("")), i)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(text.isNull(), F.lit(0.0)).otherwise(F.pmod(h(i), F.lit(2001)) / 1000.0 - 1.0))
-    return normalize(raw).cast("array<float>")
+def _number(text: Column) -> Column:
+    """32 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def hash_embedding(text: Column, dim: int = 64, unit: bool = True) -> Column:
+    """A vector from the hashes of a text, of unit length if wanted; equal texts have equal vectors, a null text the zero vector."""
+    at = lambda i: _number(F.concat(F.coalesce(text, F.lit("")), F.lit(":"), i.cast("string"))) % 2001 / F.lit(1000.0) - 1.0
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(text.isNull(), F.lit(0.0)).otherwise(at(i)))
+    return normalize(raw).cast("array<float>") if unit else raw
 
 
 def first_choice(question: Column, choices: Column) -> Column:
     """An answer letter from the hash of the question and its choices."""
     n = F.greatest(F.size(choices), F.lit(1))
-    return F.char(F.lit(65) + F.pmod(F.xxhash64(question, format_choices(choices)), n).cast("int"))
+    return F.char(F.lit(65) + _number(F.concat_ws("\n", question, format_choices(choices))) % n)
 
 
 register("hash_embedding", hash_embedding)

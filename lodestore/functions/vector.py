@@ -56,6 +56,12 @@ def mean_pool(tokens: Column) -> Column:
     return F.transform(total, lambda x: x / F.size(tokens))
 
 
+def ranking_loss(rows: Column, margin: float) -> Column:
+    """Mean hinge loss over the pairs of a batch of structs (y, p) with unequal y; null without such a pair."""
+    pairs = F.flatten(F.transform(rows, lambda a, i: F.transform(F.filter(F.slice(rows, i + 2, F.size(rows)), lambda b: b["y"] != a["y"]), lambda b: F.greatest(F.lit(0.0), F.lit(margin) - F.signum(a["y"] - b["y"]) * (a["p"] - b["p"])))))
+    return let(pairs, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)))
+
+
 def concat_tokens(a: Column, b: Column) -> Column:
     return F.concat(a, b)
 

@@ -10,18 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ordinals of a range in which the actions of a topic are numbered in one group.
+RANGE = 1 << 16
+
+
 def replay(log: DataFrame, capacity: int) -> DataFrame:
     """log(ord, action, topic, text): canvas, topic, n_items, summary, created_at and last_at for every canvas.
 
     NOOP does nothing; CREATE starts a canvas of the topic, APPEND goes to the last one or, if there is none or
     it is full, starts the next, whose topic is marked "(cont.)".  Times are ordinals.
     """
-    acts = log.where(F.upper("action").isin("CREATE", "APPEND"))
-    w = Window.partitionBy("topic").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    acts = log.where(F.upper("action").isin("CREATE", "APPEND")).withColumn("range", F.floor(F.col("ord") / RANGE))
+    acts = acts.withColumn("new", (F.upper("action") == "CREATE").cast("long"))
+    # a busy topic is numbered range by range: inside a range, plus what the ranges before come to
+    upto = Window.partitionBy("topic").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    created = acts.groupBy("topic", "range").agg(F.sum("new").alias("n")).select("topic", "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("runs_before"))
+    inside = Window.partitionBy("topic", "range").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     # runs between CREATEs; inside a run every `capacity` items fill a canvas
-    runs = acts.withColumn("run", F.sum((F.upper("action") == "CREATE").cast("int")).over(w))
-    inside = Window.partitionBy("topic", "run").orderBy("ord")
-    rows = runs.withColumn("part", F.floor((F.row_number().over(inside) - 1) / capacity))
+    runs = acts.withColumn("run", F.sum("new").over(inside)).join(created, ["topic", "range"]).withColumn("run", F.col("run") + F.col("runs_before"))
+    along = Window.partitionBy("topic", "run").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    filled = runs.groupBy("topic", "run", "range").agg(F.count("*").alias("n")).select("topic", "run", "range", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("items_before"))
+    place = F.row_number().over(Window.partitionBy("topic", "run", "range").orderBy("ord")) - 1
+    rows = runs.withColumn("place", place).join(filled, ["topic", "run", "range"]).withColumn("part", F.floor((F.col("place") + F.col("items_before")) / capacity))
     items = F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     out = rows.groupBy("topic", "run", "part").agg(F.count("*").alias("n_items"), items.alias("items"), F.min("ord").alias("created_at"), F.max("ord").alias("last_at"))
     name = F.when(F.col("part") > 0, F.concat("topic", F.lit(" (cont.)"))).otherwise(F.col("topic"))
@@ -40,8 +50,8 @@ def resolve_batch(new: DataFrame) -> DataFrame:
     that would MERGE into the same row the most similar does (then the smallest id), the others are added; ADD
     adds.  Decisions of a batch do not see each other, so a batch is one parallel job.
     """
-    w = Window.partitionBy("neighbour").orderBy(F.desc("sim"), "query_id")
-    first = F.row_number().over(w)
-    rows = new.withColumn("_n", F.when(F.col("action") == "MERGE", first))
-    done = F.when(F.col("action") == "REMAIN", "kept").when((F.col("action") == "MERGE") & (F.col("_n") == 1), "merged").otherwise("added")
-    return rows.select("query_id", done.alias("outcome"), F.when(done == "merged", F.col("neighbour")).alias("target"))
+    merging = new.where(F.col("action") == "MERGE")
+    first = merging.groupBy("neighbour").agg(F.min_by("query_id", F.struct(-F.col("sim"), "query_id")).alias("query_id"))
+    rows = new.join(first.select("query_id", F.col("neighbour").alias("target")), "query_id", "left")
+    done = F.when(F.col("action") == "REMAIN", "kept").when(F.col("target").isNotNull(), "merged").otherwise("added")
+    return rows.select("query_id", done.alias("outcome"), "target")

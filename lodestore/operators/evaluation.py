@@ -55,7 +55,8 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
     quota = max(1, n // max(rows.select(stratum).distinct().count(), 1))
     w = Window.partitionBy(stratum).orderBy("_m", key)
-    marked = rows.withColumn("_m", mark).withColumn("_r", F.row_number().over(w))
+    # no stratum gives more than n, so tasks pass on the first n of each before the strata meet
+    marked = rows.withColumn("_m", mark).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     return marked.orderBy((F.col("_r") > quota).cast("int"), "_m", key).limit(n).drop("_m", "_r")
 
 
@@ -78,3 +79,56 @@ def layout_accuracy(wanted: DataFrame, table: DataFrame) -> DataFrame:
     wide = table.select("acc", F.explode(inside).alias("width")).groupBy("width").agg(F.avg("acc").alias("wide"))
     rows = wanted.join(table.select("hash", "acc"), "hash", "left").join(near, ["strategy", "width"], "left").join(wide, "width", "left")
     return rows.select("id", "hash", F.coalesce("acc", F.col("near") * 0.9, F.col("wide") * 0.7, F.lit(0.3)).alias("expected"))
+
+
+def strategy_of(config: Column, strategies: tuple[str, ...]) -> Column:
+    """The first strategy, in their order, that a configuration's name starts with; else what is before the first `_`."""
+    known = F.coalesce(*[F.when(config.startswith(s), F.lit(s)) for s in strategies])
+    return F.coalesce(known, F.substring_index(config, "_", 1))
+
+
+def strategy_accuracy(results: DataFrame, strategies: tuple[str, ...]) -> DataFrame:
+    """strategy, total, correct, accuracy from results(pid, config_hash, correct)."""
+    named = results.select(strategy_of(F.col("config_hash"), strategies).alias("strategy"), "correct")
+    return named.groupBy("strategy").agg(F.count("*").alias("total"), F.sum(F.col("correct").cast("long")).alias("right"), F.avg(F.col("correct").cast("double")).alias("accuracy")).select("strategy", "total", F.col("right").alias("correct"), "accuracy")
+
+
+def reward_table(results: DataFrame, order: str = "ord") -> DataFrame:
+    """pid, config_hash, accuracy (1 or 0): of a pair that was evaluated again the last result counts."""
+    last = results.groupBy("pid", "config_hash").agg(F.max_by("correct", order).alias("correct"))
+    return last.select("pid", "config_hash", F.col("correct").cast("double").alias("accuracy"))
+
+
+def block_info(results: DataFrame, order: str = "ord") -> DataFrame:
+    """pid, total_chars, has_image, n_blocks, has_knowledge: characters of the first result's question and choices;
+    an image if any result names a figure or has a canvas; the last two are constants."""
+    chars = F.length(F.coalesce("question", F.lit(""))) + F.aggregate(F.coalesce("choices", F.array().cast("array<string>")), F.lit(0), lambda s, c: s + F.length(c))
+    pictured = F.contains("config_hash", F.lit("figure")) | (F.coalesce("canvas_w", F.lit(0)) > 0)
+    found = results.groupBy("pid").agg(F.min_by(chars, order).cast("long").alias("total_chars"), F.bool_or(pictured).alias("has_image"))
+    return found.select("*", F.lit(5).alias("n_blocks"), F.lit(True).alias("has_knowledge"))
+
+
+def train_split(rows: DataFrame, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """rows with `split`: train for the first int(share * n) in hash order, val for the others."""
+    from lodestore.session import ranked_over_all
+
+    cut = int(rows.count() * share)
+    mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    ranked = ranked_over_all(rows, [mark, F.col(key)], "_rank")
+    return ranked.withColumn("split", F.when(F.col("_rank") <= cut, "train").otherwise("val")).drop("_rank")
+
+
+def training_records(problems: DataFrame, rewards: DataFrame) -> DataFrame:
+    """Nested rows data_source, prompt, ability, reward_model, extra_info for problems(pid, question, system, user,
+    block_info) that have rewards(pid, config_hash, accuracy); the ground truth is JSON of the rewards and block_info."""
+    tables = rewards.groupBy("pid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("config_hash", "accuracy")))).alias("qa_table"))
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    truth = F.to_json(F.struct("qa_table", "block_info"))
+    return problems.join(tables, "pid").select(
+        "pid",
+        F.lit("layout_agent").alias("data_source"),
+        F.array(said("system", "system"), said("user", "user")).alias("prompt"),
+        F.lit("layout").alias("ability"),
+        F.struct(truth.alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
+        F.struct(F.col("pid").cast("string").alias("pid"), F.col("pid").alias("index"), "question").alias("extra_info"),
+    )

@@ -76,8 +76,10 @@ def last_access(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
 
 
-def simulated(spark, sf_dir, interval: int = 40, threshold: int = 0, epochs: int = 3):
+def simulated(spark, sf_dir, reviews: int = 8, threshold: int = 0, epochs: int = 3):
+    """Forgetting with about so many reviews, whatever the number of queries."""
     q, k, _ = sides(spark, sf_dir)
+    interval = max(1, q.count() * epochs // reviews)
     found = R.candidates(q, k, 30).where(F.col("ord") != F.col("query_id"))
     found = found.select("query_id", F.col("ord").alias("mem_id"), "rank")
     steps = q.select("query_id", F.floor(F.col("query_id") / EVERY).alias("step"))
@@ -86,12 +88,12 @@ def simulated(spark, sf_dir, interval: int = 40, threshold: int = 0, epochs: int
 
 
 def forgetting_snapshots(spark, sf_dir):
-    """Reviews of the simulation, as many as fit; the interval follows the number of queries."""
-    return simulated(spark, sf_dir, 4)[1]
+    """Reviews of the simulation; the interval follows the number of queries."""
+    return simulated(spark, sf_dir)[1]
 
 
 def forgetting_state(spark, sf_dir):
-    return simulated(spark, sf_dir, 4)[0].select("mem_id", "quality", "hits")
+    return simulated(spark, sf_dir)[0].select("mem_id", "quality", "hits")
 
 
 def eviction(strategy: str):
@@ -238,14 +240,11 @@ def set_equality(spark, sf_dir):
 
 
 def ranking_loss(spark, sf_dir):
-    """Mean squared error and margin ranking loss within groups of suppliers of a nation."""
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") / 10000).alias("y"), ((F.col("s_suppkey") * 37 % 100) / 100).alias("p"))
-    a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.col("a.y") != F.col("b.y")))
-    sign = F.signum(F.col("a.y") - F.col("b.y"))
-    rank = pairs.groupBy(F.col("a.s_nationkey").alias("s_nationkey")).agg(F.round(F.avg(F.greatest(F.lit(0.0), 0.1 - sign * (F.col("a.p") - F.col("b.p")))), 6).alias("ranking"))
-    mse = s.groupBy("s_nationkey").agg(F.round(F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("mse"))
-    return mse.join(rank, "s_nationkey", "left")
+    """Mean squared error and margin ranking loss of training batches of 32 suppliers: pairs are those of a batch."""
+    s = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 32).alias("batch"), F.struct((F.col("s_acctbal") / 10000).alias("y"), ((F.col("s_suppkey") * 37 % 100) / 100).alias("p")).alias("v"))
+    g = s.groupBy("batch").agg(F.collect_list("v").alias("v"))
+    mse = F.aggregate("v", F.lit(0.0), lambda t, x: t + (x["y"] - x["p"]) * (x["y"] - x["p"])) / F.size("v")
+    return g.select("batch", F.round(mse, 6).alias("mse"), F.round(V.ranking_loss(F.col("v"), 0.1), 6).alias("ranking"))
 
 
 def mean_pooled(spark, sf_dir):
@@ -270,9 +269,10 @@ def batch_outcomes(spark, sf_dir):
 
 
 def stub_answers(spark, sf_dir):
-    """Hash answers to questions about parts; rows only, as DuckDB has no XXH64."""
+    """Hash answers to questions about parts, and the first numbers of hash embeddings."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", N.get("first_choice")(F.col("p_name"), F.array("p_brand", "p_type")).alias("answer"), F.round(V.norm(N.get("hash_embedding")(F.col("p_name"))), 4).alias("norm"))
+    e = N.get("hash_embedding")(F.col("p_name"), 4, False)
+    return p.select("p_partkey", N.get("first_choice")(F.col("p_name"), F.array("p_brand", "p_type")).alias("answer"), *[e[k].alias(f"e{k}") for k in range(4)])
 
 
 QUERIES = {
@@ -365,8 +365,10 @@ e as (select id, h.hash, any_value(t.acc) acc, any_value(s) s, any_value(w) w fr
 select id, hash, round(coalesce(acc, (select avg(acc) from t where starts_with(t.hash, e.s || '_' || e.w)) * 0.9, (select avg(acc) from t where contains(t.hash, '_' || e.w || '_')) * 0.7, 0.3), 6)::double expected from e""",
     "auto_selection": "with c as (select s_nationkey % 5 encoder, s_suppkey % 4 alpha, round(avg(s_acctbal), 6) pct from supplier group by 1, 2 order by pct desc, encoder, alpha limit 3) select encoder, alpha, pct, unnest([1, 2, 3]) k from c",
     "set_equality": "with s as (select c_custkey k, coalesce(list_sort(list(distinct o_orderstatus) filter (where o_orderstatus is not null)), []) s from customer left join orders on o_custkey = c_custkey group by 1) select a.k, a.s = b.s same, array_to_string(list_sort(list_distinct(list_concat(a.s, b.s))), '') united from s a join s b on b.k = a.k + 1",
-    "ranking_loss": """with s as (select s_nationkey n, s_suppkey k, s_acctbal / 10000 y, (s_suppkey * 37 % 100) / 100 p from supplier),
+    "ranking_loss": """with s as (select s_suppkey // 32 n, s_suppkey k, s_acctbal / 10000 y, (s_suppkey * 37 % 100) / 100 p from supplier),
 r as (select a.n, round(avg(greatest(0.0, 0.1 - sign(a.y - b.y) * (a.p - b.p))), 6) ranking from s a join s b on a.n = b.n and a.k < b.k and a.y <> b.y group by 1)
-select s.n s_nationkey, round(avg((y - p) ** 2), 6) mse, any_value(ranking) ranking from s left join r using (n) group by 1""",
+select s.n batch, round(avg((y - p) ** 2), 6) mse, any_value(ranking) ranking from s left join r using (n) group by 1""",
+    "stub_answers": f"""select p_partkey, chr(65 + (('0x' || md5(p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type)[1:8])::bigint % 2)::int) answer,
+{", ".join(f"(('0x' || md5(p_name || ':{k}')[1:8])::bigint % 2001) / 1000.0::double - 1.0::double e{k}" for k in range(4))} from part""",
     "mean_pooling": "with p as (select label, (generate_subscripts(embedding, 1) - 1)::int place, unnest(embedding)::double x from embeddings) select label, place, round(avg(x), 6) mean from p group by 1, 2",
 }

@@ -61,7 +61,7 @@ def parse_labels(lines: DataFrame, strict: bool = True) -> DataFrame:
     if not strict:
         return rows.select("ord", F.get("p", F.lit(2)).alias("a"), F.get("p", F.lit(3)).alias("b"))
     key = F.split(F.get("p", F.lit(1)), ":", 2)
-    rows = rows.where(F.get("p", F.lit(1)).contains(":")).select("ord", F.get("p", F.lit(0)).alias("dataset"), F.get(key, F.lit(0)).alias("split"), F.get(key, F.lit(1)).alias("index"), F.slice("p", 3, 1000).alias("labels"))
+    rows = rows.where(F.get("p", F.lit(1)).contains(":")).select("ord", F.get("p", F.lit(0)).alias("dataset"), F.get(key, F.lit(0)).alias("split"), F.get(key, F.lit(1)).alias("index"), F.slice("p", 3, F.size("p")).alias("labels"))
     w = Window.partitionBy("dataset", "split", "index").orderBy(F.desc("ord"))
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "ord")
 
