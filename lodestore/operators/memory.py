@@ -90,11 +90,6 @@ def statistics(bank: DataFrame, category: str, size: str) -> DataFrame:
     return bank.rollup(category).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.grouping(category).alias("all_rows"))
 
 
-def ingest(new: DataFrame, action: str = "action") -> DataFrame:
-    """What becomes of each new memory by its duplicate action: kept rows to add and pairs to merge."""
-    return new.withColumn("target", F.when(F.col(action) == "MERGE", F.col("neighbour"))).where(F.col(action) != "REMAIN")
-
-
 class Bank:
     """A memory table under a folder: version=<n> sub-folders, the highest complete one counts."""
 
@@ -120,15 +115,31 @@ class Bank:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(f"{self.path}/version={found[-1] if version is None else version}")
 
-    def write(self, rows: DataFrame, partition_by: str | None = None) -> int:
-        n = (self.versions() or [0])[-1] + 1
+    def note(self, version: int | None = None) -> dict[str, int]:
+        """What was noted with a version, the last one if none is given."""
+        found = self.versions()
+        version = (found or [0])[-1] if version is None else version
+        fs, jvm = self._fs()
+        path = f"{self.path}/note={version}"
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
+            return {}
+        return {r["name"]: r["value"] for r in self.spark.read.parquet(path).collect()}  # a row for each name
+
+    def write(self, rows: DataFrame, partition_by: str | None = None, note: dict[str, int] | None = None) -> int:
+        """rows as the next version, with a note; without one that of the version before stays."""
+        found = self.versions()
+        n = (found or [0])[-1] + 1
+        kept = self.note() if note is None else note
+        if kept:
+            # before the version itself: a note counts only if its version is complete
+            self.spark.createDataFrame(sorted(kept.items()), "name string, value long").write.mode("overwrite").parquet(f"{self.path}/note={n}")
         w = rows.write.mode("overwrite")
         (w.partitionBy(partition_by) if partition_by else w).parquet(f"{self.path}/version={n}")
         return n
 
-    def change(self, f, partition_by: str | None = None) -> int:
+    def change(self, f, partition_by: str | None = None, note: dict[str, int] | None = None) -> int:
         """Write f(rows) as the next version."""
-        return self.write(f(self.read()), partition_by)
+        return self.write(f(self.read()), partition_by, note)
 
     def clear(self, condition: Column | None = None) -> int:
         return self.change(lambda d: d.limit(0) if condition is None else d.where(~F.coalesce(condition, F.lit(False))))
@@ -136,5 +147,25 @@ class Bank:
     def backup(self, path: str) -> None:
         self.read().write.parquet(path)
 
+    def get(self, key: str, name: str = "id") -> DataFrame:
+        """The row of an id; KeyError if there is none."""
+        row = self.read().where(F.col(name) == key)
+        if row.isEmpty():
+            raise KeyError(key)
+        return row
+
+    def export_array(self, path: str) -> None:
+        """The rows as one JSON array in order of ord, over the part files one after another."""
+        rows = self.read()
+        n = rows.count()
+        if not n:
+            rows.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
+            return
+        ranked = ranked_over_all(rows, [F.col("ord")], "_rank")
+        line = F.concat(F.when(F.col("_rank") == 1, "[").otherwise(","), F.to_json(F.struct(*[c for c in rows.columns if c != "ord"])), F.when(F.col("_rank") == n, "]").otherwise(""))
+        lines = ranked.select("_rank", line.alias("value")).orderBy("_rank")
+        lines.select("value").write.mode("overwrite").text(path)
+
     def export_json(self, path: str) -> None:
+        """The rows as JSON lines, in order, a file for each range of the order."""
         self.read().orderBy("ord").drop("ord").write.mode("overwrite").json(path)

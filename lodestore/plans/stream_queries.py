@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lodestore.operators import memory as B
 from lodestore.plans.common import table
-from lodestore.session import shared_folder
+from lodestore.session import run_folder
 from lodestore.sources import records as S
 from lodestore.streaming import access as A
 
 
-def folder(spark, name: str) -> str:
-    """A new folder that all executors see."""
-    shared_folder(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark, sf_dir):
     s = spark.readStream.schema(A.EVENT).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -26,7 +18,7 @@ def stream(spark, sf_dir):
 
 def finished(spark, rows, name: str, mode: str):
     """The result table of a stream that has run to its end."""
-    at = folder(spark, name)
+    at = run_folder(spark, name)
     if mode == "append":
         A.run_once(rows, f"{at}/checkpoint", f"{at}/out")
         return spark.read.parquet(f"{at}/out")
@@ -63,7 +55,7 @@ def sessions(spark, sf_dir):
 
 def jsonl_round_trip(spark, sf_dir):
     """Documents through gzipped JSON lines."""
-    at = folder(spark, "records")
+    at = run_folder(spark, "records")
     table(spark, sf_dir, "documents").write.option("compression", "gzip").json(at)
     back = S.read_jsonl(spark, f"{at}/*.json.gz", "doc_id long, text string, lang string, source string, n_chars long")
     return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang", "source")
@@ -71,7 +63,7 @@ def jsonl_round_trip(spark, sf_dir):
 
 def bank_versions(spark, sf_dir):
     """A bank written, changed twice and read: deletions by source, then an upsert."""
-    at = folder(spark, "bank")
+    at = run_folder(spark, "bank")
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.lit(0).alias("v"))
     bank = B.Bank(spark, at)
     bank.write(d)

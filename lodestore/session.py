@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the one the cluster names, else one of our own for local runs."""
+    """checkpoint() needs a folder: the one the cluster names, else, in local mode, one that goes with the process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[[^\[\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="lodestore-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    shared_folder(spark)
+    jvm = spark._jvm
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def ranked_over_all(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Rows with their rank, from 1, in the whole table, without a single task that sees all of them.
 

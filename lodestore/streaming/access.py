@@ -36,19 +36,25 @@ def each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int],
 
 
 class ReviewPolicy:
-    """Counts queries batch by batch; at `interval` or more a review comes and counting starts at 0 again."""
+    """Counts queries batch by batch; at `interval` or more a review comes and counting starts at 0 again.
+
+    The count and the last batch are noted with the bank's version, so a restart goes on from there and a batch that
+    is replayed changes nothing.
+    """
 
     def __init__(self, bank, interval: int, threshold: int):
-        self.bank, self.interval, self.threshold, self.seen = bank, interval, threshold, 0
+        self.bank, self.interval, self.threshold = bank, interval, threshold
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from lodestore.operators.forgetting import access_counts, reviewed
 
+        note = self.bank.note()
+        if batch_id <= note.get("batch", -1):
+            return
         ids = batch.select(F.col("user_id").cast("string").alias("id"))
-        self.seen += ids.count()
-        review = self.seen >= self.interval
-        if review:
-            self.seen = 0
+        seen = note.get("seen", 0) + ids.count()
+        review = seen >= self.interval
+        note = {"batch": batch_id, "seen": 0 if review else seen}
 
         def change(rows: DataFrame) -> DataFrame:
             rows = access_counts(rows, ids)
@@ -58,4 +64,4 @@ class ReviewPolicy:
             state = state.drop("demoted").withColumnRenamed("quality", "quality_level").withColumnRenamed("hits", "access_count")
             return state.withColumn("deleted", F.col("quality_level") == 4)
 
-        self.bank.change(change)
+        self.bank.change(change, note=note)
