@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import U, read_documents, shared_folder
-from lodestore.llm.graph import components
+from lodestore.llm.graph import components, joined_evenly
 
 SHINGLE = 4
 DISTANCE = 4
@@ -177,10 +177,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _rooted(fps: DataFrame, low: Column) -> DataFrame:
-    """fp, low (the aggregate of its rows), root (the smallest fingerprint of its component)."""
-    distinct = fps.groupBy("fp").agg(low.alias("low")).checkpoint()
+    """fp, low (the aggregate of its rows), n (how many rows), root (the smallest fingerprint of its component)."""
+    distinct = fps.groupBy("fp").agg(low.alias("low"), F.count("*").alias("n")).checkpoint()
     found = components(links(distinct))
-    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")).checkpoint()
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -193,9 +193,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     shared_folder(docs.sparkSession)
     fps = fingerprints(docs).checkpoint()
     named = _rooted(fps, F.min("doc_id"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = named.join(least, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # neither a large component nor a large group of equal fingerprints meets in one task
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    member = joined_evenly(named.select("fp", "root", F.col("n").alias("times")), least, "root", named.count()).select("fp", "component_id", F.col("times").alias("n"))
+    return joined_evenly(fps, member, "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def row_mark() -> Column:
