@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from lodestore.llm.mixing import mix, plan
+from lodestore.llm.mixing import PLAN, mix, plan
 
 
 def shares(sizes, repeat=3):
@@ -69,6 +69,24 @@ def test_empty(spark):
     assert plan(df).collect() == [] and mix(df).collect() == []
 
 
+def test_columns_that_clash(spark):
+    rows = [(d, "w " * (d % 5), f"s{d % 3}", d, d, d, d, d, "x", "y", d) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _s int, _n int, _m int, _b int, s int, SIZE string, Target string, row int")
+    got = plan(df)
+    assert {c for c in got.columns if c not in PLAN} == {"doc_id", "text", "source", "_s", "_n", "_m", "_b", "s", "row"}
+    assert sorted((x.doc_id, x._s, x.s, x["row"]) for x in got.collect()) == [(d,) * 4 for d in range(60)]
+    assert mix(df).count() == sum(x.copies for x in got.collect())
+
+
+def test_rates_add_up_to_the_same_at_every_time(spark):
+    rows = rows_of(7, True)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {(x.source_size, x.target, x.slope) for x in plan(df).collect()}
+    assert all(-1 <= s <= 1 for _, _, s in found)
+    total = sum(t for _, t, _ in found)
+    assert sum(t * s for _, t, s in found) == pytest.approx(0, abs=1e-6 * total)
+
+
 def test_query_is_what_the_mix_takes(spark, tmp_path, monkeypatch):
     import lodestore.llm.mixing as m
 
@@ -76,12 +94,32 @@ def test_query_is_what_the_mix_takes(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = m.op9_curriculum_mix(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "copies", "place"]
-    assert sorted(map(str, got.collect())) == sorted(map(str, plan(df).select(*got.columns).collect()))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "copies", "place", "first_position", "last_position"]
+    seven = got.columns[:7]
+    assert sorted(map(str, got.select(seven).collect())) == sorted(map(str, plan(df).select(*seven).collect()))
     at = [(x.doc_id, x.epoch, x.position) for x in m.op9_curriculum_positions(spark, str(tmp_path)).collect()]
     assert [x[2] for x in at] == sorted(x[2] for x in at)
     assert sorted(map(str, at)) == sorted(str((x.doc_id, x.epoch, x.position)) for x in mix(df).collect())
+    places = {}
+    for d, _, p in at:
+        places.setdefault(d, []).append(p)
+    for x in got.where("doc_id < 900").collect():
+        mine = places.get(x.doc_id)
+        want = (round(min(mine), 9), round(max(mine), 9)) if mine else (None, None)
+        assert (x.first_position, x.last_position) == (pytest.approx(want[0], abs=2e-9), pytest.approx(want[1], abs=2e-9)) if mine else (None, None)
     # a mix that drops its later epochs shows in taken
     whole = m.mixed
     monkeypatch.setattr(m, "mixed", lambda planned: whole(planned).where("epoch = 0"))
     assert sum(x.taken for x in m.op9_curriculum_mix(spark, str(tmp_path)).collect()) < sum(x.taken for x in got.collect())
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    import lodestore.llm.mixing as m
+
+    d = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, m.op9_curriculum_mix(spark, d).collect()))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    assert got == sorted(c.sql(m.ORACLE["op9_curriculum_mix"]).fetchall())
