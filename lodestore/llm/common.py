@@ -92,6 +92,15 @@ class Texts:
             i = j
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with as many underscores before them as keep them apart from those taken, whatever the case."""
+    known = {c.lower() for c in taken}
+    mark = "_"
+    while any((mark + w).lower() in known for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(32))
     x *= U(0xD6E8FEB86659FD93)

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from lodestore.llm.langid import UNKNOWN, fit, identify, subwords, train
+from lodestore.llm.langid import UNKNOWN, fit, identify, known_language, subwords, train
 
 VOCAB = {"en": ["the", "thing", "with", "shall", "hand"], "de": ["und", "schlich", "über", "nicht", "keit"], "fr": ["les", "été", "eux", "que", "ment"]}
 
@@ -40,6 +40,29 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert a.langs == b.langs and (a.table == b.table).all()
 
 
+def test_texts_of_no_language_are_rejected(spark):
+    rows = rows_of(600, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df)
+    assert 2.0**-15 < model.temperature < 2.0**9 and 0 < model.threshold <= 0.5
+    r = random.Random(3)
+    gibberish = ["".join(r.choice("qwxzkjvpyb  ") for _ in range(200)) for _ in range(50)]
+    other = [" ".join(r.choice(["pöytä", "kissa", "joki", "vuori", "ystävä"]) + r.choice(["lla", "ssa", "ksi"]) for _ in range(30)) for _ in range(50)]
+    script = ["слово дом река " * 9, "言葉と家" * 20]
+    for text in gibberish + other + script:
+        assert model.predict(text)[2], text
+    clean = [model.predict(t) for d, t, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert not any(x[2] for x in clean)
+
+
+def test_known_language_keeps_columns_that_clash(spark):
+    rows = rows_of(60)
+    df = spark.createDataFrame([(d, t, a, d, "x", False) for d, t, a in rows] + [(99, None, "en", 1, "y", True)], "doc_id long, text string, lang string, _score long, _Held_Out string, __rejected boolean")
+    got = known_language(df)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.where("text is not null").collect()))
+    assert known_language(df.limit(0)).collect() == []
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(x)[2:] for x in identify(df).collect()] == [(UNKNOWN, 0.0, True)]
