@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import shared_folder
-from lodestore.llm.langid import annotate
+from lodestore.llm.langid import known_language
 from lodestore.llm.mixing import mix
 from lodestore.llm.packing import pack_documents
 from lodestore.llm.simhash import row_mark, simhash_survivors
@@ -29,8 +29,11 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is not rejected."""
-    return _columns(annotate(docs.select(*COLUMNS)).where(~F.col("_rejected")))
+    """Keeps the documents whose language is not rejected.
+
+    Null and letterless texts go, and texts that look like no language of the labelled ones; rows are judged one by one.
+    """
+    return known_language(_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,24 +45,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the words under repeated 13-word windows out of the texts; texts without a word left go."""
+    """Takes the words under repeated 13-word windows out of the texts; texts without a word left go.
+
+    A null doc_id counts as the largest; rows of one doc_id do not count as earlier than each other.
+    """
     rows = substring_dedup(docs, with_text=True, keep=("lang", "source")).where("n_words > n_removed")
     return rows.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in training order: by part file, and by row in it."""
+    """A row for each time that the mix takes a document, in training order: by part file, and by row in it.
+
+    Null texts have no size; rows of a null source are a source of their own; repeated rows are taken one by one.
+    """
     return _columns(mix(docs, weights=WEIGHTS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and offset; those of a length take its places in training order.
+    """The pieces of all documents with ids, sequence and offset; those of a length take its places in training order.
 
-    The order is that of the files the stage before wrote: the number of the part, and the row in it.
+    The order is that of the files the stage before wrote: the number of the part, and the row in it.  A null text is
+    empty and still has its end id; repeated rows are documents of their own; an empty table gives no pieces.
     """
     part = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long")
     rows = docs.select("doc_id", "text", F.coalesce(part, F.lit(0)).alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return pack_documents(rows, sequence=SEQUENCE, order=("_file", "_row"))
+    return pack_documents(rows, sequence=SEQUENCE, order=("_file", "_row"), with_ids=True)
 
 
 STAGES = [

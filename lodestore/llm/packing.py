@@ -53,8 +53,11 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = Non
                     start.append(x)
                     length.append(y - x)
                     crc.append(zlib.crc32(raw[4 * x : 4 * y]))
-                    ids.append(np.frombuffer(raw[4 * x : 4 * y], "<i4") if with_ids else None)
-            cols = [pa.array(x, t) for x, t in ((doc, pa.int64()), (piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()), (ids, pa.list_(pa.int32())))]
+                    if with_ids:
+                        ids.append(np.frombuffer(raw[4 * x : 4 * y], "<i4"))
+            cols = [pa.array(x, t) for x, t in ((doc, pa.int64()), (piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()))]
+            upto = np.concatenate(([0], np.cumsum(np.array(length, np.int64)))).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))) if with_ids else pa.nulls(len(doc), pa.list_(pa.int32())))
             cols += [b.column(c).take(pa.array(row, pa.int64())) for c in order]
             yield pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", *order])
         e.pieces.rest()
@@ -196,7 +199,7 @@ def pack(rows: DataFrame, sequence: int = SEQUENCE, order: tuple[str, ...] = ())
     places = spark.sparkContext.broadcast(found)  # bounded by the number of patterns
     # ranks within a length: rank within a share of it, plus the sizes of the shares before
     shares = partitions(spark)
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("long")
+    share = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)).cast("long")
     if order:
         share = F.col(order[0]) * (1 << 24) + F.floor(F.col(order[1]) / ROWS)
     keyed = rows.withColumn("share", share)

@@ -94,7 +94,7 @@ def test_mix_order_reaches_packing(spark, tmp_path):
     mixed = docs.withColumn("n_chars", F.pmod(F.col("doc_id") * 77, F.lit(300)))
     mixed.repartitionByRange(3, "n_chars").sortWithinPartitions("n_chars").write.parquet(f"{tmp_path}/ordered")
     packed = corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/ordered"), "")
-    assert set(packed.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    assert set(packed.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"}
     places = {}
     for r in packed.collect():
         places.setdefault(r.offset, []).append((r.sequence_id, r.doc_id * 77 % 300))
@@ -111,3 +111,56 @@ def test_near_dedup_keeps_one_row_of_each_component(spark):
     df = spark.createDataFrame([(k, t, "en", f"s{n}", len(t)) for n, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, df, "").collect()
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted([(5, a), (2, b), (None, c), (None, d), (9, e)], key=str)
+
+
+STRANGE = "doc_id long, text string, lang string, source string, n_chars long, _score string, SIZE long, position string, mark string"
+
+
+def strange_rows():
+    r = random.Random(11)
+    some = lambda n: " ".join(r.choice(["thing", "shall", "hand", "with"]) + str(r.randrange(10**5)) for _ in range(n))
+    same = some(60)
+    rows = [(d, some(r.randrange(1, 80)), "en", f"s{d % 3}") for d in range(40)]
+    rows += [(None, some(30), "en", None), (None, some(30), None, "s0"), (None, None, None, None), (50, None, "en", "s1"), (51, "", "en", "s1"), (52, "#$ 12", "en", "s1")]
+    rows += [(60, same, "en", "s0"), (60, same, "en", "s0"), (60, some(50), "en", "s2"), (61, same + " more", "en", "s0"), (62, some(60_000), "en", "s0")]
+    return [(*x, len(x[1]) if x[1] is not None else None, "a", 7, "b", "c") for x in rows]
+
+
+def test_each_stage_handles_strange_rows_and_empty_tables(spark, tmp_path):
+    df = spark.createDataFrame(strange_rows(), STRANGE)
+    df.write.parquet(f"{tmp_path}/strange")
+    df.limit(0).write.parquet(f"{tmp_path}/empty")
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "pattern_packing"
+        got = stage(spark, spark.read.parquet(f"{tmp_path}/strange"), "")
+        assert last or set(got.columns) == set(corpus_pipeline.COLUMNS)
+        rows = got.collect()
+        ids = {x.doc_id for x in rows}
+        assert name == "curriculum_mix" or (set(range(40)) <= ids and None in ids and {60, 62} <= ids), name
+        assert name != "curriculum_mix" or (len(rows) > 10 and ids <= {x[0] for x in strange_rows()})
+        if name == "language_id":
+            assert not ids & {50, 51, 52}
+        if name == "simhash_near_dedup":
+            assert sorted(len(x.text or "") for x in rows if x.doc_id == 60) == sorted({len(x[1]) for x in strange_rows() if x[0] == 60})
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/empty"), "").collect() == [], name
+
+
+def test_packed_ids_are_those_of_the_texts(spark, tmp_path):
+    df = spark.createDataFrame(strange_rows(), STRANGE).where("doc_id < 40 or doc_id = 62")
+    df.write.parquet(f"{tmp_path}/x")
+    rows = corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/x"), "").collect()
+    got = {}
+    for x in sorted(rows, key=lambda x: (x.doc_id, x.piece)):
+        assert len(x.ids) == x.length and x.start == len(got.get(x.doc_id, []))
+        got.setdefault(x.doc_id, []).extend(x.ids)
+    plain = encoder(BYTE_BPE).tokenizer
+    assert got == {x[0]: [*plain.encode(x[1], add_special_tokens=False).ids, 2] for x in strange_rows() if x[0] is not None and (x[0] < 40 or x[0] == 62)}
+
+
+def test_planted_gibberish_goes(spark):
+    r = random.Random(5)
+    rows = texts(4, 300)
+    junk = [(1000 + k, "".join(r.choice("qxzwvkjyp  ") for _ in range(300)), r.choice(["en", None]), "s0", 300) for k in range(20)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.language(spark, df, "").collect()}
+    assert kept == {d for d, t, *_ in rows if t and any(map(str.isalpha, t))}
