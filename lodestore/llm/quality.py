@@ -54,8 +54,10 @@ RULES: list[tuple[str, str]] = [
     ("symbols", "100 * n_symbols > 20 * n_words"),
     ("duplicate_lines", "100 * n_dup_lines > 60 * n_lines"),
     ("upper_case", "100 * n_upper > 60 * word_chars"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 40 * n_words"),
+    ("short_words", "word_chars < 3 * n_words"),
+    ("long_words", "word_chars > 12 * n_words"),
+    ("exclamations", "100 * n_marks > 30 * n_words"),
+    ("few_distinct", "n_words >= 50 and 100 * n_distinct < 20 * n_words"),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]
@@ -74,7 +76,8 @@ class Policy:
 POLICIES = (
     Policy("v1", ("few_words", "repeated_words")),
     Policy("v2", ("few_words", "repeated_words", "symbols", "duplicate_lines", "upper_case")),
-    Policy("v3", tuple(name for name, _ in RULES)),
+    Policy("v3", tuple(name for name, _ in RULES[:7])),
+    Policy("v4", tuple(name for name, _ in RULES)),
 )
 CURRENT = POLICIES[-1]
 
@@ -97,6 +100,8 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count("text", F.lit("[!?]")).cast("long").alias("n_marks"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
     df = _repeat_words(df)
     failed = F.lit(0).cast("long")
@@ -137,12 +142,15 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-QUERIES = {"op2_quality_ledger": op2_quality_ledger}
+def op2_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation(ledger(read_documents(spark, sf_dir)))
+
+
+QUERIES = {"op2_quality_ledger": op2_quality_ledger, "op2_quality_ablation": op2_quality_ablation}
 
 _FAILED = " + ".join(f"case when {rule} then {BIT[name]} else 0 end" for name, rule in RULES)
 
-ORACLE = {
-    "op2_quality_ledger": f"""
+_MEASURED = f"""
 with t as (select doc_id, coalesce(text, '') text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') ws,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from t),
@@ -153,9 +161,19 @@ r as (select doc_id, count(*) n from covered group by doc_id),
 m as (select w.doc_id, len(ws)::bigint n_words, length(array_to_string(ws, ''))::bigint word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, len(ls)::bigint n_lines,
         (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(regexp_extract_all(text, '[A-Z]'))::bigint n_upper,
+        len(regexp_extract_all(text, '[!?]'))::bigint n_marks, len(list_distinct(ws))::bigint n_distinct,
         coalesce(r.n, 0)::bigint n_repeat_words from w left join r using (doc_id)),
-f as (select *, ({_FAILED})::bigint failed from m)
+f as (select *, ({_FAILED})::bigint failed from m)"""
+
+_PLAN = ", ".join(f"('{p.version}', '{r}', {p.mask}, {BIT[r]})" for p in POLICIES for r in p.rules)
+
+ORACLE = {
+    "op2_quality_ledger": f"""{_MEASURED}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {BASE}) != 0 base_failed,
   (failed & {BASE}) = 0 and (failed & {CURRENT.mask}) = 0 kept, failed from f
-"""
+""",
+    "op2_quality_ablation": f"""{_MEASURED}
+select version, rule, count(*) filter ((failed & mask) = 0) n_kept, count(*) filter ((failed & bit) != 0) n_failed_rule, count(*) filter ((failed & mask) = bit) n_gained
+from f, (values {_PLAN}) p(version, rule, mask, bit) group by all
+""",
 }

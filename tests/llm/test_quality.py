@@ -14,7 +14,7 @@ def brute(t):
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
     again = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
     covered = {i + k for i, g in enumerate(grams) if g in again for k in range(3)}
-    m = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines), "n_upper": len(re.findall("[A-Z]", t))}
+    m = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines), "n_upper": len(re.findall("[A-Z]", t)), "n_marks": len(re.findall("[!?]", t)), "n_distinct": len(set(w))}
     failed = sum(BIT[name] for name, rule in Q.RULES if eval(rule, {}, m))
     return m, failed
 
