@@ -1,9 +1,10 @@
 """Licence scans by ordered signature rules, in DataFrame functions only.
 
 A text is its lower-cased words joined by one space.  Rules are regular expressions over that line, made from
-licence families (names, versions) and phrase forms; each has a keyword, a label and a priority.  A text is
-looked at only if it holds a hint, and a rule is tried only if its keyword is a word of the text.  A detection
-that lies inside one of the same or a higher priority is suppressed.
+licence families (names, versions) and phrase forms, and of sentences of licence texts and identifiers; each has
+keywords, a label and a priority.  A text is looked at only if it holds a hint, and a rule is tried only if one
+of its keywords is a word of the text.  A detection that lies inside one of the same or a higher priority is
+suppressed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 #: A text without any of these holds no phrase of the base and no rule's keyword context.
-HINTS = ("licen", "copyright", "cc", "copyleft", "domain", "commons", "reserved", "spdx", "warranty", "permission", "redistribution")
+HINTS = ("licen", "copyright", "cc", "copyleft", "domain", "commons", "reserved", "spdx", "warrant", "permission", "redistribution", "liable", "commercial")
 
 # Licence families as (label, name as a pattern, keyword, versions).
 FAMILIES = (
@@ -71,26 +72,93 @@ VERSION_FORMS = (
     ("(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of the )?(?:an? )?{0} (?:version |v ?)?{1}", 3),
     ("{0} (?:version |v ?)?{1} or (?:at your option )?(?:any )?later(?: version)?", 3),
 )
-# Rules that belong to no family.
+# Sentences of licence texts and notices, as (label, pattern, keywords, priority).
 OTHER = (
-    ("copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", "copyright", 1),
-    ("all-rights-reserved", "all rights reserved", "reserved", 1),
-    ("public-domain", "(?:in|into|to) the public domain", "domain", 1),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission", 3),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 3),
-    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose", "permission", 3),
-    ("no-warranty", "(?:without warranty of any kind|without any warranty)", "warranty", 1),
-    ("gpl", "spdx license identifier gpl [0-9] 0(?: only| or later)?", "spdx", 3),
-    ("apache", "spdx license identifier apache 2 0", "spdx", 3),
-    ("mit", "spdx license identifier mit", "spdx", 3),
+    ("copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", ("copyright",), 1),
+    ("all-rights-reserved", "all rights reserved", ("reserved",), 1),
+    ("some-rights-reserved", "some rights reserved", ("reserved",), 1),
+    ("no-rights-reserved", "no rights reserved", ("reserved",), 1),
+    ("public-domain", "(?:in|into|to) the public domain", ("domain",), 1),
+    ("public-domain", "(?:free of (?:all )?copyright|not (?:subject to|protected by) copyright)", ("copyright",), 1),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("domain",), 3),
+    ("cc0", "(?:has|have) waived all copyright and related(?: or neighboring)? rights", ("copyright",), 3),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission",), 3),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", ("permission",), 2),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy", ("permission",), 3),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution",), 3),
+    ("bsd", "redistributions of source code must retain the above copyright notice", ("redistributions",), 2),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", ("redistributions",), 2),
+    ("bsd", "neither the name of the copyright holders? nor the names of its contributors", ("copyright",), 2),
+    ("bsd", "this software is provided by the copyright holders and contributors as is", ("copyright",), 2),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose", ("permission",), 3),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ("permission",), 2),
+    ("apache", "you may not use this file except in compliance with the license", ("compliance",), 3),
+    ("apache", "software distributed under the license is distributed on an as is basis", ("license",), 3),
+    ("apache", "see the license for the specific language governing permissions and limitations", ("permissions",), 2),
+    ("gpl", "this (?:program|file|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu",), 3),
+    ("lgpl", "this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", ("gnu",), 3),
+    ("agpl", "you should have received a copy of the gnu affero general public license", ("affero",), 3),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license", ("gnu",), 3),
+    ("gpl", "you should have received a copy of the gnu general public license", ("gnu",), 3),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ("permission",), 3),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license", ("mozilla",), 3),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse",), 3),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ("development",), 3),
+    ("cc-by", "creative commons attribution [1-4] [05] (?:international|unported|generic)(?: public)? license", ("creative",), 3),
+    ("cc-by-sa", "creative commons attribution share ?alike [1-4] [05] (?:international|unported|generic)(?: public)? license", ("creative",), 3),
+    ("creative-commons", "licensed under (?:a|the) creative commons", ("creative",), 1),
+    ("copyleft", "(?:strong |weak )?copyleft(?: licen[cs]e)?", ("copyleft",), 1),
+    ("proprietary", "(?:proprietary and confidential|unauthori[sz]ed (?:copying|use|distribution))[a-z0-9 ]{0,80}copyright", ("proprietary", "unauthorized", "unauthorised"), 2),
+    ("fair-use", "(?:fair use|fair dealing) (?:of|under) (?:the )?copyright", ("copyright",), 1),
+    ("no-warranty", "(?:without warranty of any kind|without any warranty)", ("warranty",), 1),
+    ("no-warranty", "without even the implied warranty of merchantability", ("warranty",), 2),
+    ("no-warranty", "disclaims all warranties with regard to this software", ("disclaims",), 1),
+    ("no-liability", "in no event shall the (?:authors?|copyright holders?|copyright owners?)(?: or [a-z]+(?: [a-z]+)?)* be liable", ("liable",), 1),
+    ("non-commercial", "(?:for )?non ?commercial use only", ("commercial", "noncommercial"), 1),
+    ("license-by-mail", "(?:see|read) the (?:accompanying |enclosed )?(?:file )?(?:licen[cs]e|copyright)(?: file| txt| md)?", ("license", "licence", "copyright"), 1),
+)
+# Short identifiers, as (label, identifier as a pattern).
+IDENTIFIERS = (
+    ("0bsd", "0bsd"),
+    ("afl", "afl [123] [0-9]"),
+    ("agpl", "agpl [0-9] 0(?: only| or later)?"),
+    ("apache", "apache [12] [01]"),
+    ("artistic", "artistic [12] 0(?: perl)?"),
+    ("boost", "bsl 1 0"),
+    ("bsd", "bsd [1-4] clause(?: clear| patent)?"),
+    ("cc-by", "cc by [1-4] [05]"),
+    ("cc-by-nc", "cc by nc [1-4] [05]"),
+    ("cc-by-nc-nd", "cc by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", "cc by nc sa [1-4] [05]"),
+    ("cc-by-nd", "cc by nd [1-4] [05]"),
+    ("cc-by-sa", "cc by sa [1-4] [05]"),
+    ("cc0", "cc0 1 0"),
+    ("cddl", "cddl 1 [01]"),
+    ("epl", "epl [12] 0"),
+    ("eupl", "eupl 1 [012]"),
+    ("gfdl", "gfdl 1 [123](?: only| or later)?"),
+    ("gpl", "gpl [0-9] 0(?: only| or later)?"),
+    ("isc", "isc"),
+    ("lgpl", "lgpl [0-9] [01](?: only| or later)?"),
+    ("mit", "mit(?: 0)?"),
+    ("mpl", "mpl [12] [01](?: no copyleft exception)?"),
+    ("ms-pl", "ms pl"),
+    ("odbl", "odbl 1 0"),
+    ("ofl", "ofl 1 [01]"),
+    ("osl", "osl [123] [0-9]"),
+    ("postgresql", "postgresql"),
+    ("python", "(?:psf 2 0|python 2 0)"),
+    ("unlicense", "unlicense"),
+    ("wtfpl", "wtfpl"),
+    ("zlib", "zlib"),
 )
 #: Other words a family goes by, so that a rule is not missed when its keyword is not in the name's variant.
-ALSO = {"cc": ("cc", "creative"), "mit": ("mit", "x11", "expat"), "cc0": ("cc0", "zero"), "development": ("development",), "font": ("font",)}
+ALSO = {"cc": ("cc", "creative"), "mit": ("mit", "x11", "expat"), "cc0": ("cc0", "zero")}
 
 
 @dataclass(frozen=True)
 class Rule:
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     label: str
     priority: int
@@ -100,11 +168,12 @@ def signature_rules() -> list[Rule]:
     """All rules, ordered by priority, highest first."""
     found = []
     for label, name, keyword, versions in FAMILIES:
-        for key in ALSO.get(keyword, (keyword,)):
-            found += [Rule(key, form.format(name), label, p) for form, p in PLAIN_FORMS]
-            found += [Rule(key, form.format(name, v), f"{label}-{v.replace(' ', '.')}", p) for v in versions for form, p in VERSION_FORMS]
-    found += [Rule(key, pattern, label, p) for label, pattern, key, p in OTHER]
-    return sorted(found, key=lambda r: (-r.priority, r.keyword, r.label, r.pattern))
+        keys = ALSO.get(keyword, (keyword,))
+        found += [Rule(keys, form.format(name), label, p) for form, p in PLAIN_FORMS]
+        found += [Rule(keys, form.format(name, v), f"{label}-{v.replace(' ', '.')}", p) for v in versions for form, p in VERSION_FORMS]
+    found += [Rule(keys, pattern, label, p) for label, pattern, keys, p in OTHER]
+    found += [Rule(("spdx",), f"spdx license identifier {pattern}", label, 3) for label, pattern in IDENTIFIERS]
+    return sorted(found, key=lambda r: (-r.priority, r.keywords, r.label, r.pattern))
 
 
 def line_of(text: Column) -> Column:
@@ -135,9 +204,10 @@ DETECTION = "array<struct<start:int,below:int,priority:int,label:string>>"
 
 
 def _detections(line: Column, rules: list[Rule]) -> Column:
-    table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in rules])
-    words = F.array_distinct(F.split(line, " "))
-    tried = _let(words, lambda known: F.filter(table, lambda r: F.array_contains(known, r["keyword"])))
+    table = F.array(*[F.struct(F.array(*[F.lit(k) for k in r.keywords]).alias("keywords"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in rules])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in rules for k in r.keywords})])
+    present = F.filter(keywords, lambda k: F.contains(line, F.concat(F.lit(" "), k, F.lit(" "))))
+    tried = _let(present, lambda known: F.filter(table, lambda r: F.arrays_overlap(known, r["keywords"])))
 
     def of(r: Column) -> Column:
         pairs = F.arrays_zip(_starts(line, r["pattern"]).alias("start"), _matches(line, r["pattern"]).alias("found"))

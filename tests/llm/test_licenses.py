@@ -19,7 +19,7 @@ def brute(rows):
         found = set()
         line = f" {' '.join(w)} "
         for r in rules:
-            if r.keyword in w:
+            if set(r.keywords) & set(w):
                 for m in re.finditer(f"(?<= )(?=((?:{r.pattern})) )", line):
                     s = line[: m.start()].count(" ") - 1
                     found.add((s, s + len(m[1].split(" ")), r.priority, r.label))
@@ -63,3 +63,39 @@ def test_rules():
     rules = signature_rules()
     assert len(rules) >= 200 and len(set(rules)) == len(rules)
     assert [r.priority for r in rules] == sorted((r.priority for r in rules), reverse=True)
+
+
+def example(pattern):
+    """A text that the pattern matches: the first branch of every choice, optional parts as well."""
+    from re import _parser
+
+    def of(items):
+        out = ""
+        for kind, v in items:
+            name = str(kind)
+            if name == "LITERAL":
+                out += chr(v)
+            elif name == "IN":
+                out += chr(v[0][1] if str(v[0][0]) == "LITERAL" else v[0][1][0])
+            elif name == "MAX_REPEAT":
+                out += of(v[2]) * max(1, v[0])
+            elif name == "SUBPATTERN":
+                out += of(v[3])
+            elif name == "BRANCH":
+                out += of(v[1][0])
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_rule_is_distinct_and_fires(spark):
+    rules = signature_rules()
+    assert len({(r.pattern, r.label) for r in rules}) == len({r.pattern for r in rules}) == len(rules) > 400
+    texts = [example(r.pattern) for r in rules]
+    assert all(re.fullmatch(r.pattern, t) and set(r.keywords) & set(t.split()) for r, t in zip(rules, texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x for x in license_scan(df).collect()}
+    want = {x[0]: x for x in brute(list(enumerate(texts)))}
+    for k, r in enumerate(rules):
+        assert r.label in got[k].labels.split(",") or any(y.start == 0 and y.end >= len(texts[k].split()) for y in got[k].detections), (r, got[k])
+        assert (got[k].labels, [tuple(y) for y in got[k].detections]) == (want[k][6], want[k][8])
