@@ -183,10 +183,10 @@ def condition_summary(spark, sf_dir):
 
 
 def answer_modes(spark, sf_dir):
-    """The most frequent first words of each language and up to two more that occur twice, ties by first row."""
-    d = documents(spark, sf_dir).select("lang", "doc_id", F.lower(F.get(F.split(F.trim("text"), r"\s+"), F.lit(0))).alias("w"))
+    """The most frequent words of each language and up to two more that occur twice, ties by first row, then word."""
+    d = documents(spark, sf_dir).select("lang", "doc_id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("w"))
     n = d.groupBy("lang", "w").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    r = n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "first")))
+    r = n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "first", "w")))
     return r.where("rank = 1 or (rank <= 3 and n >= 2)").select("lang", "w", "n", "rank")
 
 
@@ -353,7 +353,7 @@ select condition, min(condition) over (partition by p) leader from f""",
     + " from c group by 1, 2) select *, round(p5 - p1, 4) diff from w",
     "best_config": "with c as (select s_nationkey, s_suppkey % 4 k, round(avg(s_acctbal), 6) score from supplier group by 1, 2) select s_nationkey, k, score from (select *, row_number() over (partition by s_nationkey order by score desc, k) r from c where score > 0) where r = 1",
     "condition_summary": "with c as (select l_returnflag, avg(l_quantity) filter (where l_linenumber % 2 = 0) a, avg(l_quantity) filter (where l_linenumber % 2 = 1) b from lineitem group by 1) select l_returnflag, round(a, 6) baseline, round(b, 6) memory, round(b - a, 6) delta from c",
-    "answer_modes": "with d as (select lang, doc_id, lower(string_split_regex(trim(text), '\\s+')[1]) w from documents), n as (select lang, w, count(*) n, min(doc_id) f from d group by 1, 2), r as (select lang, w, n, row_number() over (partition by lang order by n desc, f)::int as rank from n) select * from r where rank = 1 or (rank <= 3 and n >= 2)",
+    "answer_modes": "with d as (select lang, doc_id, unnest(string_split_regex(lower(trim(text)), '\\s+')) w from documents), n as (select lang, w, count(*) n, min(doc_id) f from d group by 1, 2), r as (select lang, w, n, row_number() over (partition by lang order by n desc, f, w)::int as rank from n) select * from r where rank = 1 or (rank <= 3 and n >= 2)",
     "stratified_sample": "with m as (select doc_id, lang, md5(doc_id || ':7') m from documents), r as (select *, row_number() over (partition by lang order by m, doc_id) r from m), q as (select greatest(1, 90 // count(distinct lang)) q from documents) select doc_id, lang from (select doc_id, lang, row_number() over (order by (r > q)::int, m, doc_id) n from r, q) where n <= 90",
     "first_turns": "select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn) r from conversations) where r <= 6",
     "dimension_lookups": """with f as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, case when l_linenumber % 2 = 0 then 'part' else 'supplier' end, case when l_linenumber % 2 = 0 then l_partkey else l_suppkey + case when l_linenumber = 5 then 1000000000 else 0 end end) pos, case when l_linenumber % 2 = 0 then 'part' else 'supplier' end kind, case when l_linenumber % 2 = 0 then l_partkey else l_suppkey + case when l_linenumber = 5 then 1000000000 else 0 end end as key from lineitem),

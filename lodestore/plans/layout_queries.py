@@ -52,7 +52,7 @@ def single_columns(spark, sf_dir):
 
 
 def best(spark, sf_dir):
-    return blocks(spark, sf_dir).select("doc_id", L.best_layout(F.col("b")).alias("x")).select("doc_id", "x.name", "x.width", "x.height", F.round("x.score", 9).alias("score"))
+    return blocks(spark, sf_dir).select("doc_id", L.best_layout(F.col("b")).alias("x")).select("doc_id", "x.name", "x.width", "x.height", F.round(F.col("x.score") + 1e-10, 9).alias("score"))
 
 
 def preprocessed(spark, sf_dir):
@@ -108,12 +108,30 @@ w as (select doc_id, tw, b.img img, case when b.img then floor(b.w * least((tw -
 case when b.img then floor(b.h * least((tw - 30) / b.w, 1.0)) else list_sum(list_transform(string_split(b.t, chr(10)), lambda p: greatest(ceil(length(p) / floor((tw - 30) / (b.f * 0.5))), 1))) * floor(b.f * 1.3) end h from d, (values (480), (640), (860)) x(tw)),
 l as (select doc_id, tw, (sum(h + 10) + 15 + 15 - 10)::int height, sum(w * h)::bigint content_area from w group by 1, 2)"""
 
+_D = _BLOCKS.split(",\nw as")[0].replace("d as (select doc_id, unnest(list_filter(", "dl as (select doc_id, list_filter(").replace("is not null)) b from documents)", "is not null) bs from documents)")
+
+
+def _text_height(width: str) -> str:
+    return f"list_sum(list_transform(string_split(b.t, chr(10)), lambda p: greatest(ceil(length(p) / floor({width} / (b.f * 0.5))), 1))) * floor(b.f * 1.35::double)"
+
+
+#: Blocks with their number, single columns, and two columns filled block by block, the largest first.
+_BEST = f"""with recursive {_D}, d as (select doc_id, unnest(bs) b, generate_subscripts(bs, 1) i from dl),
+s as (select doc_id, tw, i, case when b.img then floor(b.w * least((tw - 30) / b.w, 1.0)) else tw - 30 end w, case when b.img then floor(b.h * least((tw - 30) / b.w, 1.0)) else {_text_height("(tw - 30)")} end h from d, (values (640), (830)) x(tw)),
+k as (select doc_id, row_number() over (partition by doc_id order by b.w * (case when b.img then b.h else {_text_height("b.w")} end) desc, i) n, case when b.img then floor(b.w * least(460 / b.w, 1.0)) else 460 end w, case when b.img then greatest(1, floor(b.h * least(460 / b.w, 1.0))) else {_text_height("460")} end h from d),
+g as (select doc_id, 0::bigint n, 15::double l, 15::double r, 0::double a from documents union all
+  select g.doc_id, k.n, case when l <= r then l + k.h + 10 else l end, case when l <= r then r else r + k.h + 10 end, a + k.w * k.h from g join k on k.doc_id = g.doc_id and k.n = g.n + 1),
+f as (select doc_id, case tw when 640 then 1 else 2 end o, 'single_column' as name, tw width, sum(h + 10) + 20 height, sum(w * h) a from s group by doc_id, tw
+  union all select doc_id, 3, 'two_column', 960, greatest(l, r) + 5, a from g where n >= 3 qualify row_number() over (partition by doc_id order by n desc) = 1),
+v as (select *, 0.6::double * least(width / height, height / width) + 0.3::double * (a / (width * height)) + 0.1::double * (width between 224 and 1344 and height between 224 and 1344)::int score from f)"""
+
 ORACLE = {
     "tile_grid": f"""with {SIZES}, g as (select i, j from range(1, 13) a(i), range(1, 13) b(j) where i * j <= 12),
 d as (select p_partkey, i, j, abs(w / h - i / j) d, w::double * h > 0.5 * 448 * 448 * i * j filled from z, g),
 b as (select *, row_number() over (partition by p_partkey order by i * j, i) n from (select *, min(d) over (partition by p_partkey) m from d) where d = m),
 f as (select p_partkey, i, j, row_number() over (partition by p_partkey order by case when n = 1 or filled then n else 0 end desc) r from b)
 select p_partkey, i::int as cols, j::int as rows, ((j - 1) * 448)::int last_top from f where r = 1""",
+    "layout_best": f"{_BEST} select doc_id, name, width::int width, height::int height, round(score + 1e-10::double, 9) score from v qualify row_number() over (partition by doc_id order by score desc, o) = 1",
     "stacked_patches": f"""with {_BLOCKS.split(",\nw as")[0]},
 w as (select doc_id, case when b.img then floor(b.h * least(600 / b.w, 320 / b.h, 1.0)) else list_sum(list_transform(string_split(b.t, chr(10)), lambda p: greatest(ceil(length(p) / floor(600 / (b.f * 0.5))), 1))) * floor(b.f * 1.3) end h from d)
 select doc_id, greatest(1, ceil((40 + sum(h + 15)) / 640))::int patches from w group by 1""",
