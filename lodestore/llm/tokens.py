@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+from array import array
 
 import numpy as np
 
@@ -22,7 +22,8 @@ KEPT_PIECES = 200_000
 
 #: Characters with plain rules: no combining marks, no case pairs of another length, NFC is the identity.
 PLAIN = re.compile(r"[\n\x20-\x7e¡-§©«¬®¯°±´¶·»¿À-ÖØ-öø-įĲ-ľŁ-ňŊ-žǍ-ǜ–—‘’“”…€]*")
-ODD_BLANKS = re.compile(r"\s\s|\s$")
+#: Blanks that are not single, or not before something; plain texts have no others.
+ODD_BLANKS = ("  ", "\n\n", " \n", "\n ")
 _LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ľŁ-ňŊ-žǍ-ǜ"
 
 
@@ -77,6 +78,8 @@ class Encoder:
         self.words = "word" in os.path.basename(path)
         #: Of blank-free runs and of the parts they are cut into; a part by itself has the same ids.
         self.pieces = Kept()
+        #: For byte BPE, of blank-free runs that come after a blank.
+        self.spaced = Kept()
         if self.words:
             self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
         else:
@@ -85,22 +88,34 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(_shown(piece))]).tobytes()
+
     def part(self, piece: str) -> bytes:
         ids = self.pieces.new.get(piece)
         if ids is None:
             ids = self.pieces.old.get(piece)
-            if ids is None:
-                found = [t.id for t in self.model.tokenize(_shown(piece))]
-                ids = struct.pack(f"<{len(found)}I", *found)
-            self.pieces.add(piece, ids)
+            self.pieces.add(piece, ids := self._ids(piece) if ids is None else ids)
         return ids
 
-    def chunk(self, chunk: str) -> bytes:
-        """ids of a blank-free run, for byte BPE with the blank before it."""
-        ids = self.pieces.old.get(chunk)
-        if ids is None:
-            ids = b"".join([self.part(p) for p in self.cut.findall(chunk)])
-        return self.pieces.add(chunk, ids)
+    def _run(self, run: str) -> bytes:
+        """ids of a blank-free run, with the blank before it if there is one; letters alone are one part."""
+        if run.lstrip(" ").isalpha():
+            return self._ids(run)
+        return b"".join([self.part(p) for p in self.cut.findall(run)])
+
+    def chunk(self, run: str) -> bytes:
+        ids = self.pieces.old.get(run)
+        return self.pieces.add(run, self._run(run) if ids is None else ids)
+
+    def after_blank(self, run: str) -> bytes:
+        ids = self.spaced.old.get(run)
+        return self.spaced.add(run, self._run(" " + run) if ids is None else ids)
+
+    def rest(self) -> None:
+        """At the end of a task: give the older half of the memory back."""
+        self.pieces.rest()
+        self.spaced.rest()
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or self.added is not None and self.added.search(text):
@@ -108,17 +123,17 @@ class Encoder:
         get, chunk = self.pieces.new.get, self.chunk
         if self.words:
             return b"".join([ids if (ids := get(w)) is not None else chunk(w) for w in text.lower().split()])
-        if ODD_BLANKS.search(text):
+        if text.endswith((" ", "\n")) or any(x in text for x in ODD_BLANKS):
             return b"".join([ids if (ids := get(p)) is not None else chunk(p) for p in self.cut.findall(text)])
         # single blanks go with the word behind them, single line ends are pieces of their own
-        out = []
+        out, spaced, after_blank = [], self.spaced.new.get, self.after_blank
         for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(get("\n") or chunk("\n"))
             first, *rest = line.split(" ")
             if first:
                 out.append(ids if (ids := get(first)) is not None else chunk(first))
-            out += [ids if (ids := get(w)) is not None else chunk(w) for w in map(" ".__add__, rest)]
+            out += [ids if (ids := spaced(w)) is not None else after_blank(w) for w in rest]
         return b"".join(out)
 
 
