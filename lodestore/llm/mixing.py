@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS, sl
 PLAN = ("size", "source_size", "target", "copies", "taken", "place", "slope")
 
 
-def plan(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS) -> DataFrame:
-    """docs with size, source_size, target, copies, taken, place (words before it in its source), slope.
+def plan(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs, or its columns `keep`, with size, source_size, target, copies, taken, place (words before it in its source), slope.
 
     A null text has size 0; rows of a null source are a source of their own, the last.  Whole epochs go to
     all documents of a source; the rest of the target to the first ones in the order of md5(doc_id), up to the
@@ -58,11 +58,13 @@ def plan(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS) -> Dat
     of docs under one of these names, whatever the case, give way; all others stay.
     """
     known = {*PLAN, "epoch", "position"}
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in known]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in known and (keep is None or c in keep)]
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    tie = F.xxhash64("text")
+    # rows without an id are spread by their texts
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), tie.cast("string"))).cast("binary"))
     # all columns of docs travel in one, so that their names meet no others
-    rows = docs.select(F.struct(*kept).alias("row"), size.alias("size"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), mark.alias("mark"))
+    rows = docs.select(F.struct(*kept).alias("row"), size.alias("size"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), mark.alias("mark"), F.col("doc_id").alias("id"), tie.alias("tie"))
     rows = rows.withColumn("part", F.substring("mark", 1, DIGITS))
     # sizes of the ranges of each source's order; at most 16 ** DIGITS for a source
     ranges = rows.groupBy("s", "no_source", "part").agg(F.sum("size").alias("n"))
@@ -71,7 +73,7 @@ def plan(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS) -> Dat
     sizes = ranges.groupBy("s", "no_source").agg(F.sum("n").alias("source_size")).select(F.when(~F.col("no_source"), F.col("s")).alias("source"), "source_size")
     found = targets(sizes, repeat, weights).select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), "source_size", "target", "slope")
     starts = starts.join(found, ["s", "no_source"])
-    inside = Window.partitionBy("s", "no_source", "part").orderBy("mark", "row.doc_id", F.xxhash64("row.text"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("s", "no_source", "part").orderBy("mark", "id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["s", "no_source", "part"])
     rows = rows.withColumn("place", F.col("before") + F.col("inside"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -114,7 +116,7 @@ def documents_of_mix(docs: DataFrame) -> DataFrame:
     it does not.  Rows of the mix are put together by KEY; documents that are equal in it share the rows evenly and
     come out as often as they came in.
     """
-    planned = plan(docs.select("doc_id", "text", "source")).select(*KEY, "slope")
+    planned = plan(docs, keep=("doc_id",)).select(*KEY, "slope")
     found = mixed(planned).groupBy(*KEY).agg(
         F.count_if(F.col("epoch") == 0).alias("rows"),
         F.sum("size").alias("sum"),
@@ -133,7 +135,7 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each time a document is taken, in training order."""
-    return mix(read_documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "source", "size", "epoch", "position")
+    return mixed(plan(read_documents(spark, sf_dir), keep=("doc_id", "source"))).select("doc_id", "source", "size", "epoch", "position")
 
 
 QUERIES = {"op9_curriculum_mix": op9_curriculum_mix, "op9_curriculum_positions": op9_curriculum_positions}
