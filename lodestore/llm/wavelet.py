@@ -1,18 +1,18 @@
 """Token ids in a wavelet matrix per shard.
 
 A shard holds the ids of the documents of one range of doc_id, in ascending order, as one compressed file:
-bit-planes from the highest bit down, each with a directory of ranks, and where documents begin.  Below a
-plane the ids are ordered stably by its bit, so that rank maps a place from plane to plane; access, counting
-and the places of an id take one step for each plane.
+bit-planes from the highest bit down, each with directories for rank and select, and where documents begin.
+Below a plane the ids are ordered stably by its bit, so that rank maps a place from plane to plane, and select
+maps it back; access, counting and the places of an id take one step for each plane.
 
-File: magic, length of the header, header (JSON: counts, zeros of each plane, place and length of each
-section), sections compressed by zstd: doc_ids, lengths, then for each plane its bits and its directory.
+File: magic, length of the header, header (JSON: counts, zeros of each plane, ends of the sections), sections
+compressed by zstd: doc_ids, lengths, then for each plane its directories and its bits in blocks of BLOCK bytes.
+A block is inflated by itself, when a place in it is asked for.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 import zlib
 
 import numpy as np
@@ -22,67 +22,132 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import read_documents, shared_folder
+from lodestore.llm.common import read_documents
 from lodestore.llm.ranges import in_ranges
 from lodestore.llm.tokens import WORD_BPE, encoder
+from lodestore.session import run_folder
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 END_ID = 1
-#: Bits of a plane for each entry of its directory.
+#: Bits of a plane for each entry of its rank directory.
 STRIDE = 512
+#: Ones, or zeros, for each entry of a select directory.
+SAMPLE = 4096
+#: Bytes of a plane that are compressed together.
+BLOCK = 8192
 LEVEL = 1
+#: Places that are looked up at a time.
+AT_ONCE = 4096
+
+
+class Plane:
+    """The bits of a plane in blocks, each inflated when it is first needed."""
+
+    def __init__(self, size: int, inflate):
+        self.size, self._inflate, self._blocks = size, inflate, {}
+
+    def _block(self, k: int) -> np.ndarray:
+        if k not in self._blocks:
+            self._blocks[k] = np.frombuffer(self._inflate(k), np.uint8)
+        return self._blocks[k]
+
+    def strides(self, which: np.ndarray) -> np.ndarray:
+        """The bytes of some strides, as rows; zeros beyond the end."""
+        step = STRIDE // 8
+        out = np.zeros((len(which), step), np.uint8)
+        of = which * step // BLOCK
+        for k in np.flatnonzero(np.bincount(of)).tolist():
+            mine = np.flatnonzero(of == k)
+            block = self._block(k)
+            padded = np.zeros(-(-len(block) // step) * step, np.uint8)
+            padded[: len(block)] = block
+            out[mine] = padded.reshape(-1, step)[which[mine] - k * (BLOCK // step)]
+        return out
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self._block(k) for k in range(-(-self.size // BLOCK))] or [np.zeros(0, np.uint8)])
+
+
+class Directory:
+    """ranks[i]: ones before stride i; ones, zeros: in which stride every SAMPLE-th one or zero lies."""
+
+    def __init__(self, ranks: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.ranks, self.ones, self.zeros = ranks, ones, zeros
+
+    @classmethod
+    def of(cls, packed: np.ndarray) -> Directory:
+        step = STRIDE // 8
+        whole = np.zeros(-(-len(packed) // step) * step, np.uint8)
+        whole[: len(packed)] = packed
+        ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(whole).reshape(-1, step).sum(axis=1, dtype=np.int64))))
+        empty = np.arange(len(ranks)) * STRIDE - ranks
+        samples = [np.searchsorted(n, np.arange(0, n[-1], SAMPLE), "right") - 1 for n in (ranks, empty)]
+        return cls(ranks.astype("<u4"), *[x.astype("<u4") for x in samples])
+
+    def stride_of(self, bit: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In which strides some ones (zeros) lie, and how many of their kind are before those strides."""
+        samples = self.ones if bit else self.zeros
+        low = samples[which // SAMPLE].astype(np.int64)
+        high = np.append(samples[1:], len(self.ranks) - 2)[which // SAMPLE].astype(np.int64)
+        before = lambda i: self.ranks[i].astype(np.int64) if bit else i * STRIDE - self.ranks[i].astype(np.int64)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            reached = before(middle) <= which
+            low, high = np.where(reached, middle, low), np.where(reached, high, middle - 1)
+        return low, before(low)
 
 
 class WaveletMatrix:
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
-        """planes: packed bits, highest first; ranks[k][i]: ones of plane k before bit i * STRIDE."""
-        self.n, self.planes, self.zeros, self.ranks = n, planes, zeros, ranks
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int], directories: list[Directory]):
+        """planes: highest bit first; zeros: how many of each plane's bits are 0."""
+        self.n, self.planes, self.zeros, self.directories = n, planes, zeros, directories
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         top = int(ids.max()) if len(ids) else 0
         levels = max(1, top.bit_length())
         a = ids.astype(np.uint16 if levels <= 16 else np.uint32)
-        planes, zeros, ranks = [], [], []
+        planes, zeros, directories = [], [], []
         for k in range(levels - 1, -1, -1):
             bit = (a >> a.dtype.type(k) & a.dtype.type(1)).astype(bool)
             packed = np.packbits(bit)
-            planes.append(packed)
-            ranks.append(cls._directory(packed))
+            planes.append(Plane(len(packed), lambda k, packed=packed: packed[k * BLOCK : (k + 1) * BLOCK]))
+            directories.append(Directory.of(packed))
             low = np.compress(~bit, a)
             zeros.append(len(low))
             a = np.concatenate((low, np.compress(bit, a)))
-        return cls(len(ids), planes, zeros, ranks)
-
-    @staticmethod
-    def _directory(packed: np.ndarray) -> np.ndarray:
-        step = STRIDE // 8
-        whole = np.zeros(-(-len(packed) // step) * step, np.uint8)
-        whole[: len(packed)] = packed
-        return np.concatenate(([0], np.cumsum(np.bitwise_count(whole).reshape(-1, step).sum(axis=1, dtype=np.uint32)))).astype(np.uint32)
+        return cls(len(ids), planes, zeros, directories)
 
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
         """Ones of plane k before each place."""
-        block = at // STRIDE
-        n = self.ranks[k][block].astype(np.int64)
-        plane = self.planes[k]
-        first = block * (STRIDE // 8)
-        for b in range(STRIDE // 8):
-            byte = first + b
-            left = at - byte * 8
-            some = left > 0
-            if not some.any():
-                break
-            v = plane[np.minimum(byte, len(plane) - 1)]
-            v = np.where(left >= 8, v, v & ((0xFF00 >> np.clip(left, 0, 8)) & 0xFF).astype(np.uint8))
-            n += np.where(some, np.bitwise_count(v), 0)
-        return n
+        out = np.zeros(len(at), np.int64)
+        for i in range(0, len(at), AT_ONCE):
+            x = at[i : i + AT_ONCE]
+            inside = x % STRIDE
+            n = self.directories[k].ranks[x // STRIDE].astype(np.int64)
+            # at the beginning of a stride the directory says all
+            some = np.flatnonzero(inside)
+            left = np.clip(inside[some, None] - 8 * np.arange(STRIDE // 8), 0, 8)
+            n[some] += np.bitwise_count(self.planes[k].strides(x[some] // STRIDE) & (0xFF00 >> left).astype(np.uint8)).sum(axis=1, dtype=np.int64)
+            out[i : i + AT_ONCE] = n
+        return out
+
+    def _select(self, k: int, bit: int, which: np.ndarray) -> np.ndarray:
+        """Places of some of the ones, or zeros, of plane k, numbered from 0."""
+        out = np.zeros(len(which), np.int64)
+        for i in range(0, len(which), AT_ONCE):
+            x = which[i : i + AT_ONCE]
+            stride, before = self.directories[k].stride_of(bit, x)
+            bits = np.unpackbits(self.planes[k].strides(stride), axis=1) == bit
+            out[i : i + AT_ONCE] = stride * STRIDE + (np.cumsum(bits, axis=1, dtype=np.int16) == (x - before + 1)[:, None]).argmax(axis=1)
+        return out
 
     def access(self, places) -> np.ndarray:
         at = np.asarray(places, np.int64)
         out = np.zeros(len(at), np.uint32)
         for k in range(len(self.planes)):
-            bit = self.planes[k][at // 8] >> (7 - at % 8).astype(np.uint8) & 1
+            rows = np.concatenate([self.planes[k].strides(at[i : i + AT_ONCE] // STRIDE)[np.arange(len(at[i : i + AT_ONCE])), at[i : i + AT_ONCE] % STRIDE // 8] for i in range(0, len(at), AT_ONCE)] or [np.zeros(0, np.uint8)])
+            bit = rows >> (7 - at % 8).astype(np.uint8) & 1
             ones = self._ones(k, at)
             at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
             out = out << np.uint32(1) | bit
@@ -107,23 +172,23 @@ class WaveletMatrix:
     def rank(self, token: int, place: int) -> int:
         return self.count(token, 0, place)
 
-    def _bits(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.planes[k], count=self.n)
+    def _back(self, token: int, at: np.ndarray) -> np.ndarray:
+        """From places below the last plane up to places of the ids."""
+        for k in range(len(self.planes) - 1, -1, -1):
+            bit = token >> (len(self.planes) - 1 - k) & 1
+            at = self._select(k, bit, at - self.zeros[k] if bit else at)
+        return at
 
     def occurrences(self, token: int, start: int = 0, end: int | None = None) -> np.ndarray:
         """Places of an id, ascending: back up through the planes by select."""
-        a, b = self._range(token, start, self.n if end is None else end)
-        at = np.arange(a, b)
-        for k in range(len(self.planes) - 1, -1, -1):
-            if token >> (len(self.planes) - 1 - k) & 1:
-                at = np.flatnonzero(self._bits(k))[at - self.zeros[k]]
-            else:
-                at = np.flatnonzero(self._bits(k) == 0)[at]
-        return at
+        return self._back(token, np.arange(*self._range(token, start, self.n if end is None else end)))
 
     def select(self, token: int, k: int) -> int:
         """Place of the k-th occurrence, from 0; IndexError if there are fewer."""
-        return int(self.occurrences(token)[k])
+        a, b = self._range(token, 0, self.n)
+        if not 0 <= k < b - a:
+            raise IndexError(k)
+        return int(self._back(token, np.array([a + k]))[0])
 
     def decode(self) -> np.ndarray:
         """All ids: the values below a plane are merged by its bits, from the lowest plane up."""
@@ -131,7 +196,7 @@ class WaveletMatrix:
         kind = np.uint16 if levels <= 16 else np.uint32
         a = np.zeros(self.n, kind)
         for k in range(levels - 1, -1, -1):
-            bit = self._bits(k).view(bool)
+            bit = np.unpackbits(self.planes[k].whole(), count=self.n).view(bool)
             one, zero = np.flatnonzero(bit), np.flatnonzero(~bit)
             up = np.empty_like(a)
             up[zero] = a[: len(zero)]
@@ -142,10 +207,11 @@ class WaveletMatrix:
 
 def pack_shard(keys: np.ndarray, nulls: int, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     w = WaveletMatrix.build(ids)
-    zip_ = zstandard.ZstdCompressor(level=LEVEL).compress
     parts = [np.diff(keys.astype(np.int64), prepend=0).tobytes(), lengths.astype("<u4").tobytes()]
-    for p, r in zip(w.planes, w.ranks, strict=True):
-        parts += [p.tobytes(), r.astype("<u4").tobytes()]
+    for p, d in zip(w.planes, w.directories, strict=True):
+        bits = p.whole().tobytes()
+        parts += [d.ranks.tobytes(), d.ones.tobytes(), d.zeros.tobytes(), *[bits[i : i + BLOCK] for i in range(0, len(bits), BLOCK)]]
+    zip_ = zstandard.ZstdCompressor(level=LEVEL).compress
     parts = [zip_(p) for p in parts]
     ends = np.cumsum([len(p) for p in parts]).tolist()
     header = json.dumps({"docs": len(keys), "nulls": nulls, "n": w.n, "zeros": w.zeros, "ends": ends}).encode()
@@ -153,7 +219,7 @@ def pack_shard(keys: np.ndarray, nulls: int, lengths: np.ndarray, ids: np.ndarra
 
 
 class Shard:
-    """A file read back; a plane is decompressed when it is first asked for."""
+    """A file read back; directories and blocks are decompressed when they are first asked for."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -161,6 +227,8 @@ class Shard:
         size = int.from_bytes(data[4:8], "little")
         self.header = json.loads(data[8 : 8 + size])
         self._data, self._at = data, 8 + size
+        #: Numbers of the blocks of bits that have been inflated, as (plane, block).
+        self.inflated: list[tuple[int, int]] = []
 
     def _section(self, k: int) -> bytes:
         ends = self.header["ends"]
@@ -175,10 +243,19 @@ class Shard:
         return np.frombuffer(self._section(1), "<u4")
 
     def matrix(self) -> WaveletMatrix:
-        zeros = self.header["zeros"]
-        planes = [np.frombuffer(self._section(2 + 2 * k), np.uint8) for k in range(len(zeros))]
-        ranks = [np.frombuffer(self._section(3 + 2 * k), "<u4") for k in range(len(zeros))]
-        return WaveletMatrix(self.header["n"], planes, zeros, ranks)
+        size = -(-self.header["n"] // 8)
+        each = 3 + -(-size // BLOCK)
+        planes, directories = [], []
+        for plane in range(len(self.header["zeros"])):
+            first = 2 + plane * each
+
+            def inflate(k: int, plane: int = plane, first: int = first) -> bytes:
+                self.inflated.append((plane, k))
+                return self._section(first + 3 + k)
+
+            planes.append(Plane(size, inflate))
+            directories.append(Directory(*[np.frombuffer(self._section(first + k), "<u4") for k in range(3)]))
+        return WaveletMatrix(self.header["n"], planes, self.header["zeros"], directories)
 
 
 SHARDS = "shard int, n_docs long, n_tokens long, data binary"
@@ -193,7 +270,7 @@ def encode_shards(docs: DataFrame, vocabulary: str = WORD_BPE, folder: str | Non
     """
 
     def f(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]))
         e = encoder(vocabulary, folder)
         end = np.uint32(end_id).tobytes()
         ids = [e.encode(t or "") + end for t in table.column("text").to_pylist()]
@@ -236,8 +313,7 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/wavelet-{uuid.uuid4().hex}"
+    path = run_folder(spark, "wavelet")
     write_shards(read_documents(spark, sf_dir), path)
     return read_shards(spark, path, with_ids=False)
 

@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
         return docs.sparkSession.createDataFrame([], SCHEMA)
 
     def f(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("look", "ascending"), ("key", "ascending"), ("text", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("look", "ascending"), ("key", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]))
         look = table.column("look").to_pylist()
         n = look.index(True) if True in look else len(look)
         texts = [t or "" for t in table.column("text").slice(0, n + 1).to_pylist()]

@@ -31,6 +31,27 @@ def test_matrix(n, top):
             assert w.select(t, len(where) - 1) == where[-1]
 
 
+def test_one_place_inflates_one_block_of_a_plane():
+    r = np.random.default_rng(4)
+    ids = np.minimum(r.integers(0, 49408, 600_000), r.integers(0, 49408, 600_000)).astype(np.uint32)
+    ids[r.random(len(ids)) < 0.3] = 7
+    data = pack_shard(np.arange(3), 0, np.arange(3), ids)
+    where = np.flatnonzero(ids == 7)
+    for k in (0, 1, 4095, 4096, len(where) // 2, len(where) - 1):
+        s = Shard(data)
+        w = s.matrix()
+        assert w._back(7, np.array([w._range(7, 0, w.n)[0] + k]))[0] == where[k] == w.select(7, k)
+        planes = len(s.header["zeros"])
+        # rank looks at two places of a plane, select at one
+        assert len(s.inflated) <= 3 * planes < planes * -(-len(ids) // 8 // 8192)
+        assert max(np.bincount([p for p, _ in s.inflated])) <= 3
+    s = Shard(data)
+    assert s.matrix().access([123_456]).tolist() == [ids[123_456]] and sorted(p for p, _ in s.inflated) == list(range(16))
+    with pytest.raises(IndexError):
+        w.select(7, len(where))
+    assert (w.occurrences(7) == where).all() and (Shard(data).matrix().decode() == ids).all()
+
+
 def weird(r, n):
     return "".join(r.choice(["a", "the ", "é", " ", "\n", "1", "!", "'s", "\t", "漢", "  ", "Ab", "\xa0", "İ", "'re", "<|endoftext|>", "—", "ﬁ", "ª", "word"]) for _ in range(r.randrange(n)))
 
@@ -45,7 +66,7 @@ def test_pieces_give_the_ids_of_whole_texts(name):
 
 def test_round_trip(spark, tmp_path):
     r = random.Random(3)
-    rows = [(d * 5 % 97, weird(r, 60)) for d in range(90)] + [(300, None), (301, ""), (None, "last"), (302, "twice"), (302, "twice"), (303, "long text " * 20000)]
+    rows = [(d * 5 % 97, weird(r, 60)) for d in range(90)] + [(300, None), (301, ""), (None, "last"), ((1 << 63) - 1, "largest"), ((1 << 63) - 1, "z"), (302, "twice"), (302, "twice"), (303, "long text " * 20000)]
     df = spark.createDataFrame([(d, t, 0, b"") for d, t in rows], "doc_id long, text string, key int, data binary")
     write_shards(df, f"{tmp_path}/x")
     got = sorted(map(tuple, read_shards(spark, f"{tmp_path}/x").collect()), key=lambda x: x[1])
