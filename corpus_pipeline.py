@@ -6,17 +6,15 @@ the shared folder and reads them back for the next.  All stages but the last ret
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import shared_folder
 from lodestore.llm.langid import known_language
 from lodestore.llm.mixing import mix
 from lodestore.llm.packing import pack_documents
 from lodestore.llm.simhash import row_mark, simhash_survivors
 from lodestore.llm.substring_dedup import substring_dedup
+from lodestore.session import run_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Sources by code point weigh these, repeating; a document may be repeated up to three times.
@@ -82,8 +80,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

@@ -176,15 +176,3 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(33)) % U(n)).astype(np.int64)
-
-
-def shared_folder(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the one the cluster names, else one of our own for local runs."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="lodestore-checkpoint-")
-        sc.setCheckpointDir(named)

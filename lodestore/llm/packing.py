@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import give_back, partitions, read_documents, shared_folder
+from lodestore.llm.common import give_back, partitions, read_documents
 from lodestore.llm.tokens import BYTE_BPE, encoder
+from lodestore.session import shared_folder
 
 SEQUENCE = 1024
 END_ID = 2
@@ -60,7 +61,7 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = Non
             cols.append(pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))) if with_ids else pa.nulls(len(doc), pa.list_(pa.int32())))
             cols += [b.column(c).take(pa.array(row, pa.int64())) for c in order]
             yield pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", *order])
-        e.pieces.rest()
+        e.rest()
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).cast("long") for c in order]).mapInArrow(f, ", ".join([PIECES, *[f"{c} long" for c in order]]))

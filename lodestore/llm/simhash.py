@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import U, read_documents, shared_folder
+from lodestore.llm.common import U, read_documents
 from lodestore.llm.graph import components, joined_evenly
+from lodestore.session import shared_folder
 
 SHINGLE = 4
 DISTANCE = 4
