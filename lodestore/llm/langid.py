@@ -9,7 +9,8 @@ have to belong to one of the languages.
 A temperature and a threshold are then fitted on whole documents of the sample that training does not see.
 The score is the probability of the best language.  A document is rejected if the probability that it is of any
 of the languages is below one half, or below the REJECT quantile of labelled documents where that is lower; one
-that mixes two known languages is not.
+that mixes two known languages is not.  For this, a text counts as PRIOR subwords of an average labelled document
+besides its own, so that a few odd words alone do not make a text one of no language.
 
 As the model is linear up to the softmax, a trained model is applied as one table of bucket scores.
 """
@@ -38,6 +39,8 @@ EPOCHS = 4
 REJECT = 0.002
 #: A document that is less likely than this of any known language is rejected.
 SURE = 0.5
+#: Subwords of an average document that a text is given when it is judged whether it is of any language.
+PRIOR = 60
 #: First and last code points of scripts that texts of no language are made of.
 SCRIPTS = ((0x61, 0x7A), (0x61, 0x7A), (0x61, 0x7A), (0xDF, 0x17F), (0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 UNKNOWN = "und"
@@ -100,22 +103,32 @@ class Model:
 
     def __init__(self, table: np.ndarray, bias: np.ndarray, langs: list[str], temperature: float = 1.0, threshold: float = 0.0):
         self.table, self.bias, self.langs, self.temperature, self.threshold = table, bias, langs, temperature, threshold
+        #: Mean logits of labelled documents.
+        self.usual = np.zeros(len(bias))
 
     def logits(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         return n @ self.table[ids] / max(int(n.sum()), 1) + self.bias
 
     def probabilities(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        z = self.logits(ids, n) / self.temperature
-        p = np.exp(z - z.max())
+        return self._softmax(self.logits(ids, n))
+
+    def _softmax(self, z: np.ndarray) -> np.ndarray:
+        p = np.exp((z - z.max()) / self.temperature)
         return p / p.sum()
 
+    def known(self, logits: np.ndarray, n: int) -> float:
+        """The probability that a text of n subwords is of any language."""
+        return 1 - float(self._softmax((n * logits + PRIOR * self.usual) / (n + PRIOR))[-1])
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability, and whether the prediction is rejected."""
         if not self.langs or not text or not has_letter(text):
             return UNKNOWN, 0.0, True
-        p = self.probabilities(*counted(text.encode("utf-8", "surrogatepass")))
+        ids, n = counted(text.encode("utf-8", "surrogatepass"))
+        z = self.logits(ids, n)
+        p = self._softmax(z)
         k = int(p[:-1].argmax())
-        return self.langs[k], float(p[k]), bool(1 - p[-1] < self.threshold)
+        return self.langs[k], float(p[k]), self.known(z, int(n.sum())) < self.threshold
 
 
 def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
@@ -184,7 +197,8 @@ def calibrated(model: Model, rows: list[Counts], want: np.ndarray) -> Model:
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
     model.temperature = 2.0 ** ((low + high) / 2)
     known = np.flatnonzero(want < len(model.langs))
-    some = np.sort([1 - model.probabilities(*rows[k])[-1] for k in known])
+    model.usual = z[known].mean(axis=0) if len(known) else model.usual
+    some = np.sort([model.known(z[k], int(rows[k][1].sum())) for k in known])
     model.threshold = min(SURE, float(some[int(REJECT * len(some))])) if len(some) else SURE
     return model
 

@@ -1,7 +1,8 @@
+import math
 import random
 import zlib
 
-from lodestore.llm.langid import UNKNOWN, fit, identify, known_language, subwords, train
+from lodestore.llm.langid import BUCKETS, UNKNOWN, fit, identify, known_language, op8_language_id, subwords, train
 
 VOCAB = {"en": ["the", "thing", "with", "shall", "hand"], "de": ["und", "schlich", "über", "nicht", "keit"], "fr": ["les", "été", "eux", "que", "ment"]}
 
@@ -73,3 +74,40 @@ def test_nothing_to_learn_from(spark):
 def test_subwords_mark_word_ends():
     assert len(subwords(b"")) == 0 and len(subwords(b"ab")) == len(subwords(b"AB")) == 5
     assert (subwords(b"ab") == subwords(b"AB")).all()
+
+
+def plain_prediction(model, text):
+    """The language and its probability, subword by subword."""
+    if not text or not any(c.isalpha() for c in text):
+        return UNKNOWN, 0.0
+    raw = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    c = [0, *[b if 97 <= b <= 122 or b >= 128 else 0 for b in raw], 0, 0]
+    total, n = [0.0] * len(model.bias), 0
+    for i in range(len(c) - 2):
+        keys = []
+        if c[i] or c[i + 1]:
+            keys.append(c[i] << 8 | c[i + 1] | 1 << 24)
+        if c[i + 1]:
+            keys.append(c[i] << 16 | c[i + 1] << 8 | c[i + 2])
+        for k in keys:
+            h = k * 0x9E3779B1 & 0xFFFFFFFF
+            row = model.table[(h ^ h >> 15) % BUCKETS]
+            total = [x + float(y) for x, y in zip(total, row)]
+            n += 1
+    z = [(x / n + float(y)) / model.temperature for x, y in zip(total, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    p = [x / sum(e) for x in e]
+    k = max(range(len(model.langs)), key=lambda i: p[i])
+    return model.langs[k], p[k]
+
+
+def test_query_against_plain_predictions(spark, tmp_path):
+    rows = [*rows_of(150, 9), (900, None, "en"), (901, "", None), (902, "12 !", "de"), (None, "the Über-thing, été", "fr"), (903, "shall und " * 30_000, "en"), (7, "again und", None), (904, "\n\t", "en"), (905, "Ⅻ 漢字", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    model = fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    got = op8_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    want = sorted(((d is None, d, *plain_prediction(model, t)) for d, t, _ in rows), key=str)
+    for x, (_, d, lang, score) in zip(sorted(((x.doc_id is None, x.doc_id, x.lang_pred, x.score) for x in got), key=str), want):
+        assert x[1:3] == (d, lang) and abs(x[3] - score) < 1e-9

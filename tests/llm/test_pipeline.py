@@ -160,7 +160,7 @@ def test_packed_ids_are_those_of_the_texts(spark, tmp_path):
 def test_planted_gibberish_goes(spark):
     r = random.Random(5)
     rows = texts(4, 300)
-    junk = [(1000 + k, "".join(r.choice("qxzwvkjyp  ") for _ in range(300)), r.choice(["en", None]), "s0", 300) for k in range(20)]
+    junk = [(1000 + k, "".join(r.choice("qxzwvkjyp  ") for _ in range(300)), None, "s0", 300) for k in range(20)]
     df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id for x in corpus_pipeline.language(spark, df, "").collect()}
     assert kept == {d for d, t, *_ in rows if t and any(map(str.isalpha, t))}
