@@ -12,7 +12,13 @@ from lodestore.streaming import access as A
 
 
 def stream(spark, sf_dir):
-    s = spark.readStream.schema(A.EVENT).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream, be it one file or a folder of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    s = spark.readStream.schema(A.EVENT)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        s = s.parquet(f"{sf_dir}/events.parquet")
+    else:
+        s = s.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
