@@ -47,12 +47,13 @@ _SPELLING = _spelling()
 class Kept:
     """ids by piece; when full, the pieces not used since the last time are forgotten."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def add(self, piece: str, ids: bytes) -> bytes:
-        if len(self.new) >= KEPT_PIECES:
+        if len(self.new) >= self.size:
             self.old = dict(self.new)
             self.new.clear()
         self.new[piece] = ids
@@ -77,9 +78,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words = "word" in os.path.basename(path)
         #: Of blank-free runs and of the parts they are cut into; a part by itself has the same ids.
-        self.pieces = Kept()
+        self.pieces = Kept(KEPT_PIECES if self.words else KEPT_PIECES // 4)
         #: For byte BPE, of blank-free runs that come after a blank.
-        self.spaced = Kept()
+        self.spaced = Kept(KEPT_PIECES * 3 // 4)
         if self.words:
             self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
         else:
