@@ -21,21 +21,30 @@ CHOICES = {
 }
 
 
+# What is cut out of a response, a fenced object (dots match line ends in both), and a flat object.
+THOUGHTS = r"<think>.*?</think>"
+FENCED = r"```(?:json)?\s*(\{[^`]+\})\s*```"
+FLAT = r"\{[^{}]*\}"
+#: JSON and nothing more lenient.
+STRICT = {"allowSingleQuotes": "false"}
+
+
 def without_thoughts(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return F.trim(F.regexp_replace(c, f"(?s){THOUGHTS}", ""))
+
+
+def _first_json(*tries: Column) -> Column:
+    return F.get(F.filter(F.array(*tries), lambda x: F.coalesce(F.try_parse_json(x).isNotNull(), F.lit(False))), F.lit(0))
 
 
 def response_json(c: Column) -> Column:
-    """The first flat object of a response as text, else the whole of it."""
-    s = without_thoughts(c)
-    return F.coalesce(filled(F.regexp_extract(s, r"\{[^{}]*\}", 0)), s)
+    """The first of these that is JSON: the first flat object of a response, the whole of it; else null."""
+    return let(without_thoughts(c), lambda s: _first_json(F.regexp_extract(s, FLAT, 0), s))
 
 
 def fenced_json(c: Column) -> Column:
     """The first of these that is JSON: the inside of a fenced block, the first flat object, the whole; else null."""
-    s = without_thoughts(c)
-    tries = F.array(F.regexp_extract(s, r"(?s)```(?:json)?\s*(\{[^`]+\})\s*```", 1), F.regexp_extract(s, r"\{[^{}]*\}", 0), s)
-    return F.get(F.filter(tries, lambda x: F.coalesce(F.try_parse_json(x).isNotNull(), F.lit(False))), F.lit(0))
+    return let(without_thoughts(c), lambda s: _first_json(F.regexp_extract(s, f"(?s){FENCED}", 1), F.regexp_extract(s, FLAT, 0), s))
 
 
 def layout_params(c: Column) -> Column:
@@ -88,7 +97,7 @@ def write_decision(c: Column, candidates: Column) -> Column:
         target = F.when(chosen == "APPEND", F.when(F.coalesce(known, F.lit(False)), j["canvas_id"]).otherwise(first))
         return F.struct(chosen.alias("action"), target.alias("canvas_id"), j["topic"].alias("topic"))
 
-    return let(F.from_json(response_json(c), "action string, canvas_id string, topic string"), decided)
+    return let(F.from_json(response_json(c), "action string, canvas_id string, topic string", STRICT), decided)
 
 
 def read_decision(c: Column, candidates: Column) -> Column:
@@ -102,7 +111,7 @@ def read_decision(c: Column, candidates: Column) -> Column:
         chosen = F.when(action == "DIRECT_ANSWER", action).otherwise("RETRIEVE")
         return F.struct(chosen.alias("action"), F.when(chosen == "RETRIEVE", ids).otherwise(none).alias("canvas_ids"))
 
-    return let(F.from_json(response_json(c), "action string, canvas_ids array<string>"), decided)
+    return let(F.from_json(response_json(c), "action string, canvas_ids array<string>", STRICT), decided)
 
 
 def answers_of(c: Column) -> Column:

@@ -89,3 +89,33 @@ def is_blank(pixels: Column, least: float = 100.0) -> Column:
     """Whether the population variance of pixel values is below `least`."""
     mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x) / F.size(pixels)
     return let(mean, lambda m: F.aggregate(pixels, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(pixels) < least)
+
+
+def resample(tokens: Column, n: int, mode: str = "mean", mask: Column | None = None) -> Column:
+    """A matrix of tokens (an array of rows) brought to n rows; masked tokens do not count, null without a valid one.
+
+    Row i stands for the tokens from i * T / n to (i + 1) * T / n of T.  A token that an edge cuts counts by its share
+    in "mean" and wholly in "max"; "first" takes the token in which the row begins.
+    """
+    if mode not in ("mean", "max", "first"):
+        raise ValueError(f"unknown mode {mode}")
+
+    def rows(t: Column) -> Column:
+        size = F.size(t)
+
+        def row(i: Column) -> Column:
+            low, high = i * size / n, (i + 1) * size / n
+            begin = F.floor(low).cast("int")
+            if mode == "first":
+                return F.transform(F.get(t, begin), lambda x: x.cast("double"))
+            inside = F.slice(t, begin + 1, F.ceil(high).cast("int") - begin)
+            if mode == "max":
+                return F.aggregate(inside, F.transform(F.get(t, begin), lambda x: x.cast("double")), lambda s, r: F.zip_with(s, r, lambda x, y: F.greatest(x, y.cast("double"))))
+            # each token times its share of the row
+            share = F.transform(inside, lambda r, k: F.transform(r, lambda x: x.cast("double") * (F.least(begin + k + 1, high) - F.greatest((begin + k).cast("double"), low))))
+            zero = F.transform(F.get(t, begin), lambda x: F.lit(0.0))
+            return F.transform(F.aggregate(share, zero, lambda s, r: F.zip_with(s, r, lambda x, y: x + y)), lambda x: x / (high - low))
+
+        return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), row))
+
+    return let(valid_tokens(tokens, F.lit(None).cast("array<boolean>") if mask is None else mask), rows)

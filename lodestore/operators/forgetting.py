@@ -105,6 +105,10 @@ def storage_curve(snapshots: DataFrame, initial: int, total_steps: int, every: i
     spark = snapshots.sparkSession
     known = snapshots.select("step", "storage_bytes").unionByName(spark.createDataFrame([(0, initial)], "step long, storage_bytes long"))
     marks = spark.range(0, total_steps + 1, every).select(F.col("id").alias("step")).union(spark.createDataFrame([(total_steps,)], "step long")).distinct()
-    rows = known.join(marks, "step", "full")
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("step", F.last("storage_bytes", True).over(w).alias("storage_bytes"))
+    # ranges of steps: inside a range in order, from range to range by a row for each
+    rows = known.join(marks, "step", "full").withColumn("_r", F.floor(F.col("step") / (every * 1000)))
+    inside = Window.partitionBy("_r").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("_r").agg(F.max_by("storage_bytes", F.when(F.col("storage_bytes").isNotNull(), F.col("step"))).alias("_end"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_r", F.last("_end", True).over(before).alias("_carried"))
+    return rows.join(carried, "_r").select("step", F.coalesce(F.last("storage_bytes", True).over(inside), "_carried").alias("storage_bytes"))

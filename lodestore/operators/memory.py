@@ -141,6 +141,10 @@ class Bank:
         """Write f(rows) as the next version."""
         return self.write(f(self.read()), partition_by, note)
 
+    def upsert(self, rows: DataFrame, note: dict[str, int] | None = None, key: str = "id") -> int:
+        """New rows replace those of the same key; the whole table is written anew (DeltaBank writes the rows alone)."""
+        return self.change(lambda old: upsert(old, rows, key), note=note)
+
     def clear(self, condition: Column | None = None) -> int:
         return self.change(lambda d: d.limit(0) if condition is None else d.where(~F.coalesce(condition, F.lit(False))))
 

@@ -42,18 +42,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 FOUND = pa.schema([("query_id", pa.int64()), ("ord", pa.int64()), ("sim", pa.float64())])
 
 
-def _tile_best(window: int, metric: str, q: np.ndarray, v: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ordinals of the best keys of each query of a tile."""
+def _scores(metric: str, q: np.ndarray, v: np.ndarray):
+    """A function from a slice of the keys to the scores of all queries."""
     qq = (q * q).sum(axis=1)
+
+    def of(part: slice) -> np.ndarray:
+        k = v[part]
+        s = q @ k.T
+        return -np.sqrt(np.maximum(qq[:, None] + (k * k).sum(axis=1)[None] - 2 * s, 0)) if metric == "l2" else s
+
+    return of
+
+
+def _tile_best(window: int, n: int, scores, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ordinals of the best keys of each of n queries."""
+    q = range(n)
     top_s, top_o = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
     for i in range(0, len(o), TILE_KEYS):
-        k = v[i : i + TILE_KEYS]
-        s = q @ k.T
-        if metric == "l2":
-            s = -np.sqrt(np.maximum(qq[:, None] + (k * k).sum(axis=1)[None] - 2 * s, 0))
+        s = scores(slice(i, i + TILE_KEYS))
         # ties are decided on rounded scores, so that they do not depend on the order of summation
         s = np.round(np.concatenate((top_s, s), axis=1), 9)
-        at = np.concatenate((top_o, np.broadcast_to(o[i : i + TILE_KEYS], (len(q), len(k)))), axis=1)
+        at = np.concatenate((top_o, np.broadcast_to(o[i : i + TILE_KEYS], (len(q), s.shape[1] - top_s.shape[1]))), axis=1)
         if s.shape[1] > window:
             # everything that is not below the window's last score, then in order
             least = -np.partition(-s, window - 1, axis=1)[:, window - 1]
@@ -75,29 +84,74 @@ def _block_best(window: int, metric: str):
         rows = max(1, TILE_BYTES // (8 * (TILE_KEYS + window)))
         out = []
         for i in range(0, len(ids), rows):
-            s, at = _tile_best(window, metric, q[i : i + rows], v, ords)
+            s, at = _tile_best(window, len(ids[i : i + rows]), _scores(metric, q[i : i + rows], v), ords)
             out.append(pa.table([np.repeat(ids[i : i + rows], s.shape[1]), at.ravel(), s.ravel()], schema=FOUND))
         return pa.concat_tables(out)
 
     return f
 
 
-def candidates(queries: DataFrame, keys: DataFrame, window: int, metric: str = "cosine") -> DataFrame:
-    """query_id, ord, sim, rank <= window; queries(query_id, vec), keys(ord, vec) as keys_of makes them.
-
-    Query blocks hold BLOCK_BYTES of vectors; key blocks follow spark.sql.shuffle.partitions.
-    """
+def _dealt(queries: DataFrame, keys: DataFrame, vectors: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of query and key blocks, each row once for every block of the other side."""
     n = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
     query_blocks = max(1, -(-n[0] // max(1, BLOCK_BYTES // (8 * max(n[1] or 1, 1)))))
     key_blocks = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     q = queries.select("query_id", "vec", block("query_id", query_blocks).alias("qb"), every(key_blocks).alias("kb"))
-    k = keys.select("ord", "vec", block("ord", key_blocks).alias("kb"), every(query_blocks).alias("qb"))
+    k = keys.select("ord", *vectors, block("ord", key_blocks).alias("kb"), every(query_blocks).alias("qb"))
+    return q, k
+
+
+def candidates(queries: DataFrame, keys: DataFrame, window: int, metric: str = "cosine") -> DataFrame:
+    """query_id, ord, sim, rank <= window; queries(query_id, vec), keys(ord, vec) as keys_of makes them.
+
+    Query blocks hold BLOCK_BYTES of vectors; key blocks follow spark.sql.shuffle.partitions.
+    """
+    q, k = _dealt(queries, keys, ("vec",))
     found = q.groupBy("qb", "kb").cogroup(k.groupBy("qb", "kb")).applyInArrow(_block_best(window, metric), "query_id long, ord long, sim double")
     return ranked(found, window)
 
 
+def _grid_best(window: int, alphas: tuple[float, ...]):
+    def f(queries: pa.Table, keys: pa.Table) -> pa.Table:
+        schema = pa.schema([("alpha", pa.float64()), *FOUND])
+        if not queries.num_rows or not keys.num_rows:
+            return schema.empty_table()
+        ids, ords = queries.column("query_id").to_numpy(), keys.column("ord").to_numpy()
+        q, image, text = (_matrix(t.column(c).combine_chunks()) for t, c in ((queries, "vec"), (keys, "image"), (keys, "text")))
+        ii, it, tt = (image * image).sum(axis=1), (image * text).sum(axis=1), (text * text).sum(axis=1)
+        rows = max(1, TILE_BYTES // (8 * (TILE_KEYS + window) * 3))
+        out = []
+        for i in range(0, len(ids), rows):
+            # both products once for each tile of keys; every alpha mixes them and divides by the length of its key
+            tiles = {k: (q[i : i + rows] @ image[k : k + TILE_KEYS].T, q[i : i + rows] @ text[k : k + TILE_KEYS].T) for k in range(0, len(ords), TILE_KEYS)} if len(ords) <= TILE_KEYS else None
+            for a in alphas:
+                norm = np.sqrt(np.maximum(a * a * ii + 2 * a * (1 - a) * it + (1 - a) ** 2 * tt, 0))
+                norm[norm == 0] = 1
+
+                def of(part: slice, a=a, norm=norm, i=i, tiles=tiles) -> np.ndarray:
+                    x, y = tiles[part.start] if tiles else (q[i : i + rows] @ image[part].T, q[i : i + rows] @ text[part].T)
+                    return (a * x + (1 - a) * y) / norm[None, part]
+
+                s, at = _tile_best(window, len(ids[i : i + rows]), of, ords)
+                out.append(pa.table([np.full(s.size, a), np.repeat(ids[i : i + rows], s.shape[1]), at.ravel(), s.ravel()], schema=schema))
+        return pa.concat_tables(out)
+
+    return f
+
+
+def hybrid_grid(queries: DataFrame, keys: DataFrame, alphas: tuple[float, ...], window: int) -> DataFrame:
+    """alpha, query_id, ord, sim, rank <= window for every alpha; queries(query_id, vec) are unit vectors, keys(ord, image, text) raw ones.
+
+    Vectors are dealt to blocks once and multiplied once for all alphas.
+    """
+    q, k = _dealt(queries, keys, ("image", "text"))
+    found = q.groupBy("qb", "kb").cogroup(k.groupBy("qb", "kb")).applyInArrow(_grid_best(window, tuple(alphas)), "alpha double, query_id long, ord long, sim double")
+    w = Window.partitionBy("alpha", "query_id").orderBy(F.desc("sim"), "ord")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= window)
+
+
 def ranked(rows: DataFrame, k: int, by: str = "sim") -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(by), "ord")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

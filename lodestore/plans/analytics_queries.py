@@ -187,7 +187,8 @@ def answer_modes(spark, sf_dir):
     d = documents(spark, sf_dir).select("lang", "doc_id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("w"))
     n = d.groupBy("lang", "w").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     r = n.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "first", "w")))
-    return r.where("rank = 1 or (rank <= 3 and n >= 2)").select("lang", "w", "n", "rank")
+    # the limit first: then only the best of each task are sorted together
+    return r.where("rank <= 3").where("rank = 1 or n >= 2").select("lang", "w", "n", "rank")
 
 
 def sample(spark, sf_dir):

@@ -10,6 +10,7 @@ from lodestore.operators import retrieval as R
 from lodestore.plans.common import EVERY, memories, sql_rank, sql_scores, table
 
 ALPHA, K, THRESHOLD = 0.75, 2, 0.1
+GRID = (0.0, 0.5, 0.75, 1.0)
 
 
 def sides(spark: SparkSession, sf_dir: str, alpha: float = ALPHA, metric: str = "cosine") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,17 +120,16 @@ def token_budget(spark, sf_dir):
 
 
 def ablation_grid(spark, sf_dir):
-    """Hit rate and mean score for every alpha and k, from one ranking for each alpha."""
-    out = None
-    ks = spark.createDataFrame([(k,) for k in (1, 2, 3)], "k int")
-    for alpha in (0.0, 0.5, 0.75, 1.0):
-        q, k, _ = sides(spark, sf_dir, alpha)
-        hits = R.candidates(q, k, 13).where("sim >= 0.3")
-        per = q.select("query_id").join(F.broadcast(ks)).join(hits, (hits.query_id == q.query_id) & (hits["rank"] <= ks.k), "left").groupBy("k", q.query_id).agg(F.count("sim").alias("n"), F.sum("sim").alias("s"))
-        cell = per.groupBy("k").agg((F.sum((F.col("n") > 0).cast("int")) / F.greatest(F.count("*"), F.lit(1))).alias("hit_rate"), F.round(F.sum("s") / F.sum("n"), R.SCALE).alias("avg_score"))
-        cell = cell.select(F.lit(alpha).alias("alpha"), "k", F.round("hit_rate", R.SCALE).alias("hit_rate"), "avg_score")
-        out = cell if out is None else out.unionByName(cell)
-    return out
+    """Hit rate and mean score for every alpha and k, from one pass over the vectors."""
+    m = memories(spark, sf_dir)
+    q, _, _ = sides(spark, sf_dir, 1)
+    hits = R.hybrid_grid(q, m.select("ord", *[F.transform(c, lambda x: x.cast("double")).alias(c) for c in ("image", "text")]), GRID, 13).where("sim >= 0.3")
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(k).alias("k")) for a in GRID for k in (1, 2, 3)]))
+    asked = q.select("query_id", cells.alias("c")).select("query_id", "c.alpha", "c.k")
+    h = hits.select(F.col("alpha").alias("a"), F.col("query_id").alias("qid"), "rank", "sim")
+    per = asked.join(h, (F.col("qid") == F.col("query_id")) & (F.col("a") == F.col("alpha")) & (F.col("rank") <= F.col("k")), "left").groupBy("alpha", "k", "query_id").agg(F.count("sim").alias("n"), F.sum("sim").alias("s"))
+    cell = per.groupBy("alpha", "k").agg((F.sum((F.col("n") > 0).cast("int")) / F.greatest(F.count("*"), F.lit(1))).alias("hit_rate"), F.round(F.sum("s") / F.sum("n"), R.SCALE).alias("avg_score"))
+    return cell.select("alpha", "k", F.round("hit_rate", R.SCALE).alias("hit_rate"), "avg_score")
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -193,7 +193,7 @@ def _window_sql(over: int, alpha: float = ALPHA) -> str:
 
 def _grid_sql() -> str:
     cells = []
-    for alpha in (0.0, 0.5, 0.75, 1.0):
+    for alpha in GRID:
         cells.append(f"""select * from ({sql_scores(alpha)}, {sql_rank("s", "w", 13)},
 h as (select * from w where sim >= 0.3), per as (select k, q.query_id, count(h.sim) n, sum(h.sim) s from q cross join (values (1), (2), (3)) g(k) left join h on h.query_id = q.query_id and h.r <= k group by all)
 select {alpha}::double alpha, k, round(sum((n > 0)::int) / greatest(count(*), 1), {R.SCALE}) hit_rate, round(sum(s) / sum(n), {R.SCALE}) avg_score from per group by k)""")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestore.operators import memory as B
+from lodestore.operators.delta import DeltaBank
 from lodestore.plans.common import table
 from lodestore.session import run_folder
 from lodestore.sources import records as S
 from lodestore.streaming import access as A
+from lodestore.streaming import forgetting as K
 
 
 def stream(spark, sf_dir):
@@ -25,26 +27,28 @@ def stream(spark, sf_dir):
 def finished(spark, rows, name: str, mode: str):
     """The result table of a stream that has run to its end."""
     at = run_folder(spark, name)
-    if mode == "append":
-        A.run_once(rows, f"{at}/checkpoint", f"{at}/out")
-        return spark.read.parquet(f"{at}/out")
+    A.run_once(rows, f"{at}/checkpoint", f"{at}/out", mode)
+    return spark.read.parquet(f"{at}/out")
 
-    def last(batch, _):
-        batch.write.mode("overwrite").parquet(f"{at}/out")
 
-    rows.writeStream.outputMode("complete").foreachBatch(last).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+def updated(spark, rows, name: str, key: list[str]):
+    """The same, where each batch writes the rows that it changed, and no others, to a bank."""
+    at = run_folder(spark, name)
+    bank = DeltaBank(spark, f"{at}/bank", "_key")
+    bank.write(spark.createDataFrame([], rows.withColumn("_key", F.lit("")).schema))
+    A.each_batch(rows, f"{at}/checkpoint", A.into_bank(bank, key), "update")
+    return bank.read().drop("_key")
 
 
 def tumbling(spark, sf_dir):
     w = F.window("ts", "1 day")
-    rows = stream(spark, sf_dir).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return finished(spark, rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "tumbling", "complete")
+    rows = stream(spark, sf_dir).withWatermark("ts", "2 days").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return updated(spark, rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "tumbling", ["start", "event_type"])
 
 
 def stream_access(spark, sf_dir):
     rows = stream(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.col("ts").cast("timestamp_ntz")).alias("last_ts"))
-    return finished(spark, rows, "access", "complete")
+    return updated(spark, rows, "access", ["user_id"])
 
 
 def late_windows(spark, sf_dir):
@@ -79,9 +83,28 @@ def bank_versions(spark, sf_dir):
     return bank.read()
 
 
-QUERIES = {"stream_daily_counts": tumbling, "stream_access_counts": stream_access, "stream_late_windows": late_windows, "stream_sessions": sessions, "jsonl_round_trip": jsonl_round_trip, "bank_versions": bank_versions}
+INTERVAL, FEW = 1000, 40
+
+
+def stream_forgetting(spark, sf_dir):
+    """Events as accesses of users, a review every 1,000; the state store is read at the end."""
+    at = run_folder(spark, "forgetting")
+    rows = stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("mem_id"), F.col("event_id").alias("step"))
+    K.run(K.demotions(rows, INTERVAL, FEW), f"{at}/checkpoint", f"{at}/out")
+    e = table(spark, sf_dir, "events")
+    users = e.select(F.col("user_id").cast("string").alias("mem_id")).distinct()
+    return K.state(spark, f"{at}/checkpoint", users, e.count(), INTERVAL, FEW)
+
+
+QUERIES = {"stream_forgetting": stream_forgetting, "stream_daily_counts": tumbling, "stream_access_counts": stream_access, "stream_late_windows": late_windows, "stream_sessions": sessions, "jsonl_round_trip": jsonl_round_trip, "bank_versions": bank_versions}
 
 ORACLE = {
+    "stream_forgetting": f"""with n as (select count(*) // {INTERVAL} reviews from events),
+-- hits up to each review; once they are more than a few, they stay so
+h as (select u.user_id, r, count(e.event_id) hits from (select distinct user_id from events) u, n, unnest(range(1, reviews + 1)) t(r) left join events e on e.user_id = u.user_id and e.event_id < r * {INTERVAL} group by all),
+l as (select user_id, count_if(hits <= {FEW}) down, max(case when r = 4 then hits end) fourth from h group by 1),
+a as (select user_id, count(*) hits from events group by 1)
+select user_id::varchar mem_id, case when coalesce(down, 0) >= 4 then fourth else a.hits end::bigint hits, least(4, coalesce(down, 0))::int quality from a left join l using (user_id)""",
     "stream_daily_counts": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
     "stream_access_counts": "select user_id, count(*) n, max(ts) last_ts from events group by 1",
     "stream_late_windows": """select time_bucket(interval '6 hours', ts)::timestamp as start, event_type, count(*) n from events group by 1, 2

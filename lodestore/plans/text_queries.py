@@ -71,8 +71,8 @@ def anls(spark, sf_dir):
 
 
 def vqa(spark, sf_dir):
-    """The first word of each document against those of the three documents after it."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split(F.trim("text"), r"[\s]+"), F.lit(0)).alias("w"))
+    """The text of each document against those of the two documents after it and two spellings of its own."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
     pairs = d.alias("a").join(d.alias("b"), F.expr("b.doc_id = a.doc_id + 1"), "left").join(d.alias("c"), F.expr("c.doc_id = a.doc_id + 2"), "left")
     rows = pairs.select("a.doc_id", F.col("a.w").alias("p"), F.array_compact(F.array("b.w", "c.w", F.concat("a.w", F.lit(".")), F.concat(F.lit(" "), "a.w"))).alias("answers"))
     return rows.select("doc_id", M.vqa_soft(F.col("p"), F.col("answers")).alias("soft"), M.vqa_any(F.col("p"), F.col("answers")).alias("any"))
@@ -85,9 +85,9 @@ def answer_letters(spark, sf_dir):
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _LAST = f"""coalesce(upper(coalesce(
-  list_filter(list_transform(list_reverse(string_split({_STRIP.format('text')}, chr(10))), lambda x: coalesce(nullif(regexp_extract({_STRIP.format('x')}, '(?i)answer\\s*(?:is|:)\\s*\\(?([A-F])\\)?', 1), ''),
-    nullif(regexp_extract({_STRIP.format('x')}, '^[\\s*(\\[]*([A-Fa-f])[\\s*)\\].:]*$', 1), ''))), lambda x: x is not null)[1],
-  regexp_extract_all({_STRIP.format('text')}, '(?:^|[\\s*(\\[])([A-Fa-f])(?:[\\s*)\\].,;:!?]|$)', 1)[-1])),
+  list_filter(list_transform(list_reverse(string_split({_STRIP.format('text')}, chr(10))), lambda x: coalesce(nullif(regexp_extract({_STRIP.format('x')}, '(?i){T.ANSWER_STATED}', 1), ''),
+    nullif(regexp_extract({_STRIP.format('x')}, '{T.ANSWER_ALONE}', 1), ''))), lambda x: x is not null)[1],
+  regexp_extract_all({_STRIP.format('text')}, '{T.ANSWER_APART}', 1)[-1])),
   regexp_extract_all(upper(text), '[A-F]')[-1], 'A')"""
 
 
@@ -230,7 +230,7 @@ ORACLE = {
     "anls": f"""with {TURNS.replace('a.text pred, u.text gold', "regexp_replace(a.text, '[^[:ascii:]]', '?', 'g') pred, regexp_replace(u.text, '[^[:ascii:]]', '?', 'g') gold")}, n as (select id, trim(lower(pred)) p, trim(lower(gold)) g, trim(lower(' ' || upper(gold))) h, trim(lower(reverse(pred))) r from t),
 s as (select id, {_SIM.format('p', 'g')} s1, {_SIM.format('p', 'h')} s2, {_SIM.format('p', 'r')} s3 from n)
 select id, round(s1, 9)::double similarity, round(case when greatest(s1, s2, s3) >= 0.5 then greatest(s1, s2, s3) else 0.0 end, 9)::double anls from s""",
-    "vqa_accuracy": f"""with d as (select doc_id, string_split_regex(trim(text), '\\s+')[1] w from documents),
+    "vqa_accuracy": f"""with d as (select doc_id, text w from documents),
 r as (select a.doc_id, a.w p, list_filter([b.w, c.w, a.w || '.', ' ' || a.w], lambda x: x is not null) answers from d a left join d b on b.doc_id = a.doc_id + 1 left join d c on c.doc_id = a.doc_id + 2)
 select doc_id, least(1.0, len(list_filter(answers, lambda a: trim(lower(a)) = regexp_replace(trim(lower(p)), '\\.+$', ''))) / 3)::double soft,
 (len(list_filter(answers, lambda a: {sql_normal('a').replace('lambda w', 'lambda w2').replace('when w in', 'when w2 in').replace('else w end', 'else w2 end')} = {sql_normal('p').replace('lambda w', 'lambda w3').replace('when w in', 'when w3 in').replace('else w end', 'else w3 end')})) > 0)::int::double as any from r""",

@@ -31,15 +31,27 @@ def run_once(rows: DataFrame, checkpoint: str, path: str, mode: str = "append")
     rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
 
 
-def each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int], None]) -> None:
-    stream.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def into_bank(bank, key: list[str]) -> Callable[[DataFrame, int], None]:
+    """Rows of a batch come into a DeltaBank by the text of these columns; a batch that is replayed changes nothing."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > bank.note().get("batch", -1):
+            bank.upsert(batch.withColumn(bank.key, F.to_json(F.struct(*key))), {"batch": batch_id})
+            bank.compact(8)
+
+    return put
+
+
+def each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(f).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 class ReviewPolicy:
     """Counts queries batch by batch; at `interval` or more a review comes and counting starts at 0 again.
 
     The count and the last batch are noted with the bank's version, so a restart goes on from there and a batch that
-    is replayed changes nothing.
+    is replayed changes nothing.  Only rows that were asked for or that a review demotes are written; a DeltaBank reads
+    their buckets alone, but for reviews, which look at all rows.
     """
 
     def __init__(self, bank, interval: int, threshold: int):
@@ -56,12 +68,12 @@ class ReviewPolicy:
         review = seen >= self.interval
         note = {"batch": batch_id, "seen": 0 if review else seen}
 
-        def change(rows: DataFrame) -> DataFrame:
-            rows = access_counts(rows, ids)
-            if not review:
-                return rows
-            state = reviewed(rows.withColumnRenamed("quality_level", "quality").withColumnRenamed("access_count", "hits"), self.threshold)
-            state = state.drop("demoted").withColumnRenamed("quality", "quality_level").withColumnRenamed("hits", "access_count")
-            return state.withColumn("deleted", F.col("quality_level") == 4)
-
-        self.bank.change(change, note=note)
+        rows = self.bank.read() if review or not hasattr(self.bank, "read_near") else self.bank.read_near(ids)
+        counted = access_counts(rows, ids).withColumn("_old", F.col("quality_level"))
+        if review:
+            state = reviewed(counted.withColumnRenamed("quality_level", "quality").withColumnRenamed("access_count", "hits"), self.threshold)
+            counted = state.drop("demoted").withColumnRenamed("quality", "quality_level").withColumnRenamed("hits", "access_count")
+            counted = counted.withColumn("deleted", F.col("quality_level") == 4)
+        # rows that nobody asked for and no review demoted stay as they are written
+        touched = counted.join(ids.distinct().withColumn("_asked", F.lit(True)), "id", "left").where(F.col("_asked") | (F.col("quality_level") != F.col("_old")))
+        self.bank.upsert(touched.drop("_old", "_asked"), note=note)
