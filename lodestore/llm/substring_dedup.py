@@ -11,7 +11,8 @@ what is repeated at one length is extended to the next:
    window that an earlier document also starts are dropped.
 
 A witness depends on the content of the full window alone, so equal windows are extended from equal witnesses
-and no repeat is lost.
+and no repeat is lost.  Hashes of witnesses only choose candidates; the full windows themselves are compared by
+96 bits of the XXH3-128 of their words.
 """
 
 from __future__ import annotations
@@ -22,36 +23,24 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, joined, minimizer, mix, powers, read_documents
+from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, minimizer, read_documents
 
 WINDOW = 13
 #: The first level has windows of this many words at most.
 START = 4
-SEPARATOR = np.zeros(256, bool)
-SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SENT = "block int, bucket int, data binary"
 BACK = "block int, data binary"
 SENT_PA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 BACK_PA = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 
-def word_hashes(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, and for each document the number of words before it (one more entry at the end)."""
-    # a separator after every document keeps words of neighbours apart
-    n_docs = len(bounds) - 1
-    out = np.full(len(buf) + n_docs, 0x20, np.uint8)
-    shift = np.repeat(np.arange(n_docs), np.diff(bounds))
-    out[np.arange(len(buf)) + shift] = buf
-    sep = SEPARATOR[out]
-    edge = np.diff(np.concatenate(([1], sep.view(np.int8))))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = powers(len(out) + 1)
-    total = np.zeros(len(out) + 1, U)
-    np.cumsum((out.astype(U) + U(1)) * up[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0x632BE59BD9B4E019))
-    return h, np.searchsorted(start, bounds + np.arange(n_docs + 1))
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash of every word, by its bytes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
 
 
 def ladder(n: int) -> list[int]:
@@ -66,9 +55,14 @@ class Windows:
     """The full windows of a run of documents that are still candidates, and the hashes of one level's windows."""
 
     def __init__(self, texts: Texts, i: int, j: int, n: int):
-        bounds = texts.bounds[i : j + 1]
-        self.grams, self.words = word_hashes(texts.bytes[bounds[0] : bounds[-1]], bounds - bounds[0])
-        self.n, self.level, self.before = n, 1, self.grams
+        split = [texts.bytes[texts.bounds[k] : texts.bounds[k + 1]].tobytes().split() for k in range(i, j)]
+        #: For each document the number of words before it, and one more at the end.
+        self.words = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
+        words = [w for ws in split for w in ws]
+        self.grams, self.n, self.level = word_hashes(words), n, 1
+        #: All words with one space behind each, and where each begins.
+        self.line = b" ".join(words)
+        self.place = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
         doc = np.repeat(np.arange(j - i), np.diff(self.words))
         # places within a run of documents fit 32 bits
         self.start = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]).astype(np.int32) if len(doc) >= n else np.zeros(0, np.int32)
@@ -76,8 +70,7 @@ class Windows:
 
     def extend(self, length: int) -> None:
         """Hashes of windows of this length from those of the level before."""
-        self.before, self.grams, self.half = self.grams, doubled(self.grams, self.level, length), self.level
-        self.level = length
+        self.grams, self.level = doubled(self.grams, self.level, length), length
 
     def witnesses(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each candidate the window of this length that its content picks: hashes and documents, run by run."""
@@ -92,10 +85,11 @@ class Windows:
         self.start, self.doc = self.start[on], self.doc[on]
 
     def full(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the candidates themselves, of 64 and of 32 bits."""
-        self.extend(self.n)
-        other = joined(self.before[self.start], self.before[self.start + (self.n - self.half)], 0x51ED27) >> U(32)
-        return self.grams[self.start], other.astype(np.uint32)
+        """Of each candidate 64 and 32 bits of the XXH3-128 of its words, which tell it from every other."""
+        a, b = self.place[self.start].tolist(), (self.place[self.start + self.n] - 1).tolist()
+        digest = b"".join([xxhash.xxh3_128_digest(self.line[x:y]) for x, y in zip(a, b, strict=True)])
+        halves = np.frombuffer(digest, ">u8").reshape(-1, 2)
+        return halves[:, 0].astype(U), (halves[:, 1] >> U(32)).astype(np.uint32)
 
 
 def firsts(sorted_array: np.ndarray) -> np.ndarray:
@@ -242,9 +236,9 @@ def without(n: int, with_text: bool):
             kept = np.cumsum(change)[:total] == 0
             for k in range(i, j):
                 a, b = int(w.words[k - i]), int(w.words[k - i + 1])
-                words = texts.bytes[texts.bounds[k] : texts.bounds[k + 1]].tobytes().split()
                 left = int(kept[a:b].sum())
-                rest = b" ".join(words if left == b - a else compress(words, kept[a:b].tolist()))
+                whole = w.line[w.place[a] : max(w.place[a], w.place[b] - 1)]
+                rest = whole if left == b - a else b" ".join(compress(whole.split(), kept[a:b].tolist()))
                 out["n_words"].append(b - a)
                 out["n_removed"].append(b - a - left)
                 out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())

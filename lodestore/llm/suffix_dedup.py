@@ -130,10 +130,30 @@ def with_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return in_blocks(docs).mapInArrow(f, "block int, doc_id long, text string, runs binary")
 
 
+def told_apart(new: np.ndarray, content) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted entries and which of them begin a class, where hashes that agree are believed only if the bytes do.
+
+    new: which entries differ from the one before by their hashes; content(i): the bytes of an entry.
+    """
+    lead, seen = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)), {}
+    other = np.zeros(len(new), np.int64)
+    again = np.flatnonzero(~new)
+    for i, k in zip(again.tolist(), lead[again].tolist(), strict=True):
+        mine = content(i)
+        if mine != content(k):
+            known = seen.setdefault(k, {})
+            other[i] = known.setdefault(bytes(mine), len(known) + 1)
+    order = np.arange(len(new))
+    if seen:
+        order = np.lexsort((other, lead))
+        new = np.concatenate(([True], (lead[order][1:] != lead[order][:-1]) | (other[order][1:] != other[order][:-1])))
+    return order, new
+
+
 class Block:
     """The texts of a block, their runs with places in the block's buffer, and its distinct contexts."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, length: int):
         self.texts = Texts(table)
         cells = self.texts.kept[0].to_pylist() if self.texts.n else []
         size = np.array([len(x) // RUN.itemsize for x in cells], np.int64)
@@ -149,6 +169,9 @@ class Block:
             for x in (key, a, b, off, span):
                 y = x[order]
                 new[1:] |= y[1:] != y[:-1]
+        text, x, y = memoryview(self.texts.bytes), self.low[order].tolist(), (self.high[order] + length).tolist()
+        move, new = told_apart(new, lambda i: text[x[i] : y[i]])
+        order = order[move]
         #: Of each run the number of its context; contexts are sorted by key.
         self.number = np.zeros(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
@@ -207,9 +230,9 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
-def seeds_told(n_buckets: int):
+def seeds_told(length: int, n_buckets: int):
     def f(table: pa.Table) -> pa.Table:
-        h, n, again = Block(table).keys()
+        h, n, again = Block(table, length).keys()
         return tell(table.column("block")[0].as_py(), h, n_buckets, np.minimum(n, 1 << 30).astype(np.uint32), again.astype(np.uint8))
 
     return f
@@ -234,7 +257,7 @@ def contexts_told(length: int, n_buckets: int):
     def f(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SENT_PA.empty_table()
-        c = Block(docs)
+        c = Block(docs, length)
         block = docs.column("block")[0].as_py()
         cold, hot = c.split(*back_of(back, [U, np.uint8]))
         blocks, buckets, data = [], [], []
@@ -382,12 +405,9 @@ class Bucket:
         new = np.ones(n, bool)
         for k, x in enumerate((key, a, b, off, span)):
             new[1:] = x[1:] != x[:-1] if k == 0 else new[1:] | (x[1:] != x[:-1])
-        # hashes that agree are believed only if the bytes do
-        lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        d = self.data
-        for i, x, y, s in zip(*(v.tolist() for v in (np.flatnonzero(~new), base[~new], base[lead[~new]], size[~new])), strict=True):
-            if d[x : x + s] != d[y : y + s]:
-                new[i] = True
+        d, x, y = memoryview(self.data), base.tolist(), (base + size).tolist()
+        move, new = told_apart(new, lambda i: d[x[i] : y[i]])
+        self.row, self.number, key, off, span, twice, base, size = (v[move] for v in (self.row, self.number, key, off, span, twice, base, size))
         #: Of each context the number of its class; classes are sorted by minimizer.
         self.of = np.cumsum(new) - 1
         one = np.flatnonzero(new)
@@ -472,7 +492,7 @@ def contexts_answered(length: int):
 
 def without(length: int, with_text: bool):
     def f(docs: pa.Table, seeds: pa.Table, found: pa.Table) -> pa.Table:
-        c = Block(docs)
+        c = Block(docs, length)
         texts = c.texts
         rows = found.column("data").to_pylist() if found.num_rows else []
         _, (number, low, high) = told([d[8:] for d in rows if d[0] == 0], [np.int64, np.int32, np.int32])
@@ -531,7 +551,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
     n_buckets = buckets(docs.sparkSession)
     blocks = with_runs(docs, length, gram)
     grouped = lambda: blocks.groupBy("block")
-    seeds = grouped().applyInArrow(seeds_told(n_buckets), SENT).groupBy("bucket").applyInArrow(seeds_answered(hot), BACK)
+    seeds = grouped().applyInArrow(seeds_told(length, n_buckets), SENT).groupBy("bucket").applyInArrow(seeds_answered(hot), BACK)
     found = grouped().cogroup(seeds.groupBy("block")).applyInArrow(contexts_told(length, n_buckets), SENT).groupBy("bucket").applyInArrow(contexts_answered(length), BACK)
     back = seeds.select("block", F.lit(0).alias("kind"), "data").unionByName(found.select("block", F.lit(1).alias("kind"), "data"))
     last = without(length, with_text)

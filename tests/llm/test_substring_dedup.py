@@ -62,3 +62,15 @@ def test_long_windows(spark):
     rows = rows_of(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, substring_dedup(df, 37).collect()), key=str) == brute(rows, 37)
+
+
+def test_long_words_with_equal_power_sums(spark):
+    """Words of 1,024 letters and more whose sums of powers agree, whatever the base, are different words."""
+    for n in (1024, 2048, 8192):
+        x = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+        y = x.translate(str.maketrans("ab", "ba"))
+        tail = " ".join(f"w{k}" for k in range(12))
+        for a, b in ((x, y), (y, x)):
+            rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail}")]
+            got = sorted(map(tuple, substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+            assert got == brute(rows, 13) and [g[2] for g in got] == [0, 0, 13]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestore.llm import suffix_dedup as suffix_dedup_module
@@ -90,3 +91,27 @@ def test_long_text_is_cut_into_slices_that_overlap(spark, monkeypatch):
     for row in found:
         grams = {data[i : i + 20] for i in range(row["low"], row["high"] + 21)}
         assert data[row["seed"] : row["seed"] + 20] in grams
+
+
+def test_hashes_are_believed_only_if_the_bytes_agree():
+    data = [b"a", b"b", b"a", b"c", b"b", b"d", b"d"]
+    new = np.array([True, False, False, False, False, True, False])
+    order, first = suffix_dedup_module.told_apart(new, lambda i: data[i])
+    classes = np.cumsum(first)
+    assert sorted(order.tolist()) == list(range(7))
+    assert {(a, b) for a in range(7) for b in range(7) if classes[a] == classes[b]} == {(a, b) for a in range(7) for b in range(7) if data[order[a]] == data[order[b]]}
+
+
+def test_contexts_of_a_block_with_equal_hashes(monkeypatch):
+    monkeypatch.setattr(suffix_dedup_module.Slices, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+    r = random.Random(6)
+    core = "".join(r.choice("abcdefgh") for _ in range(30))
+    texts = [core + "xy", core + "xz", core + "xy", core + "xw", core + "xz"]
+    rows = []
+    for k, t in enumerate(texts):
+        b = np.frombuffer(t.encode(), np.uint8)
+        rows.append({"block": 0, "doc_id": k, "text": t, "runs": runs_of(b, np.array([0, len(b)]), 24, 12).tobytes()})
+    block = suffix_dedup_module.Block(pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("runs", pa.binary())])), 24)
+    content = [bytes(block.texts.bytes[a : b + 24]) for a, b in zip(block.low.tolist(), block.high.tolist())]
+    pairs = zip(block.number.tolist(), content)
+    assert len({c for _, c in zip(block.number.tolist(), content)}) == len(set(pairs)) == block.n
