@@ -27,20 +27,51 @@ import xxhash
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, minimizer, read_documents
+from lodestore.llm.common import LAST, Texts, U, among, bucket_of, buckets, doubled, give_back, in_blocks, minimizer, mix, read_documents
 
 WINDOW = 13
 #: The first level has windows of this many words at most.
 START = 4
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SENT = "block int, bucket int, data binary"
 BACK = "block int, data binary"
 SENT_PA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 BACK_PA = pa.schema([("block", pa.int32()), ("data", pa.binary())])
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A hash of every word, by its bytes."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+def words_of(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the documents with one space behind each, where each begins in that line, and for each document the words before it.
+
+    Both arrays have one more entry at the end.
+    """
+    # a separator behind every document keeps words of neighbours apart
+    n_docs = len(bounds) - 1
+    out = np.full(len(buf) + n_docs, 0x20, np.uint8)
+    out[np.arange(len(buf)) + np.repeat(np.arange(n_docs), np.diff(bounds))] = buf
+    sep = SEPARATOR[out]
+    edge = np.diff(np.concatenate(([1], sep.view(np.int8))))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out[end] = 0x20
+    sep[end] = False
+    return out[~sep], np.concatenate(([0], np.cumsum(end - start + 1))), np.searchsorted(start, bounds + np.arange(n_docs + 1))
+
+
+def word_hashes(line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of every word: its length and its bytes, eight at a time, each mixed with those before."""
+    start, size = place[:-1], np.diff(place) - 1
+    padded = np.concatenate((line, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(line) + 1, "<u8", padded, strides=(1,))
+    h, on, at = mix(size.astype(U) + U(0x632BE59BD9B4E019)), np.arange(len(size)), 0
+    while len(on):
+        left = size[on] - at
+        lane = eight[start[on] + at]
+        short = left < 8
+        lane[short] &= (U(1) << (left[short].astype(U) * U(8))) - U(1)
+        h[on] = mix(h[on] * U(0x9E3779B97F4A7C15) + lane)
+        at += 8
+        on = on[left > 8]
+    return h
 
 
 def ladder(n: int) -> list[int]:
@@ -55,14 +86,10 @@ class Windows:
     """The full windows of a run of documents that are still candidates, and the hashes of one level's windows."""
 
     def __init__(self, texts: Texts, i: int, j: int, n: int):
-        split = [texts.bytes[texts.bounds[k] : texts.bounds[k + 1]].tobytes().split() for k in range(i, j)]
-        #: For each document the number of words before it, and one more at the end.
-        self.words = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
-        words = [w for ws in split for w in ws]
-        self.grams, self.n, self.level = word_hashes(words), n, 1
-        #: All words with one space behind each, and where each begins.
-        self.line = b" ".join(words)
-        self.place = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+        bounds = texts.bounds[i : j + 1]
+        #: All words with one space behind each, where each begins, and for each document the number of words before it.
+        line, self.place, self.words = words_of(texts.bytes[bounds[0] : bounds[-1]], bounds - bounds[0])
+        self.line, self.grams, self.n, self.level = line.tobytes(), word_hashes(line, self.place), n, 1
         doc = np.repeat(np.arange(j - i), np.diff(self.words))
         # places within a run of documents fit 32 bits
         self.start = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]).astype(np.int32) if len(doc) >= n else np.zeros(0, np.int32)
