@@ -41,6 +41,8 @@ FEW = math.ceil(PERCENT / (100 - PERCENT))
 BLOCK = 1024
 #: Keys of more members in several components are worth another round of checks against single members.
 MANY, ROUNDS = 64, 4
+#: Up to so many pairs are broadcast to the sets; more are joined by a shuffle.
+FEW_PAIRS = 100_000
 #: Pairs with one smaller set that meet in a task.
 SALT = 128
 
@@ -179,50 +181,55 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["mark"]).select("id", "text").mapInArrow(f, "id long, shingles array<long>")
 
 
+def _with_sets(rows: DataFrame, n: int, bodies: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with the set of the id in `key`.  Up to FEW_PAIRS rows go to the sets, so that sets that no row asks for stay where they are."""
+    sets = bodies.select(F.col("id").alias(key), F.col("shingles").alias(name))
+    return sets.join(F.broadcast(rows), key) if n <= FEW_PAIRS else rows.join(sets, key)
+
+
 def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The rows of pairs(u, v) whose sets are similar; a frequent v is dealt to several tasks, with a copy of its set."""
     pairs = pairs.checkpoint()
+    n = pairs.count()
     counts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.floor(F.col("n") / SALT) + 1)
-    left = joined_evenly(pairs, counts, "v", pairs.count()).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).drop("parts")
-    left = left.join(bodies.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
-    right = counts.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(bodies.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    left = joined_evenly(pairs, counts, "v", n).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).drop("parts")
+    left = _with_sets(left, n, bodies, "u", "a")
+    copies = counts.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = _with_sets(copies, n, bodies, "v", "b")
     both = F.size(F.array_intersect("a", "b"))
     return left.join(right, ["v", "part"]).where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with the component of their id."""
-    found = components(links).withColumnRenamed("root", "label")
-    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def _open(entries: DataFrame) -> DataFrame:
-    """The rows of the keys that have members in several components, with the number of members."""
-    keys = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key", "n", F.col("n").alias("members"))
-    return joined_evenly(entries, keys, "key", entries.count())
+def _open(entries: DataFrame, n: int, links: DataFrame) -> DataFrame:
+    """key, id, label, members: the rows of the keys that have members in several components; n: about how many rows there are."""
+    found = components(links).select(F.col("node").alias("id"), "root")
+    rows = entries.join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key", "n", F.col("n").alias("members"))
+    return joined_evenly(rows, keys, "key", n)
 
 
-def _met(entries: DataFrame, round: int) -> DataFrame:
+def _met(entries: DataFrame, n: int, round: int) -> DataFrame:
     """u, v: every member with a member, picked by hash, of each other component that the key's chosen one is in."""
     chosen = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(round)), "id", "label")).alias("c"), F.count("*").alias("n")).select("key", "n", F.col("c.id").alias("v"), F.col("c.label").alias("other"))
-    rows = joined_evenly(entries.drop("members"), chosen, "key", entries.count()).where("label <> other")
+    rows = joined_evenly(entries.drop("members"), chosen, "key", n).where("label <> other")
     return rows.groupBy(F.col("id").alias("u"), "other").agg(F.min("v").alias("v")).select("u", "v")
 
 
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """u, v: links between distinct(id, mark, n_shingles, sig), enough of them to connect what is connected."""
-    spark = distinct.sparkSession
     many = distinct.where("sig is not null")
     entries = many.select("id", "sig").mapInArrow(_keys, "key long, id long")
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").checkpoint()
     entries = joined_evenly(entries, hubs, "key", VALUES * many.count()).checkpoint()
     bodies = _bodies(docs, many.join(entries.select("id").distinct(), "id").select("mark", "id")).checkpoint()
     found = confirmed(entries.where("id > hub").groupBy(F.col("id").alias("u")).agg(F.min("hub").alias("v")), bodies).checkpoint()
+    n = entries.count()
     for k in range(ROUNDS):
-        entries = _open(_labelled(entries.select("key", "id"), found).checkpoint()).checkpoint()
-        if k == ROUNDS - 1 or (entries.agg(F.max("members")).first()[0] or 0) <= MANY:
+        entries = _open(entries.select("key", "id"), n, found).checkpoint()
+        n, most = entries.agg(F.count("*"), F.max("members")).first()
+        if k == ROUNDS - 1 or (most or 0) <= MANY:
             break
-        found = found.unionByName(confirmed(_met(entries, k), bodies)).checkpoint()
+        found = found.unionByName(confirmed(_met(entries, n, k), bodies)).checkpoint()
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     whole = entries.where(F.col("members") <= BLOCK).select("key", "id", "label", F.lit(0).alias("part"), F.lit(2).alias("side"))
