@@ -135,13 +135,12 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each time a document is taken, in training order."""
-    return mixed(plan(read_documents(spark, sf_dir), keep=("doc_id", "source"))).select("doc_id", "source", "size", "epoch", "position")
+    return mixed(plan(read_documents(spark, sf_dir), keep=("doc_id", "source"))).select("doc_id", "source", "size", "epoch", F.round("position", 9).alias("position"))
 
 
 QUERIES = {"op9_curriculum_mix": op9_curriculum_mix, "op9_curriculum_positions": op9_curriculum_positions}
 
-ORACLE = {
-    "op9_curriculum_mix": """
+_COPIES = """
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size, md5(doc_id::varchar) m from documents),
 s as (select source, sum(size)::bigint source_size, (row_number() over (order by source is null, source) - 1) % 3 + 1 k from d group by source),
 c as (select *, [1.0::double, 2.0::double, 3.0::double][k] weight, [-0.5::double, 0.0::double, 0.5::double][k] lean, 3.0::double * source_size cap from s),
@@ -152,10 +151,17 @@ g as (select source, source_size, lean, least(cap, coalesce((select lv from v) *
 t as (select *, lean - coalesce((select sum(target * lean) / nullif(sum(target), 0) from g), 0) slope from g),
 p as (select d.*, coalesce(sum(size) over (partition by source order by m, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint place from d),
 e as (select p.*, source_size, target, slope, case when source_size > 0 then floor(target / source_size) else 0 end::bigint epochs from p join t on p.source is not distinct from t.source),
-n as (select *, (epochs + (epochs < 3 and place + size / 2.0 < target - epochs * source_size)::int)::int copies from e),
+n as (select *, (epochs + (epochs < 3 and place + size / 2.0 < target - epochs * source_size)::int)::int copies from e)"""
+
+ORACLE = {
+    "op9_curriculum_mix": f"""{_COPIES},
 a as (select *, case when target > 0 then least(place / target, 1) else 0 end c, case when target > 0 then least(((copies - 1) * source_size + place) / target, 1) else 0 end z from n)
 select doc_id, size, source_size, target, copies * size taken, copies, place,
   case when copies > 0 then round(case when c > 0 then 2 * c / (1 - slope + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * c, 0))) else 0 end, 9) end first_position,
   case when copies > 0 then round(case when z > 0 then 2 * z / (1 - slope + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * z, 0))) else 0 end, 9) end last_position from a
-"""
+""",
+    "op9_curriculum_positions": f"""{_COPIES},
+a as (select *, case when target > 0 then least((epoch * source_size + place) / target, 1) else 0 end c from n, unnest(range(copies)) t(epoch))
+select doc_id, source, size, epoch::int epoch, round(least(greatest(case when c > 0 then 2 * c / (1 - slope + sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * c, 0))) else 0 end, 0), 1), 9)::double "position" from a
+""",
 }

@@ -25,6 +25,8 @@ END_ID = 2
 #: Lengths that a pattern of three takes its middle one from; patterns in all are about as many times the lengths.
 MIDDLES = 24
 STEPS = 400
+#: Windows of an order that are planned one after another.
+WINDOWS = 16
 #: Rows of a file that are ranked within a length in one group.
 ROWS = 1 << 16
 
@@ -149,8 +151,25 @@ class Plan:
 
 def plan(counts: np.ndarray, sequence: int = SEQUENCE) -> Plan:
     """Patterns for counts[length] pieces of each length up to `sequence`."""
-    counts = counts.astype(np.int64).copy()
+    return plan_in_order(counts[None], sequence)
+
+
+def plan_in_order(windows: np.ndarray, sequence: int = SEQUENCE) -> Plan:
+    """Patterns for windows[w, length] pieces of the windows of an order, window after window.
+
+    A window uses what it has in well filled patterns and leaves the rest to the next, the last one uses all.  So the
+    pieces of a length, taken in order, are never served before they come.
+    """
     rows, repeats = [], []
+    left = np.zeros(windows.shape[1], np.int64)
+    for w, counts in enumerate(windows):
+        left = _planned(left + counts.astype(np.int64), sequence, rows, repeats, w == len(windows) - 1)
+    width = max((len(r) for r in rows), default=1)
+    return Plan(np.array([r + [0] * (width - len(r)) for r in rows], np.int64).reshape(-1, width), np.array(repeats, np.int64))
+
+
+def _planned(counts: np.ndarray, sequence: int, rows: list, repeats: list, last: bool) -> np.ndarray:
+    """Adds patterns for these counts, all of them if this is the last window; what is left of the counts."""
 
     def use(lengths: list[int], n: int) -> None:
         rows.append(lengths)
@@ -170,33 +189,40 @@ def plan(counts: np.ndarray, sequence: int = SEQUENCE) -> Plan:
             n = min(int(x[k]), room)
             if n > 0 and sum(lengths) >= sequence - sequence // 64:
                 use(lengths, n)
-    # what is left: best fit decreasing, many equal sequences at a time
-    while (have := np.flatnonzero(counts)).size:
-        lengths, left, n = [], sequence, 0
-        spare = counts.copy()
-        while (fits := have[have <= left]).size and (fits := fits[spare[fits] > 0]).size:
-            v = int(fits[-1])
+    # what is left: best fit decreasing, many equal sequences at a time; before the last window those that are full or nearly
+    waits = np.zeros(len(counts), bool)
+    while (have := np.flatnonzero(counts)).size and not waits[have].all():
+        lengths, left, spare = [], sequence, counts.copy()
+        while (fits := have[(have <= left) & (spare[have] > 0)]).size:
+            v = int(fits[-1] if lengths else fits[~waits[fits]][-1])
             lengths.append(v)
             spare[v] -= 1
             left -= v
-        n = min(int(counts[v]) // lengths.count(v) for v in set(lengths))
-        use(lengths, n)
-    width = max((len(r) for r in rows), default=1)
-    return Plan(np.array([r + [0] * (width - len(r)) for r in rows], np.int64).reshape(-1, width), np.array(repeats, np.int64))
+        if last or left <= sequence // 128:
+            use(lengths, min(int(counts[v]) // lengths.count(v) for v in set(lengths)))
+        else:
+            waits[lengths[0]] = True
+    return counts
 
 
 def pack(rows: DataFrame, sequence: int = SEQUENCE, order: tuple[str, ...] = ()) -> DataFrame:
     """The pieces with sequence_id and offset.  Reruns on equal rows agree; equal rows may swap places.
 
-    With order, the names of a file's number and of a row's number in it, the pieces of a length take its places
-    in that order; without it, in the order of a hash.
+    With order, the names of a file's number and of a row's number in it, sequences are numbered along that order: it
+    is planned in WINDOWS windows of files, and the pieces of a length take its places in order.  Without it, pieces
+    are in the order of a hash, in one window.
     """
     spark = rows.sparkSession
-    histogram = rows.groupBy("length").count().collect()  # a row for each length: at most `sequence`
-    counts = np.zeros(sequence + 1, np.int64)
+    window, n = F.lit(0), 1
+    if order:
+        files = (rows.agg(F.max(order[0])).first()[0] or 0) + 1
+        n = min(WINDOWS, files)
+        window = F.floor(F.col(order[0]) * n / files).cast("int")
+    histogram = rows.groupBy(window.alias("window"), "length").count().collect()  # at most `sequence` rows for each window
+    counts = np.zeros((n, sequence + 1), np.int64)
     for r in histogram:
-        counts[r["length"]] = r["count"]
-    found = plan(counts, sequence).slots()
+        counts[r["window"], r["length"]] = r["count"]
+    found = plan_in_order(counts, sequence).slots()
     places = spark.sparkContext.broadcast(found)  # bounded by the number of patterns
     # ranks within a length: rank within a share of it, plus the sizes of the shares before
     shares = partitions(spark)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import give_back, read_documents
+from lodestore.llm.spelling import sql_crc32
 
 #: Words that one numpy pass looks at; a longer document is a pass by itself.
 PASS = 1 << 18
@@ -242,3 +243,25 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_periodic_runs": op13_periodic_runs}
+
+#: A run of period q, 2^(k-1) < q <= 2^k, is where a string of 2^k words comes again q words later and not before; strings
+#: are named level by level, each from two of the level before.
+ORACLE = {
+    "op13_periodic_runs": f"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w, {sql_crc32("doc_id::varchar")} h from documents),
+a as (select *, len(w) n, h // 10 g, (h // 10) % greatest(len(w), 1) a from d),
+p as (select doc_id, case when h % 10 = 0 and n > 0 then list_concat(w[:a], list_transform(range(n - a), lambda i: w[a + i % (1 + (n - a) // (3 + g % 8)) + 1])) else w end w from a),
+t as (select doc_id, unnest(w) w, unnest(range(len(w))) i from p),
+s as (select 0 k, doc_id, i, md5(w) g from t
+  union all select x.k + 1, x.doc_id, x.i, md5(x.g || y.g) from s x join s y on y.doc_id = x.doc_id and y.i = x.i + (1::bigint << x.k)),
+n as (select k, doc_id, i, lead(i) over (partition by k, doc_id, g order by i) - i q from s),
+o as (select *, i - row_number() over (partition by k, doc_id, q order by i) o from n where q <= (1::bigint << k) and 2 * q > (1::bigint << k)),
+r as (select doc_id, min(i) s, max(i) - min(i) + q + (1::bigint << k) l, q from o group by k, doc_id, q, o having max(i) - min(i) + q + (1::bigint << k) >= greatest(6, 4 * q)),
+b as (select *, row_number() over (partition by doc_id order by l desc, s, q) nr from r),
+f as (select doc_id, count(*) n_runs, max(s) filter (where nr = 1) s, max(l) filter (where nr = 1) l, max(q) filter (where nr = 1) q, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) lines from b group by doc_id),
+gone as (select distinct t.doc_id, t.i from t join r on r.doc_id = t.doc_id and t.i >= r.s + r.q and t.i < r.s + r.l),
+kept as (select t.doc_id, string_agg(t.w, ' ' order by t.i) c from t anti join gone using (doc_id, i) group by t.doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint n_runs, s::bigint as "start", l::bigint length, q::bigint period, (1000 * l // q)::bigint exponent_milli,
+sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(c, '')) collapsed_sha256 from d left join f using (doc_id) left join kept using (doc_id)
+"""
+}

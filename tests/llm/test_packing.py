@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodestore.llm.packing import fitted, pack, pack_documents, patterns, plan
+from lodestore.llm.packing import fitted, pack, pack_documents, patterns, plan, plan_in_order
 from lodestore.llm.tokens import BYTE_BPE, encoder
 
 
@@ -37,6 +37,29 @@ def test_plan_edges():
     assert check(one, 1024) <= 1.01 * 10**9
 
 
+@pytest.mark.parametrize("scale", [1, 20])
+def test_windows_keep_the_order_and_cost_few_sequences(scale):
+    r = np.random.default_rng(scale)
+    lengths = np.minimum(r.gamma(1.3, 330, 1000 * scale).astype(int) + 1, 1024)
+    window = np.arange(len(lengths)) * 16 // len(lengths)
+    counts = np.zeros((16, 1025), np.int64)
+    np.add.at(counts, (window, lengths), 1)
+    p, one = plan_in_order(counts, 1024), plan(counts.sum(axis=0), 1024)
+    used, upto, at = np.zeros(1025, np.int64), counts.cumsum(axis=0), []
+    served = [np.flatnonzero(lengths == v) for v in range(1025)]
+    for row, n in zip(p.rows, p.repeats):
+        for _ in range(int(n)):
+            ranks = []
+            for v in row[row > 0]:
+                ranks.append(served[v][used[v]])
+                used[v] += 1
+            at.append(min(ranks))
+    assert (used == counts.sum(axis=0)).all() and (used <= upto[-1]).all()
+    assert p.repeats.sum() <= 1.01 * one.repeats.sum() + 1
+    order = np.argsort(np.argsort(at))
+    assert np.corrcoef(order, np.arange(len(at)))[0, 1] >= 0.95
+
+
 def test_least_squares_is_non_negative_and_close():
     counts = np.zeros(101, np.float64)
     counts[[30, 70, 50]] = 100, 100, 80
