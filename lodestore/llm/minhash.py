@@ -269,3 +269,19 @@ def op11_minhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_minhash_multi_index": op11_minhash_multi_index}
+
+#: Sets of shingles, pairs that share one, and what can be reached over the links.
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE = {
+    "op11_minhash_multi_index": f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i : i + {SHINGLE - 1}], ' ')) g from w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) t(i) where len(w) > 0),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id u, b.doc_id v, count(*) same from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select u, v from p join n a on a.doc_id = u join n b on b.doc_id = v where 100 * same >= {PERCENT} * (a.n + b.n - same)),
+r as (select doc_id d, doc_id r from w union select l.v, r.r from r join l on l.u = r.d),
+c as (select d doc_id, min(r) component_id from r group by 1)
+select c.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, c.doc_id = component_id kept from c left join n using (doc_id)
+"""
+}
