@@ -50,6 +50,18 @@ def report_pivot(rows: DataFrame, by: list[str], column: str, values: list, valu
     return rows.groupBy(*by).pivot(column, values).agg(F.first(value))
 
 
+def markdown_report(cells: DataFrame, by: list[str], columns: list[str], title: str) -> DataFrame:
+    """ord, line: a report as Markdown, one table row for each row of cells in the order of `by`; empty cells for nulls.
+
+    cells is a report, small by nature: its rows are numbered in one window.
+    """
+    names = [*by, *columns]
+    head = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]
+    text = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]), F.lit(" |"))
+    rows = cells.select((F.row_number().over(Window.orderBy(*by)) + len(head) - 1).alias("ord"), text.alias("line"))
+    return cells.sparkSession.createDataFrame(list(enumerate(head)), "ord int, line string").unionByName(rows)
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows: an equal quota of each stratum by hash order, then the next ones of all strata to fill up."""
     mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))

@@ -233,3 +233,19 @@ def within_budget(results: DataFrame, tokens: str, budget: int, order: list[str]
     rows = results.withColumn("cum", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     total = F.coalesce(F.min(F.when(F.col("cum") > budget, F.col("cum"))).over(Window.partitionBy("query_id")), F.max("cum").over(Window.partitionBy("query_id")))
     return rows.withColumn("total_tokens", total).where(F.col("cum") <= budget)
+
+
+def prepared_context(hits: DataFrame, memories: DataFrame, *columns: str, most: int = 5) -> DataFrame:
+    """query_id, n_found, memories: the first `most` hits of each query as structs of rank, ord, sim and columns of memories(ord, ...), in order.
+
+    n_found counts all hits; a hit whose memory is gone is left out of the structs, and its place stays empty.
+    """
+    first = hits.where(F.col("rank") <= most).join(memories.select("ord", *columns), "ord")
+    context = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "ord", "sim", *columns))).alias("memories"))
+    found = hits.groupBy("query_id").agg(F.count("*").alias("n_found"))
+    return found.join(context, "query_id", "left")
+
+
+def exists(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of `asked`, and whether rows have them."""
+    return asked.select(key).distinct().join(rows.select(key, F.lit(True).alias("there")).distinct(), key, "left").withColumn("there", F.coalesce("there", F.lit(False)))

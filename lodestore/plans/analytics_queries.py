@@ -169,6 +169,12 @@ def report_pivot(spark, sf_dir):
     return out.select("c_mktsegment", "o_orderstatus", *[F.col(str(k)).alias(f"p{k}") for k in range(1, 6)], F.round(F.col("5") - F.col("1"), 4).alias("diff"))
 
 
+def report_markdown(spark, sf_dir):
+    """The pivot as a Markdown report, in whole numbers."""
+    rows = report_pivot(spark, sf_dir).withColumns({f"p{k}": F.round(f"p{k}").cast("long") for k in range(1, 6)})
+    return E.markdown_report(rows, ["c_mktsegment", "o_orderstatus"], [f"p{k}" for k in range(1, 6)], "Revenue")
+
+
 def best_config(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey") % 4)
     cells = s.groupBy("s_nationkey", "k").agg(F.round(F.avg("s_acctbal"), 6).alias("score"))
@@ -301,6 +307,7 @@ QUERIES = {
     "resumed_results": resumed_results,
     "condition_groups": condition_groups,
     "report_pivot": report_pivot,
+    "report_markdown": report_markdown,
     "best_config": best_config,
     "condition_summary": condition_summary,
     "answer_modes": answer_modes,
@@ -373,3 +380,8 @@ select s.n batch, round(avg((y - p) ** 2), 6) mse, any_value(ranking) ranking fr
 {", ".join(f"(('0x' || md5(p_name || ':{k}')[1:8])::bigint % 2001) / 1000.0::double - 1.0::double e{k}" for k in range(4))} from part""",
     "mean_pooling": "with p as (select label, (generate_subscripts(embedding, 1) - 1)::int place, unnest(embedding)::double x from embeddings) select label, place, round(avg(x), 6) mean from p group by 1, 2",
 }
+
+_CELLS = " || ' | ' || ".join(f"coalesce(round(p{k})::bigint::varchar, '')" for k in range(1, 6))
+ORACLE["report_markdown"] = f"""with v as ({ORACLE["report_pivot"]})
+select * from (values (0, '# Revenue'), (1, ''), (2, '| c_mktsegment | o_orderstatus | p1 | p2 | p3 | p4 | p5 |'), (3, '| --- | --- | --- | --- | --- | --- | --- |')) h(ord, line)
+union all select (row_number() over (order by c_mktsegment, o_orderstatus) + 3)::int, '| ' || c_mktsegment || ' | ' || o_orderstatus || ' | ' || {_CELLS} || ' |' from v"""

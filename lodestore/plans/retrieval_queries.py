@@ -162,7 +162,23 @@ def overlap(spark, sf_dir):
     return both.agg(F.round(100 * F.avg((F.col("s0") == F.col("s1")).cast("int")), 4).alias("overlap_pct"), F.count("*").alias("n_queries"))
 
 
+def context(spark, sf_dir):
+    """The five best memories of each query with their labels; those of label 3 are gone."""
+    q, k, a = sides(spark, sf_dir, 1)
+    made = R.prepared_context(R.candidates(q, k, 8), a.where("label <> 3"), "label")
+    text = F.array_join(F.transform("memories", lambda m: F.concat_ws(":", m["rank"], m["ord"], m["label"])), ",")
+    return made.select("query_id", "n_found", F.coalesce(text, F.lit("")).alias("memories"))
+
+
+def asked_ids(spark, sf_dir):
+    """Which of some ids the bank has."""
+    _, k, _ = sides(spark, sf_dir, 1)
+    return R.exists(k.where("ord % 3 > 0"), k.select((F.col("ord") * 2).alias("ord")), "ord")
+
+
 QUERIES = {
+    "prepared_context": context,
+    "existence": asked_ids,
     "hybrid_topk": hybrid_topk,
     "topk_window_5": window_query(5),
     "topk_window_2": window_query(2),
@@ -201,6 +217,8 @@ select {alpha}::double alpha, k, round(sum((n > 0)::int) / greatest(count(*), 1)
 
 
 ORACLE = {
+    "prepared_context": f"{sql_scores(1)}, {sql_rank('s', 't', 8)} select query_id, count(*) n_found, coalesce(string_agg(r || ':' || ord || ':' || label, ',' order by r) filter (where r <= 5 and label <> 3), '') memories from t group by 1",
+    "existence": "select distinct vec_id * 2 ord, vec_id * 2 in (select vec_id from embeddings where vec_id % 3 > 0) there from embeddings",
     "hybrid_topk": _sql(ALPHA, sql_rank("s", "w", K + 10) + ",\n" + sql_rank("w", "t", K, f"sim >= {THRESHOLD}"), "t"),
     "topk_window_5": _window_sql(5),
     "topk_window_2": _window_sql(2),

@@ -116,3 +116,28 @@ def test_wrapping_and_tables(spark):
     assert one(spark, T.key_values(F.create_map(lit("k"), lit(5))))[0] == [["k", "5"]]
     assert one(spark, T.content_id(lit("a"), lit("b")) == T.content_id(lit("a"), lit("b")), F.length(T.content_id(lit("a")))) == (True, 20)
     assert one(spark, V.is_blank(arr(250, 251, 250)), V.is_blank(arr(0, 255)))== (True, False)
+
+
+def test_decisions_need_strict_json(spark):
+    from lodestore.functions import jsonx as J
+
+    said = [
+        ('{"topic": "{x}", "action": "CREATE"}', "CREATE", None),
+        ("{'action': 'CREATE'}", "APPEND", "c1"),
+        ('<think>{"action": "NOOP"}</think> so: {"action": "append", "canvas_id": "c2"} ok', "APPEND", "c2"),
+        ("nothing", "APPEND", "c1"),
+        (None, "APPEND", "c1"),
+    ]
+    df = spark.createDataFrame([(k, s, ["c1", "c2"]) for k, (s, _, _) in enumerate(said)], "k int, s string, c array<string>")
+    got = [tuple(r) for r in df.select("k", J.write_decision(F.col("s"), F.col("c")).alias("d")).select("k", "d.action", "d.canvas_id").orderBy("k").collect()]
+    assert got == [(k, a, c) for k, (_, a, c) in enumerate(said)]
+    read = df.select(J.read_decision(F.lit("{'action': 'DIRECT_ANSWER'}"), F.col("c")).alias("d")).first().d
+    assert (read.action, read.canvas_ids) == ("RETRIEVE", ["c1"])
+
+
+def test_storage_curve_is_flat_between_reviews(spark):
+    from lodestore.operators.forgetting import storage_curve
+
+    shots = spark.createDataFrame([(150, 900), (420, 700), (1001, 5)], "step long, storage_bytes long")
+    got = {r.step: r.storage_bytes for r in storage_curve(shots, 1000, 2050, every=1).collect()}
+    assert got == {s: 1000 if s < 150 else 900 if s < 420 else 700 if s < 1001 else 5 for s in range(2051)}
