@@ -7,11 +7,12 @@ values: those two share such a key.  Sets of similarity 0.85 differ in 15 % of t
 
 Only distinct sets take part.  Similar sets need not be compared all with all, for components are asked for:
 
-1. every member of a key is checked against the key's smallest member, once for each member, and what is linked becomes
-   one component.  While there are keys of many members in several components, members are checked against one member
-   of each other component that they meet;
-2. what then shares a key and is in different components is compared pair by pair: by sizes and signatures first, each
-   pair in the first key it shares alone.  Keys of more than BLOCK members are compared block by block.
+1. every member of a key is checked against the key's smallest member, once for each member, and takes its label if they
+   are linked.  While there are keys of many members with several labels, members are checked against one member of each
+   other label that they meet;
+2. what then shares a key and has different labels is compared pair by pair: by sizes and signatures first, each pair in
+   the first key it shares alone.  Keys of more than BLOCK members are compared block by block;
+3. components are those of all links together.
 
 Every link is confirmed by the shingle sets themselves, in 64-bit hashes of the shingles.
 """
@@ -40,7 +41,7 @@ FEW = math.ceil(PERCENT / (100 - PERCENT))
 #: Members of a key that are compared in one task; larger keys go block by block, without a change of the result.
 BLOCK = 1024
 #: Keys of more members in several components are worth another round of checks against single members.
-MANY, ROUNDS = 64, 4
+MANY, ROUNDS = 64, 3
 #: Up to so many pairs are broadcast to the sets; more are joined by a shuffle.
 FEW_PAIRS = 100_000
 #: Pairs with one smaller set that meet in a task.
@@ -188,7 +189,7 @@ def _with_sets(rows: DataFrame, n: int, bodies: DataFrame, key: str, name: str)
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The rows of pairs(u, v) whose sets are similar; a frequent v is dealt to several tasks, with a copy of its set."""
+    """The rows of pairs(u, v, w) whose sets are similar; a frequent v is dealt to several tasks, with a copy of its set."""
     pairs = pairs.checkpoint()
     n = pairs.count()
     counts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.floor(F.col("n") / SALT) + 1)
@@ -197,22 +198,30 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     copies = counts.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = _with_sets(copies, n, bodies, "v", "b")
     both = F.size(F.array_intersect("a", "b"))
-    return left.join(right, ["v", "part"]).where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return left.join(right, ["v", "part"]).where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("u", "v", "w")
 
 
-def _open(entries: DataFrame, n: int, links: DataFrame) -> DataFrame:
-    """key, id, label, members: the rows of the keys that have members in several components; n: about how many rows there are."""
-    found = components(links).select(F.col("node").alias("id"), "root")
-    rows = entries.join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+def _linked(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """id, label after new(u, v, w), w the label of v: each u takes the least label of its partners and itself.
+
+    Equal labels always mean one component; a component may have several for now, which costs comparisons and no link.
+    """
+    theirs = new.groupBy(F.col("u").alias("id")).agg(F.min("w").alias("_l"))
+    return labels.join(theirs, "id", "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label")).checkpoint()
+
+
+def _open(entries: DataFrame, n: int, labels: DataFrame) -> DataFrame:
+    """key, id, label, members: the rows of the keys whose members have several labels; n: about how many rows there are."""
+    rows = entries.join(labels, "id").select("key", "id", "label")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key", "n", F.col("n").alias("members"))
     return joined_evenly(rows, keys, "key", n)
 
 
 def _met(entries: DataFrame, n: int, round: int) -> DataFrame:
-    """u, v: every member with a member, picked by hash, of each other component that the key's chosen one is in."""
+    """u, v, w: every member with a member, picked by hash, of each other component that the key's chosen one is in."""
     chosen = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(round)), "id", "label")).alias("c"), F.count("*").alias("n")).select("key", "n", F.col("c.id").alias("v"), F.col("c.label").alias("other"))
     rows = joined_evenly(entries.drop("members"), chosen, "key", n).where("label <> other")
-    return rows.groupBy(F.col("id").alias("u"), "other").agg(F.min("v").alias("v")).select("u", "v")
+    return rows.groupBy(F.col("id").alias("u"), "other").agg(F.min("v").alias("v")).select("u", "v", F.col("other").alias("w"))
 
 
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,14 +231,16 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").checkpoint()
     entries = joined_evenly(entries, hubs, "key", VALUES * many.count()).checkpoint()
     bodies = _bodies(docs, many.join(entries.select("id").distinct(), "id").select("mark", "id")).checkpoint()
-    found = confirmed(entries.where("id > hub").groupBy(F.col("id").alias("u")).agg(F.min("hub").alias("v")), bodies).checkpoint()
+    new = confirmed(entries.where("id > hub").groupBy(F.col("id").alias("u")).agg(F.min("hub").alias("v")).withColumn("w", F.col("v")), bodies).checkpoint()
+    labels, found = _linked(bodies.select("id", F.col("id").alias("label")), new), new
     n = entries.count()
     for k in range(ROUNDS):
-        entries = _open(entries.select("key", "id"), n, found).checkpoint()
+        entries = _open(entries.select("key", "id"), n, labels).checkpoint()
         n, most = entries.agg(F.count("*"), F.max("members")).first()
         if k == ROUNDS - 1 or (most or 0) <= MANY:
             break
-        found = found.unionByName(confirmed(_met(entries, n, k), bodies)).checkpoint()
+        new = confirmed(_met(entries, n, k), bodies).checkpoint()
+        labels, found = _linked(labels, new), found.unionByName(new)
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     whole = entries.where(F.col("members") <= BLOCK).select("key", "id", "label", F.lit(0).alias("part"), F.lit(2).alias("side"))
@@ -239,7 +250,8 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     large = large.select("key", "id", "label", part.alias("part"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
     rows = whole.unionByName(large).join(many.select("id", "n_shingles", "sig"), "id")
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "label", "n_shingles", "sig")
-    return found.unionByName(confirmed(dealt.mapInArrow(_compared, "u long, v long"), bodies))
+    last = dealt.mapInArrow(_compared, "u long, v long").withColumn("w", F.col("v"))
+    return found.unionByName(confirmed(last, bodies)).select("u", "v")
 
 
 def minhash_components(docs: DataFrame) -> DataFrame:
