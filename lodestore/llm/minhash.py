@@ -10,7 +10,7 @@ Only distinct sets take part.  Similar sets need not be compared all with all, f
 1. every member of a key is checked against the key's smallest member, once for each member, and takes its label if they
    are linked.  While there are keys of many members with several labels, members are checked against one member of each
    other label that they meet;
-2. what then shares a key and has different labels is compared pair by pair: by sizes and signatures first, each pair in
+2. what then shares a key and is in different components of the links so far is compared pair by pair: by sizes and signatures first, each pair in
    the first key it shares alone.  Keys of more than BLOCK members are compared block by block;
 3. components are those of all links together.
 
@@ -241,6 +241,10 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
             break
         new = confirmed(_met(entries, n, k), bodies).checkpoint()
         labels, found = _linked(labels, new), found.unionByName(new)
+    # pairs are compared one by one across whole components only
+    known = components(found.select("u", "v")).select(F.col("node").alias("id"), "root")
+    labels = bodies.select("id").join(known, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+    entries = _open(entries.select("key", "id"), n, labels).checkpoint()
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     whole = entries.where(F.col("members") <= BLOCK).select("key", "id", "label", F.lit(0).alias("part"), F.lit(2).alias("side"))
