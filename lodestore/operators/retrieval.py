@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import vector as V
 
-#: Bytes of query vectors in a block, and of scores that a task holds at once.
-BLOCK_BYTES = 64 << 20
-TILE_BYTES = 64 << 20
+#: Bytes of vectors in a block of queries or keys, and of scores that a task holds at once (it has some copies of both).
+BLOCK_BYTES = 8 << 20
+TILE_BYTES = 8 << 20
 #: Keys that are scored at a time.
 TILE_KEYS = 4096
 SCALE = 6
@@ -95,7 +95,8 @@ def _dealt(queries: DataFrame, keys: DataFrame, vectors: tuple[str, ...]) -> tup
     """Both sides with the numbers of query and key blocks, each row once for every block of the other side."""
     n = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
     query_blocks = max(1, -(-n[0] // max(1, BLOCK_BYTES // (8 * max(n[1] or 1, 1)))))
-    key_blocks = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key_bytes = len(vectors) * 8 * (n[1] or 1) * keys.count()
+    key_blocks = max(2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-key_bytes // BLOCK_BYTES))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     q = queries.select("query_id", "vec", block("query_id", query_blocks).alias("qb"), every(key_blocks).alias("kb"))
@@ -106,7 +107,7 @@ def _dealt(queries: DataFrame, keys: DataFrame, vectors: tuple[str, ...]) -> tup
 def candidates(queries: DataFrame, keys: DataFrame, window: int, metric: str = "cosine") -> DataFrame:
     """query_id, ord, sim, rank <= window; queries(query_id, vec), keys(ord, vec) as keys_of makes them.
 
-    Query blocks hold BLOCK_BYTES of vectors; key blocks follow spark.sql.shuffle.partitions.
+    Query blocks hold BLOCK_BYTES of vectors; key blocks follow spark.sql.shuffle.partitions and hold no more either.
     """
     q, k = _dealt(queries, keys, ("vec",))
     found = q.groupBy("qb", "kb").cogroup(k.groupBy("qb", "kb")).applyInArrow(_block_best(window, metric), "query_id long, ord long, sim double")

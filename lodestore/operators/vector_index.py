@@ -17,14 +17,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.operators.retrieval import BLOCK_BYTES, _block_best, _matrix, candidates, ranked
+from lodestore.operators.retrieval import BLOCK_BYTES, TILE_BYTES, _block_best, _matrix, candidates, ranked
 
 #: Keys, about, that the centres are fitted on; the only bound of the index: all keys are in it.
 SAMPLE = 50_000
 #: Most lists; a table of the centres goes to every task.
 LISTS = 4096
-#: Keys of a list that are searched in one task.
-PART = 100_000
+#: Keys of a list that are searched in one task, about.
+PART = 16_384
 
 
 def _centre_distances(m: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
@@ -33,6 +33,18 @@ def _centre_distances(m: np.ndarray, centres: np.ndarray, metric: str) -> np.nda
     return -s if metric in ("cosine", "ip") else (centres * centres).sum(axis=1)[None] - 2 * s
 
 
+def _nearest(m: np.ndarray, centres: np.ndarray, metric: str, n: int) -> np.ndarray:
+    """The numbers of the n nearest centres of each vector, in order; TILE_BYTES of distances at a time."""
+    if not centres.shape[1] or not len(m):
+        return np.zeros((len(m), 1), np.int32)
+    out = np.empty((len(m), n), np.int32)
+    step = max(1, TILE_BYTES // (8 * len(centres)))
+    for i in range(0, len(m), step):
+        d = _centre_distances(m[i : i + step], centres, metric)
+        out[i : i + step] = d.argmin(axis=1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    return out
+
+
 class VectorIndex:
     """Keys (ord, vec) under a folder that all executors share; metric is cosine (unit vectors), ip or l2.
 
@@ -70,9 +82,8 @@ class VectorIndex:
 
         def f(batches):
             for b in batches:
-                m = _matrix(b.column("vec"))
-                near = _centre_distances(m, centres, metric).argmin(axis=1) if centres.shape[1] and len(m) else np.zeros(b.num_rows, np.int64)
-                yield pa.record_batch([b.column("ord"), b.column("vec"), pa.array(near, pa.int32())], names=["ord", "vec", "list"])
+                near = _nearest(_matrix(b.column("vec")), centres, metric, 1)[:, 0]
+                yield pa.record_batch([b.column("ord"), b.column("vec"), pa.array(near)], names=["ord", "vec", "list"])
 
         rows = keys.select(F.col("ord").cast("long").alias("ord"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).mapInArrow(f, "ord long, vec array<double>, list int")
         sizes = rows.groupBy("list").agg((F.floor(F.count("*") / PART) + 1).cast("int").alias("parts"))
@@ -124,8 +135,7 @@ class VectorIndex:
 
         def f(batches):
             for b in batches:
-                m = _matrix(b.column("vec"))
-                lists = np.argsort(_centre_distances(m, centres, metric), axis=1, kind="stable")[:, :probes] if centres.shape[1] and len(m) else np.zeros((b.num_rows, 1), np.int64)
+                lists = _nearest(_matrix(b.column("vec")), centres, metric, probes)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * lists.shape[1], pa.int32()), pa.array(lists.ravel(), pa.int32()))
                 yield pa.record_batch([b.column("query_id"), b.column("vec"), flat], names=["query_id", "vec", "lists"])
 
