@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import normalize_answer, normalize_answer_drop
+from lodestore.functions.vector import let
 
 
 def exact_match(p: Column, g: Column, norm=normalize_answer) -> Column:
@@ -37,14 +38,30 @@ def token_f1(p: Column, g: Column, norm=normalize_answer) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(2.0 * (n / F.size(a)) * (n / F.size(b)) / (n / F.size(a) + n / F.size(b)))
 
 
+def any_equal(form: Column, forms: Column) -> Column:
+    return F.coalesce(F.exists(forms, lambda a: a == form), F.lit(False)).cast("double")
+
+
+def share_equal(form: Column, forms: Column) -> Column:
+    """A third for each equal form, 1 at most."""
+    return F.least(F.lit(1.0), F.size(F.filter(forms, lambda a: a == form)) / 3.0)
+
+
 def vqa_any(p: Column, answers: Column) -> Column:
-    return F.exists(answers, lambda a: normalize_answer(a) == normalize_answer(p)).cast("double")
+    return let(normalize_answer(p), lambda form: any_equal(form, F.transform(answers, normalize_answer)))
+
+
+def soft_form(a: Column) -> Column:
+    return F.trim(F.lower(a))
+
+
+def soft_prediction(p: Column) -> Column:
+    return F.regexp_replace(soft_form(p), r"\.+$", "")
 
 
 def vqa_soft(p: Column, answers: Column) -> Column:
     """A third for each equal answer, 1 at most; only the prediction loses its final dots."""
-    mine = F.regexp_replace(F.trim(F.lower(p)), r"\.+$", "")
-    return F.least(F.lit(1.0), F.size(F.filter(answers, lambda a: F.trim(F.lower(a)) == mine)) / 3.0)
+    return let(soft_prediction(p), lambda form: share_equal(form, F.transform(answers, soft_form)))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

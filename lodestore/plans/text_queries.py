@@ -10,6 +10,7 @@ from lodestore.functions import metrics as M
 from lodestore.functions import prompt as P
 from lodestore.functions import text as T
 from lodestore.plans.common import table
+from lodestore.session import shared_folder
 
 
 def turns(spark, sf_dir):
@@ -71,11 +72,26 @@ def anls(spark, sf_dir):
 
 
 def vqa(spark, sf_dir):
-    """The text of each document against those of the two documents after it and two spellings of its own."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w"))
-    pairs = d.alias("a").join(d.alias("b"), F.expr("b.doc_id = a.doc_id + 1"), "left").join(d.alias("c"), F.expr("c.doc_id = a.doc_id + 2"), "left")
-    rows = pairs.select("a.doc_id", F.col("a.w").alias("p"), F.array_compact(F.array("b.w", "c.w", F.concat("a.w", F.lit(".")), F.concat(F.lit(" "), "a.w"))).alias("answers"))
-    return rows.select("doc_id", M.vqa_soft(F.col("p"), F.col("answers")).alias("soft"), M.vqa_any(F.col("p"), F.col("answers")).alias("any"))
+    """The text of each document against those of the two documents after it and two spellings of its own.
+
+    Texts are brought to the forms that count once each, and documents meet by digests of these.
+    """
+    shared_folder(spark)
+    w, mark = F.col("text"), lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    own = [F.concat(w, F.lit(".")), F.concat(F.lit(" "), w)]
+    marks = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        mark(M.soft_prediction(w)).alias("p"),
+        mark(M.soft_form(w)).alias("soft"),
+        mark(T.normalize_answer(w)).alias("any"),
+        *[mark(M.soft_form(c)).alias(f"soft{k}") for k, c in enumerate(own)],
+        *[mark(T.normalize_answer(c)).alias(f"any{k}") for k, c in enumerate(own)],
+    )
+    marks = marks.checkpoint()
+    after = lambda k: marks.select((F.col("doc_id") - k).alias("doc_id"), F.col("soft").alias(f"next{k}"), F.col("any").alias(f"near{k}"))
+    rows = marks.join(after(1), "doc_id", "left").join(after(2), "doc_id", "left")
+    forms = lambda *names: F.array_compact(F.array(*names))
+    return rows.select("doc_id", M.share_equal(F.col("p"), forms("next1", "next2", "soft0", "soft1")).alias("soft"), M.any_equal(F.col("any"), forms("near1", "near2", "any0", "any1")).alias("any"))
 
 
 def answer_letters(spark, sf_dir):

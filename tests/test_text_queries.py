@@ -2,6 +2,7 @@
 
 import duckdb
 from lodestore.plans import analytics_queries as A
+from lodestore.plans import text_queries as T
 
 
 def plan(df):
@@ -18,6 +19,12 @@ def same(spark, tmp_path, query, sql, **tables):
     return out
 
 
+def test_vqa_of_null_texts_and_texts_stay_out_of_joins(spark, tmp_path):
+    texts = ["The cat.", "a cat", "cat", None, "dog!  an\tapple..", "DOG apple", "", "...", "Ünï the"]
+    out = same(spark, tmp_path, T.vqa, T.ORACLE["vqa_accuracy"], documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert "regexp_replace" not in plan(out)
+
+
 def test_lookups_group_orders_once(spark, tmp_path):
     items = [(o, p % 5, p % 3, n) for o in range(4) for n, p in enumerate(range(o, o + 6), 1)] + [(0, 1, 1, 2), (0, 0, 1, 2), (9, 77, 1, 2)]
     out = same(
