@@ -69,10 +69,22 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, F.lit(1.0)).otherwise(1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
 
 
+def similarities(p: Column, answers: Column) -> Column:
+    """The similarity to each answer; answers of one form are measured once."""
+    def of(forms: Column) -> Column:
+        kinds = F.array_distinct(forms)
+        return let(F.transform(kinds, lambda a: levenshtein_similarity(p, a)), lambda s: F.transform(forms, lambda a: F.get(s, (F.array_position(kinds, a) - 1).cast("int"))))
+
+    return let(F.transform(answers, soft_form), of)
+
+
+def anls_of(similarities: Column, least: float = 0.5) -> Column:
+    return let(F.array_max(similarities), lambda best: F.when(best >= least, best).otherwise(F.lit(0.0)))
+
+
 def anls(p: Column, answers: Column, least: float = 0.5) -> Column:
     """The best similarity to an answer, 0 below `least` or without answers."""
-    best = F.array_max(F.transform(answers, lambda a: levenshtein_similarity(p, a)))
-    return F.when(best >= least, best).otherwise(F.lit(0.0))
+    return anls_of(similarities(p, answers), least)
 
 
 def list_scores(rows: DataFrame, key: str, pred: str, gold: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Scores and lookups whose work follows the input, against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
+
 from lodestore.plans import analytics_queries as A
 from lodestore.plans import text_queries as T
 
@@ -25,6 +27,12 @@ def test_vqa_of_null_texts_and_texts_stay_out_of_joins(spark, tmp_path):
     assert "regexp_replace" not in plan(out)
 
 
+def test_anls_is_dealt_by_shuffle_partitions(spark, tmp_path):
+    rows = [(k, t, r, x) for k in range(6) for t, (r, x) in enumerate([("user", "Kitten é" * k), ("assistant", " sitting" * (k + 1)), ("user", ""), ("assistant", "abba")])]
+    out = same(spark, tmp_path, T.anls, T.ORACLE["anls"], conversations=(rows, "conv_id long, turn long, role string, text string"))
+    assert "RepartitionByExpression" in plan(out) and out.select(F.col("anls") >= 0).distinct().count() == 1
+
+
 def test_lookups_group_orders_once(spark, tmp_path):
     items = [(o, p % 5, p % 3, n) for o in range(4) for n, p in enumerate(range(o, o + 6), 1)] + [(0, 1, 1, 2), (0, 0, 1, 2), (9, 77, 1, 2)]
     out = same(
