@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.operators.delta import DeltaBank
+from lodestore.session import small_batches
+
+
+#: Contents that go to Python at a time, or a batch of the encoder if that is more.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -72,7 +77,9 @@ class EncodingCache:
                             raise ValueError(f"{encoder.name} gave {len(v)} numbers, not {encoder.dims}")
                     yield pa.record_batch([part.column("hash"), pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))], names=["hash", "vec"])
 
-        table.upsert(wanted.join(known, "hash", "left_anti").mapInArrow(f, "hash string, vec array<float>"))
+        # contents are whole texts: a task holds a few of them at a time
+        with small_batches(self.spark, max(encoder.batch, ROWS)):
+            table.upsert(wanted.join(known, "hash", "left_anti").mapInArrow(f, "hash string, vec array<float>"))
         both = table.read().count()
         if drop:
             table.delete(known.join(wanted.select("hash"), "hash", "left_anti"))
