@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lodestore.session import shared_folder
+from lodestore.session import shared_folder, small_batches
 
 # Layers of the network, weights of the two losses and the margin of the second.
 LAYERS = (783, 256, 64, 1)
 TEXT_DIMS = 768
 MSE_WEIGHT, RANKING_WEIGHT, MARGIN = 0.5, 0.5, 0.05
+#: Groups, and rows of scores, that the network sees at once: what a task holds does not follow its input.
+STEP = 256
 
 
 @pandas_udf(ArrayType(DoubleType()))
@@ -101,13 +103,11 @@ def _sums(data: DataFrame, flat: np.ndarray, layers: tuple[int, ...]) -> tuple[f
 
     def of_partition(batches):
         total = [0.0, 0.0, 0, 0, np.zeros((2, len(flat)))]
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             y = b.column("y").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = b.column("x").flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(y), -1)
             sizes = pc.list_value_length(b.column("y")).to_numpy()
-            # the rows of a batch at once; pairs are made inside groups
+            # the rows of a slice at once; pairs are made inside groups
             a, h, n, g1, g2 = loss_and_gradient(flat, x, y, layers, np.concatenate(([0], np.cumsum(sizes))))
             total[0] += a
             total[1] += h
@@ -144,6 +144,10 @@ class Scorer:
         The loss is half the mean squared error and half the mean margin loss over the pairs of a group with unequal
         labels.  Steps are by Adam over all rows; losses has the loss before each step and at the end.
         """
+        with small_batches(groups.sparkSession, STEP):
+            return self._fit(groups, steps, rate)
+
+    def _fit(self, groups: DataFrame, steps: int, rate: float) -> Scorer:
         shared_folder(groups.sparkSession)
         data = groups.select("x", "y").where(F.size("y") > 0).checkpoint()
         self.weights = initial(self.layers, self.seed)
@@ -164,8 +168,10 @@ class Scorer:
         flat, layers = self.weights, self.layers
 
         def f(batches):
-            for b in batches:
-                m = b.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, layers[0]))
-                yield pa.record_batch([*b.columns, pa.array(forward(flat, m, layers)[-1][:, 0])], names=[*b.schema.names, "score"])
+            for whole in batches:
+                for i in range(0, whole.num_rows, STEP):
+                    b = whole.slice(i, STEP)
+                    m = b.column(x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    yield pa.record_batch([*b.columns, pa.array(forward(flat, m, layers)[-1][:, 0])], names=[*b.schema.names, "score"])
 
         return rows.mapInArrow(f, rows.withColumn("score", F.lit(0.0)).schema)

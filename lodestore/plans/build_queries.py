@@ -10,10 +10,10 @@ from lodestore.operators import layout as L
 from lodestore.operators import paging as P
 from lodestore.operators.builds import Build
 from lodestore.operators.encodings import EncodingCache, Encoder
-from lodestore.operators.scorer import Scorer, hashed_text
+from lodestore.operators.scorer import STEP, Scorer, hashed_text
 from lodestore.plans.common import table
 from lodestore.plans.layout_queries import blocks
-from lodestore.session import run_folder
+from lodestore.session import run_folder, small_batches
 
 
 def _numbers(contents: list[str]) -> list[list[float]]:
@@ -114,7 +114,9 @@ def layout_scorer(spark, sf_dir):
     x = F.transform("ls", lambda l: F.concat("t", L.features(l)))
     groups = rows.select("doc_id", x.alias("x"), F.transform("ls", L.quality_score).alias("y"))
     scorer = Scorer().fit(groups.select("x", "y"), steps=3)
-    scored = scorer.scores(groups.select("doc_id", F.explode("x").alias("x")))
+    # inputs are large: they are made and scored a few at a time, and only scores are kept
+    with small_batches(spark, STEP):
+        scored = scorer.scores(groups.select("doc_id", F.explode("x").alias("x"))).select("doc_id", "score").checkpoint()
     fell = scorer.losses[-1] < scorer.losses[0]
     return scored.groupBy("doc_id").agg(F.count("*").alias("n_layouts"), F.min(F.col("score").between(0, 1)).alias("in_range")).withColumn("loss_fell", F.lit(fell))
 
