@@ -92,12 +92,16 @@ def position(place: Column, target: Column, slope: Column) -> Column:
 
 
 def mixed(planned: DataFrame) -> DataFrame:
-    """One row for each time a row of plan() is taken, with epoch and position, range-sorted by position."""
+    """One row for each time a row of plan() is taken, with epoch and position, range-sorted by position.
+
+    Rows are sorted by the whole position and show nine digits of it, as far as engines agree.
+    """
     rows = planned.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = F.col("epoch") * F.col("source_size") + F.col("place")
     rows = rows.withColumn("position", position(at, F.col("target"), F.col("slope")))
     n = partitions(planned.sparkSession)
-    return rows.repartitionByRange(n, "position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch")
+    rows = rows.repartitionByRange(n, "position", "doc_id", "epoch").sortWithinPartitions("position", "doc_id", "epoch")
+    return rows.withColumn("position", F.round("position", 9))
 
 
 def mix(docs: DataFrame, repeat: int = REPEAT, weights: tuple = WEIGHTS) -> DataFrame:
@@ -120,8 +124,8 @@ def documents_of_mix(docs: DataFrame) -> DataFrame:
     found = mixed(planned).groupBy(*KEY).agg(
         F.count_if(F.col("epoch") == 0).alias("rows"),
         F.sum("size").alias("sum"),
-        F.round(F.min("position"), 9).alias("first_position"),
-        F.round(F.max("position"), 9).alias("last_position"),
+        F.min("position").alias("first_position"),
+        F.max("position").alias("last_position"),
     )
     found = found.withColumn("taken", F.expr("sum div rows")).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     never = F.lit(None).cast("double")
@@ -135,7 +139,7 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_curriculum_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each time a document is taken, in training order."""
-    return mixed(plan(read_documents(spark, sf_dir), keep=("doc_id", "source"))).select("doc_id", "source", "size", "epoch", F.round("position", 9).alias("position"))
+    return mixed(plan(read_documents(spark, sf_dir), keep=("doc_id", "source"))).select("doc_id", "source", "size", "epoch", "position")
 
 
 QUERIES = {"op9_curriculum_mix": op9_curriculum_mix, "op9_curriculum_positions": op9_curriculum_positions}
