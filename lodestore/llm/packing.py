@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestore.llm.common import give_back, partitions, read_documents
-from lodestore.llm.tokens import BYTE_BPE, encoder
+from lodestore.llm.tokens import BYTE_BPE, KEPT_PIECES, encoder
 from lodestore.session import shared_folder
 
 SEQUENCE = 1024
@@ -33,15 +33,15 @@ ROWS = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
-def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, with_ids, ids: documents cut into pieces; order: long columns to keep.
+def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, folder: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE, with_ids: bool = False, order: tuple[str, ...] = (), kept: int = KEPT_PIECES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, with_ids, ids: documents cut into pieces; order: long columns to keep; kept: words whose ids a task remembers.
 
     A document of up to `sequence` ids, its end id among them, is one piece; of a longer one the first piece
     is the shorter one.  A null text is empty and still has its end id.
     """
 
     def f(batches):
-        e = encoder(vocabulary, folder)
+        e = encoder(vocabulary, folder, kept)
         end = np.uint32(end_id).tobytes()
         for b in batches:
             doc, piece, start, length, crc, ids, row = [], [], [], [], [], [], []
@@ -261,7 +261,8 @@ def pack_documents(docs: DataFrame, sequence: int = SEQUENCE, order: tuple[str,
 
 
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_documents(spark, sf_dir))
+    # workers hold nothing else here, unlike those of the pipeline
+    return pack_documents(read_documents(spark, sf_dir), kept=2 * KEPT_PIECES)
 
 
 QUERIES = {"op7_pattern_packing": op7_pattern_packing}

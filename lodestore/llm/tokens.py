@@ -42,6 +42,7 @@ def _spelling() -> dict[int, str]:
 
 
 _SPELLING = _spelling()
+_BLANK = _SPELLING[0x20]
 
 
 class Kept:
@@ -67,7 +68,7 @@ class Kept:
 class Encoder:
     """ids as little-endian unsigned 32-bit bytes; one per task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,9 +79,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words = "word" in os.path.basename(path)
         #: Of blank-free runs and of the parts they are cut into; a part by itself has the same ids.
-        self.pieces = Kept(KEPT_PIECES if self.words else KEPT_PIECES // 4)
+        self.pieces = Kept(kept if self.words else kept // 4)
         #: For byte BPE, of blank-free runs that come after a blank.
-        self.spaced = Kept(KEPT_PIECES * 3 // 4)
+        self.spaced = Kept(kept * 3 // 4)
         if self.words:
             self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
         else:
@@ -92,6 +93,17 @@ class Encoder:
     def _ids(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(_shown(piece))]).tobytes()
 
+    def _spaced_run(self, run: str) -> bytes:
+        """ids of a blank and a blank-free run; its first part is kept by itself too, as a word that ends a sentence also stands within one."""
+        if not run.isalpha():
+            first, *rest = self.cut.findall(" " + run)
+            if rest:
+                ids = self.spaced.new.get(first[1:])
+                return b"".join([self.after_blank(first[1:]) if ids is None else ids, *[self.part(p) for p in rest]])
+        if run.isascii():
+            return array("I", [t.id for t in self.model.tokenize(_BLANK + run)]).tobytes()
+        return self._ids(" " + run)
+
     def part(self, piece: str) -> bytes:
         ids = self.pieces.new.get(piece)
         if ids is None:
@@ -100,7 +112,7 @@ class Encoder:
         return ids
 
     def _run(self, run: str) -> bytes:
-        """ids of a blank-free run, with the blank before it if there is one; letters alone are one part."""
+        """ids of a blank-free run; letters alone are one part."""
         if run.lstrip(" ").isalpha():
             return self._ids(run)
         return b"".join([self.part(p) for p in self.cut.findall(run)])
@@ -111,7 +123,7 @@ class Encoder:
 
     def after_blank(self, run: str) -> bytes:
         ids = self.spaced.old.get(run)
-        return self.spaced.add(run, self._run(" " + run) if ids is None else ids)
+        return self.spaced.add(run, self._spaced_run(run) if ids is None else ids)
 
     def rest(self) -> None:
         """At the end of a task: give the older half of the memory back."""
@@ -138,10 +150,10 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(name: str = WORD_BPE, folder: str | None = None) -> Encoder:
+def encoder(name: str = WORD_BPE, folder: str | None = None, kept: int = KEPT_PIECES) -> Encoder:
     """The encoder of this worker for a vocabulary file of the installed public tokenizers, or of a folder."""
     if folder is None:
         import public_tokenizers
@@ -149,6 +161,6 @@ def encoder(name: str = WORD_BPE, folder: str | None = None) -> Encoder:
         path = public_tokenizers.path(name)
     else:
         path = os.path.join(folder, name)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]

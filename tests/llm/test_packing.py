@@ -95,3 +95,23 @@ def test_query(spark):
         assert at <= 32
     assert len(by) <= 1.05 * sum(x.length for x in got) / 32 + 2
     assert pack_documents(df.limit(0)).collect() == []
+
+
+def test_a_word_goes_to_the_library_once_with_and_without_marks():
+    import public_tokenizers
+
+    from lodestore.llm.tokens import Encoder
+
+    e = Encoder(public_tokenizers.path(BYTE_BPE))
+    model, asked = e.model, []
+
+    class Counted:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    e.model = Counted()
+    texts = ["a Zqxv, Zqxv. Zqxv Zqxv's (Zqxv) 12Zqxv 's ' '' é, é", "a 3rd, 3rd x's, don't. it'll! 'tis"]
+    for t in texts:
+        assert e.encode(t) == e.whole(t)
+    assert asked.count("ĠZqxv") == 1 and asked.count("ĠÃ©") == 1
