@@ -10,6 +10,13 @@ from lodestore.session import shared_folder
 
 #: A key that more than one row in so many has is joined by broadcast; there are at most so many such keys.
 SHARES = 1024
+#: Rows of a small table that one task takes.
+ROWS = 8192
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """rows, about n of them, in no more partitions than they are worth: each writes its own files in every shuffle."""
+    return rows.coalesce(max(1, -(-n // ROWS)))
 
 
 def joined_evenly(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -37,12 +44,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = _state(now)
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        n = state[0]
+        both = few(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * n)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = joined_evenly(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        large = joined_evenly(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = few(few(large, n).distinct(), n).checkpoint()
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = joined_evenly(large, down, "u", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        now = small.checkpoint()
+        small = joined_evenly(large, down, "u", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
+        now = few(few(small, n).distinct(), n).checkpoint()
         before, state = state, _state(now)
         if before == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

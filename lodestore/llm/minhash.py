@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm.common import U, mix, read_documents
-from lodestore.llm.graph import components, joined_evenly
+from lodestore.llm.common import U, among, mix, read_documents
+from lodestore.llm.graph import components, few, joined_evenly
 from lodestore.llm.simhash import LOWER, row_mark
 from lodestore.session import shared_folder
 
@@ -44,6 +44,8 @@ BLOCK = 1024
 MANY, ROUNDS = 64, 3
 #: Up to so many pairs are broadcast to the sets; more are joined by a shuffle.
 FEW_PAIRS = 100_000
+#: Shingles of the sets of both sides, pair by pair, that a block of pairs comes to.
+WORK = 1 << 22
 #: Pairs with one smaller set that meet in a task.
 SALT = 128
 
@@ -134,29 +136,35 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of_group(key: int, id: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray, sig: np.ndarray):
-    """Pairs across components: of the sides 0 and 1, or of those of side 2 among themselves."""
+    """u, v and shingles of both, pairs across components: of the sides 0 and 1, or of those of side 2 among themselves."""
     right = np.flatnonzero(side > 0)
     for x in np.flatnonzero(side != 1).tolist():
         y = right[right > x] if side[x] == 2 else right
         y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
         y = y[(sig[y] != sig[x]).sum(axis=1) <= FAR]
         y = y[first_shared(sig[y], np.broadcast_to(sig[x], (len(y), VALUES))) == key & 63]
-        yield from zip([int(id[x])] * len(y), id[y].tolist(), strict=True)
+        yield np.full(len(y), id[x]), id[y], size[y] + size[x]
 
 
 def _compared(batches):
-    """Pairs of rows (key, part, side, id, label, n_shingles, sig) that come sorted by key and part."""
-    rest = None
+    """Pairs of rows (key, part, side, id, label, n_shingles, sig) that come sorted by key and part, in blocks of about WORK shingles."""
+    rest, block, done = None, None, 0
 
     def pairs(rows: pa.Table, last: bool):
+        nonlocal block, done
         key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+        # tasks differ in their first key; what two of them number alike is one larger block
+        block = (int(key[0]) & ((1 << 42) - 1)) << 20 if block is None else block
         cut = np.append(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))), len(key))
         cut = cut if last else cut[:-1]
         columns = [rows.column(c).to_numpy() for c in ("id", "label", "n_shingles", "side")]
         sig = np.array([np.frombuffer(s, np.uint16) for s in rows.column("sig").to_pylist()], np.uint16)
         found = [p for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in _pairs_of_group(int(key[i]), *[c[i:j] for c in columns], sig[i:j])]
-        u, v = zip(*found, strict=True) if found else ((), ())
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]), rows.slice(int(cut[-1]))
+        u, v, work = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        upto = done + np.cumsum(work)
+        numbers = block + (upto - work) // WORK
+        done = int(upto[-1]) if len(upto) else done
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (numbers, u, v)], names=["block", "u", "v"]), rows.slice(int(cut[-1]))
 
     for b in batches:
         rows = pa.Table.from_batches([b])
@@ -168,6 +176,24 @@ def _compared(batches):
         yield pairs(rest, True)[0]
 
 
+def _similar(pairs: pa.Table, members: pa.Table) -> pa.Table:
+    """The pairs(block, u, v) whose sets, in members(at, id, shingles), are similar."""
+    lists = pa.concat_arrays(members.column("shingles").chunks)
+    values, ends = lists.flatten().to_numpy().view(U), np.cumsum(lists.value_lengths().to_numpy())
+    sets = dict(zip(members.column("id").to_pylist(), np.split(values, ends[:-1]), strict=True))
+    u, v = pairs.column("u").to_numpy(), pairs.column("v").to_numpy()
+    order = np.argsort(u, kind="stable")
+    u, v = u[order], v[order]
+    keep = np.zeros(len(u), bool)
+    cut = np.append(np.flatnonzero(np.diff(u, prepend=u[0] - 1)), len(u))
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        mine, theirs = sets[int(u[i])], [sets[x] for x in v[i:j].tolist()]
+        sizes = np.fromiter(map(len, theirs), np.int64, j - i)
+        both = np.add.reduceat(among(np.concatenate(theirs), mine), np.cumsum(sizes) - sizes, dtype=np.int64)
+        keep[i:j] = 100 * both >= PERCENT * (len(mine) + sizes - both)
+    return pa.table({"u": u[keep], "v": v[keep]})
+
+
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and shingles (sorted hashes) of the wanted(mark, id)."""
 
@@ -192,35 +218,44 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The rows of pairs(u, v, w) whose sets are similar; a frequent v is dealt to several tasks, with a copy of its set."""
     pairs = pairs.checkpoint()
     n = pairs.count()
+    pairs = few(pairs, n)
     counts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("parts", F.floor(F.col("n") / SALT) + 1)
-    left = joined_evenly(pairs, counts, "v", n).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).drop("parts")
+    left = few(joined_evenly(pairs, counts, "v", n), n).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts"))).drop("parts")
     left = _with_sets(left, n, bodies, "u", "a")
-    copies = counts.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    copies = few(counts, n).select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = _with_sets(copies, n, bodies, "v", "b")
     both = F.size(F.array_intersect("a", "b"))
     return left.join(right, ["v", "part"]).where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("u", "v", "w")
 
 
-def _linked(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """id, label after new(u, v, w), w the label of v: each u takes the least label of its partners and itself.
+def confirmed_in_blocks(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The rows u, v of pairs(block, u, v) whose sets are similar; a block gets the set of each of its members once, in however many pairs it is."""
+    pairs = pairs.checkpoint()
+    members = pairs.select("block", F.col("u").alias("id")).unionByName(pairs.select("block", F.col("v").alias("id"))).distinct().checkpoint()
+    sets = _with_sets(members, members.count(), bodies, "id", "shingles").select(F.col("block").alias("at"), "id", "shingles")
+    return pairs.groupBy("block").cogroup(sets.groupBy("at")).applyInArrow(_similar, "u long, v long")
+
+
+def _linked(labels: DataFrame, n: int, new: DataFrame) -> DataFrame:
+    """id, label after new(u, v, w), w the label of v: each u takes the least label of its partners and itself; n: about how many ids.
 
     Equal labels always mean one component; a component may have several for now, which costs comparisons and no link.
     """
-    theirs = new.groupBy(F.col("u").alias("id")).agg(F.min("w").alias("_l"))
-    return labels.join(theirs, "id", "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label")).checkpoint()
+    theirs = few(new, n).groupBy(F.col("u").alias("id")).agg(F.min("w").alias("_l"))
+    return few(labels.join(theirs, "id", "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label")), n).checkpoint()
 
 
 def _open(entries: DataFrame, n: int, labels: DataFrame) -> DataFrame:
     """key, id, label, members: the rows of the keys whose members have several labels; n: about how many rows there are."""
-    rows = entries.join(labels, "id").select("key", "id", "label")
+    rows = few(entries.join(labels, "id").select("key", "id", "label"), n)
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select("key", "n", F.col("n").alias("members"))
-    return joined_evenly(rows, keys, "key", n)
+    return few(joined_evenly(rows, keys, "key", n), n)
 
 
 def _met(entries: DataFrame, n: int, round: int) -> DataFrame:
     """u, v, w: every member with a member, picked by hash, of each other component that the key's chosen one is in."""
     chosen = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(round)), "id", "label")).alias("c"), F.count("*").alias("n")).select("key", "n", F.col("c.id").alias("v"), F.col("c.label").alias("other"))
-    rows = joined_evenly(entries.drop("members"), chosen, "key", n).where("label <> other")
+    rows = few(joined_evenly(entries.drop("members"), chosen, "key", n).where("label <> other"), n)
     return rows.groupBy(F.col("id").alias("u"), "other").agg(F.min("v").alias("v")).select("u", "v", F.col("other").alias("w"))
 
 
@@ -229,21 +264,27 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     many = distinct.where("sig is not null")
     entries = many.select("id", "sig").mapInArrow(_keys, "key long, id long")
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    hubs = few(hubs, hubs.count())
     entries = joined_evenly(entries, hubs, "key", VALUES * many.count()).checkpoint()
-    bodies = _bodies(docs, many.join(entries.select("id").distinct(), "id").select("mark", "id")).checkpoint()
-    new = confirmed(entries.where("id > hub").groupBy(F.col("id").alias("u")).agg(F.min("hub").alias("v")).withColumn("w", F.col("v")), bodies).checkpoint()
-    labels, found = _linked(bodies.select("id", F.col("id").alias("label")), new), new
     n = entries.count()
+    entries = few(entries, n)
+    ids = entries.select("id").distinct().checkpoint()
+    m = ids.count()
+    ids = few(ids, m)
+    bodies = _bodies(docs, few(many.join(ids, "id").select("mark", "id"), m)).checkpoint()
+    new = confirmed(entries.where("id > hub").groupBy(F.col("id").alias("u")).agg(F.min("hub").alias("v")).withColumn("w", F.col("v")), bodies).checkpoint()
+    labels, found = _linked(ids.withColumn("label", F.col("id")), m, new), few(new, m)
     for k in range(ROUNDS):
         entries = _open(entries.select("key", "id"), n, labels).checkpoint()
         n, most = entries.agg(F.count("*"), F.max("members")).first()
+        entries = few(entries, n)
         if k == ROUNDS - 1 or (most or 0) <= MANY:
             break
         new = confirmed(_met(entries, n, k), bodies).checkpoint()
-        labels, found = _linked(labels, new), found.unionByName(new)
+        labels, found = _linked(labels, m, new), found.unionByName(few(new, m))
     # pairs are compared one by one across whole components only
     known = components(found.select("u", "v")).select(F.col("node").alias("id"), "root")
-    labels = bodies.select("id").join(known, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+    labels = few(ids.join(known, "id", "left").select("id", F.coalesce("root", "id").alias("label")), m)
     entries = _open(entries.select("key", "id"), n, labels).checkpoint()
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
@@ -254,8 +295,8 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     large = large.select("key", "id", "label", part.alias("part"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
     rows = whole.unionByName(large).join(many.select("id", "n_shingles", "sig"), "id")
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "label", "n_shingles", "sig")
-    last = dealt.mapInArrow(_compared, "u long, v long").withColumn("w", F.col("v"))
-    return found.unionByName(confirmed(last, bodies)).select("u", "v")
+    last = dealt.mapInArrow(_compared, "block long, u long, v long")
+    return found.select("u", "v").unionByName(confirmed_in_blocks(last, bodies))
 
 
 def minhash_components(docs: DataFrame) -> DataFrame:
@@ -273,8 +314,10 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     distinct = grouped.withColumn("id", F.monotonically_increasing_id()).checkpoint()
     found = components(links(distinct, docs))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("set", "low", F.col("n").alias("times"), F.coalesce("root", "id").alias("root")).checkpoint()
+    n = named.count()
+    named = few(named, n)
     least = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
-    member = joined_evenly(named, least, "root", named.count()).select("set", "component_id", F.col("times").alias("n"))
+    member = few(joined_evenly(named, least, "root", n).select("set", "component_id", F.col("times").alias("n")), n)
     linked = joined_evenly(full, member, "set", full.count()).select("doc_id", "n_shingles", "component_id")
     out = linked.unionByName(rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -101,3 +101,36 @@ def test_signatures_estimate_similarity():
 
 def test_empty_table(spark):
     assert m.minhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_set_goes_to_a_block_once_however_many_pairs_it_is_in(monkeypatch):
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(200) < 0.93], r.integers(0, 1 << 63, 6, dtype=np.uint64)))) for _ in range(60)]
+    sig = [m.signature(base).tobytes()] * 60
+    n = [len(x) for x in sets]
+    rows = m.pa.record_batch([[7 << 6] * 60, [0] * 60, [2] * 60, list(range(60)), list(range(60)), n, sig], names=["key", "part", "side", "id", "label", "n_shingles", "sig"])
+    for work in (1 << 22, 3000):
+        monkeypatch.setattr(m, "WORK", work)
+        pairs = m.pa.Table.from_batches([*m._compared([rows.slice(0, 25), rows.slice(25)])])
+        blocks = pairs.column("block").to_pylist()
+        assert pairs.num_rows == sum(100 * min(a, b) >= 85 * max(a, b) for k, a in enumerate(n) for b in n[:k])
+        assert len(set(blocks)) == (1 if work > 3000 else -(-sum(n[u] + n[v] for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist())) // work))
+        found = []
+        for b in set(blocks):
+            mine = pairs.filter(m.pa.array([x == b for x in blocks]))
+            ids = sorted({*mine.column("u").to_pylist(), *mine.column("v").to_pylist()})
+            members = m.pa.table({"at": [b] * len(ids), "id": ids, "shingles": [sets[k].view(np.int64) for k in ids]})
+            got = m._similar(mine, members)
+            found += zip(got.column("u").to_pylist(), got.column("v").to_pylist())
+        want = [(u, v) for u in range(60) for v in range(u + 1, 60) if 100 * (both := len(np.intersect1d(sets[u], sets[v]))) >= 85 * (n[u] + n[v] - both)]
+        assert sorted(found) == want and 0 < len(want) < pairs.num_rows
+
+
+def test_small_tables_have_few_partitions(spark):
+    from lodestore.llm.graph import components
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 7], "u long, v long").repartition(8)
+    found = components(edges)
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, found.collect())) == sorted((k + 1, k - k % 7 + 1) for k in range(40) if k % 7)
