@@ -10,10 +10,13 @@ Only distinct sets take part.  Similar sets need not be compared all with all, f
 1. every member of a key is checked against the key's smallest member, once for each member, and takes its label if they
    are linked.  While there are keys of many members with several labels, members are checked against one member of each
    other label that they meet;
-2. what then shares a key and is in different components of the links so far is compared pair by pair: by sizes and signatures first, each pair in
-   the first key it shares alone.  Keys of more than BLOCK members are compared block by block;
+2. what then shares a key and is in different components of the links so far is compared pair by pair: by sizes, signatures
+   and bins first, each pair in the first key it shares alone.  Keys of more than BLOCK members are compared block by block;
 3. components are those of all links together.
 
+Bins count the shingles of a set by the first bits of their hashes.  Two sets differ in at least as many shingles as their
+bins do, so what the bins rule out is never a link.  Of a large group of near copies they leave what is close to the threshold.
+
 Every link is confirmed by the shingle sets themselves, in 64-bit hashes of the shingles.
 """
 
@@ -38,6 +41,8 @@ CHUNKS, WIDTH = 9, 6
 VALUES = CHUNKS * WIDTH
 #: A set of so few shingles is linked with equal ones alone: one more shingle is already too many.
 FEW = math.ceil(PERCENT / (100 - PERCENT))
+#: Bits of a hash by which bins are told apart, at least and at most; a set has more than half as many bins as shingles between.
+BITS = 7, 12
 #: Members of a key that are compared in one task; larger keys go block by block, without a change of the result.
 BLOCK = 1024
 #: Keys of more members in several components are worth another round of checks against single members.
@@ -90,25 +95,49 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> U(48)).astype(np.uint16)
 
 
+def bins(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles begin with the same bits, modulo 256; larger sets are told apart by more bits."""
+    bits = min(max(BITS[0], (len(shingles) // 2).bit_length()), BITS[1])
+    return np.bincount((shingles >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8)
+
+
+def _folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """The bins that fewer bits give."""
+    return counts if counts.shape[-1] == width else counts.reshape(*counts.shape[:-1], width, -1).sum(axis=-1, dtype=np.uint8)
+
+
+def apart(mine: bytes, theirs: list[bytes]) -> np.ndarray:
+    """Shingles that are in one of two sets alone, at least: the sum of the differences of their bins."""
+    x, widths, least = np.frombuffer(mine, np.uint8), np.fromiter(map(len, theirs), np.int64, len(theirs)), np.zeros(len(theirs), np.int64)
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        y = np.frombuffer(b"".join([theirs[k] for k in at.tolist()]), np.uint8).reshape(-1, w)
+        n = min(w, len(x))
+        # counts modulo 256 differ by their distance on a circle at least
+        least[at] = np.abs((_folded(y, n) - _folded(x, n)).view(np.int8).astype(np.int16)).sum(axis=1)
+    return least
+
+
 def _bytes(column: pa.Array):
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.cast(pa.binary()))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, n_shingles, set (128 bits by which equal sets are found; null for an empty one), sig (null for few shingles)."""
+    """doc_id, mark, n_shingles, set (128 bits by which equal sets are found; null for an empty one), sig and bins (null for few shingles)."""
 
     def f(batches):
         for b in batches:
-            sets, sigs, sizes = [], [], []
+            sets, sigs, counts, sizes = [], [], [], []
             for t in _bytes(b.column("text")):
                 s = shingle_set(t)
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) >= FEW else None)
-            yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "mark", "n_shingles", "set", "sig"])
+                counts.append(bins(s).tobytes() if len(s) >= FEW else None)
+            yield pa.record_batch([b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (sets, sigs, counts)]], names=["doc_id", "mark", "n_shingles", "set", "sig", "bins"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_mark().alias("mark"))
-    return rows.mapInArrow(f, "doc_id long, mark string, n_shingles long, set binary, sig binary")
+    return rows.mapInArrow(f, "doc_id long, mark string, n_shingles long, set binary, sig binary, bins binary")
 
 
 def _keys(batches):
@@ -135,19 +164,28 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * WIDTH + differ[np.arange(len(differ)), chunk].argmax(axis=1)
 
 
-def _pairs_of_group(key: int, id: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray, sig: np.ndarray):
-    """u, v and shingles of both, pairs across components: of the sides 0 and 1, or of those of side 2 among themselves."""
+def _pairs_of_group(key: int, id: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray, sig: np.ndarray, counts: list[bytes]):
+    """u, v and shingles of both, pairs across components: of the sides 0 and 1, or of those of side 2 among themselves.
+
+    counts: their bins, if any; pairs that these rule out are left out.
+    """
     right = np.flatnonzero(side > 0)
     for x in np.flatnonzero(side != 1).tolist():
         y = right[right > x] if side[x] == 2 else right
         y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x]))]
         y = y[(sig[y] != sig[x]).sum(axis=1) <= FAR]
         y = y[first_shared(sig[y], np.broadcast_to(sig[x], (len(y), VALUES))) == key & 63]
+        if counts and len(y):
+            total = size[y] + size[x]
+            y = y[(100 + PERCENT) * (total - apart(counts[x], [counts[k] for k in y.tolist()])) >= 2 * PERCENT * total]
         yield np.full(len(y), id[x]), id[y], size[y] + size[x]
 
 
 def _compared(batches):
-    """Pairs of rows (key, part, side, id, label, n_shingles, sig) that come sorted by key and part, in blocks of about WORK shingles."""
+    """Pairs of rows (key, part, side, id, label, n_shingles, sig, bins) that come sorted by key and part, in blocks of about WORK shingles.
+
+    Without the column bins no pair is left out for them.
+    """
     rest, block, done = None, None, 0
 
     def pairs(rows: pa.Table, last: bool):
@@ -159,7 +197,8 @@ def _compared(batches):
         cut = cut if last else cut[:-1]
         columns = [rows.column(c).to_numpy() for c in ("id", "label", "n_shingles", "side")]
         sig = np.array([np.frombuffer(s, np.uint16) for s in rows.column("sig").to_pylist()], np.uint16)
-        found = [p for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in _pairs_of_group(int(key[i]), *[c[i:j] for c in columns], sig[i:j])]
+        counts = rows.column("bins").to_pylist() if "bins" in rows.column_names else []
+        found = [p for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in _pairs_of_group(int(key[i]), *[c[i:j] for c in columns], sig[i:j], counts[i:j])]
         u, v, work = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
         upto = done + np.cumsum(work)
         numbers = block + (upto - work) // WORK
@@ -260,7 +299,7 @@ def _met(entries: DataFrame, n: int, round: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """u, v: links between distinct(id, mark, n_shingles, sig), enough of them to connect what is connected."""
+    """u, v: links between distinct(id, mark, n_shingles, sig, bins), enough of them to connect what is connected."""
     many = distinct.where("sig is not null")
     entries = many.select("id", "sig").mapInArrow(_keys, "key long, id long")
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").checkpoint()
@@ -293,8 +332,8 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
     large = large.select("key", "id", "label", part.alias("part"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
-    rows = whole.unionByName(large).join(many.select("id", "n_shingles", "sig"), "id")
-    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "label", "n_shingles", "sig")
+    rows = whole.unionByName(large).join(many.select("id", "n_shingles", "sig", "bins"), "id")
+    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "label", "n_shingles", "sig", "bins")
     last = dealt.mapInArrow(_compared, "block long, u long, v long")
     return found.select("u", "v").unionByName(confirmed_in_blocks(last, bodies))
 
@@ -310,7 +349,7 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     shared_folder(docs.sparkSession)
     rows = signatures(docs).checkpoint()
     full = rows.where("set is not null")
-    grouped = full.groupBy("set").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    grouped = full.groupBy("set").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bins").alias("bins"))
     distinct = grouped.withColumn("id", F.monotonically_increasing_id()).checkpoint()
     found = components(links(distinct, docs))
     named = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("set", "low", F.col("n").alias("times"), F.coalesce("root", "id").alias("root")).checkpoint()

@@ -140,3 +140,33 @@ def test_small_tables_have_few_partitions(spark):
     finally:
         spark.conf.set(name, before)
     assert sorted(map(tuple, found.collect())) == sorted((k + 1, k - k % 7 + 1) for k in range(40) if k % 7)
+
+
+def test_bins_never_rule_out_a_link():
+    r = np.random.default_rng(7)
+    for n in (7, 150, 300, 1000, 9000, 1_200_000):
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for part in (0.5, 0.8, 0.9, 0.99):
+            a = base[r.random(len(base)) < part]
+            b = np.unique(np.concatenate((base[r.random(len(base)) < part], r.integers(0, 1 << 63, n // 10, dtype=np.uint64))))
+            x, y = m.bins(a).tobytes(), m.bins(b).tobytes()
+            differ = len(np.setxor1d(a, b))
+            assert m.apart(x, [y, x, y]).tolist() == [k := int(m.apart(y, [x])[0]), 0, k]
+            assert k <= differ and (n > 1000 or n < 150 or k > differ / 2)
+
+
+def test_near_copies_below_the_threshold_are_few_pairs(spark, monkeypatch):
+    """Copies of one text, each with edits of its own, share keys with each other but few links."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for d in range(160):
+        w = list(base)
+        for k in r.sample(range(150), r.randrange(1, 6)):
+            w[k] = f"x{r.randrange(10**9)}"
+        rows.append((d, " ".join(w)))
+    made, confirmed = [], m.confirmed_in_blocks
+    monkeypatch.setattr(m, "confirmed_in_blocks", lambda pairs, bodies: (made.append(pairs.count()), confirmed(pairs, bodies))[1])
+    got = m.minhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert made[0] <= len(rows) < len({x.component_id for x in got}) ** 2 / 2
