@@ -11,7 +11,8 @@ Only distinct sets take part.  Similar sets need not be compared all with all, f
    are linked.  While there are keys of many members with several labels, members are checked against one member of each
    other label that they meet;
 2. what then shares a key and is in different components of the links so far is compared pair by pair: by sizes, signatures
-   and bins first, each pair in the first key it shares alone.  Keys of more than BLOCK members are compared block by block;
+   and bins first, each pair in the first key it shares alone.  Keys of more than BLOCK members are compared block by block.
+   If there still are keys of more than CROWD members, each is first checked against the likest one of another component alone;
 3. components are those of all links together.
 
 Bins count the shingles of a set by the first bits of their hashes.  Two sets differ in at least as many shingles as their
@@ -47,6 +48,8 @@ BITS = 7, 12
 BLOCK = 1024
 #: Keys of more members in several components are worth another round of checks against single members.
 MANY, ROUNDS = 64, 3
+#: Of more members still, worth a check of each member against its nearest one.
+CROWD = 256
 #: Up to so many pairs are broadcast to the sets; more are joined by a shuffle.
 FEW_PAIRS = 100_000
 #: Shingles of the sets of both sides, pair by pair, that a block of pairs comes to.
@@ -181,38 +184,63 @@ def _pairs_of_group(key: int, id: np.ndarray, label: np.ndarray, size: np.ndarra
         yield np.full(len(y), id[x]), id[y], size[y] + size[x]
 
 
-def _compared(batches):
-    """Pairs of rows (key, part, side, id, label, n_shingles, sig, bins) that come sorted by key and part, in blocks of about WORK shingles.
+def _groups(batches):
+    """Rows that come sorted by key and part, some whole groups at a time: for each group key, ids and what else a pair is judged by."""
 
-    Without the column bins no pair is left out for them.
-    """
-    rest, block, done = None, None, 0
-
-    def pairs(rows: pa.Table, last: bool):
-        nonlocal block, done
-        key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
-        # tasks differ in their first key; what two of them number alike is one larger block
-        block = (int(key[0]) & ((1 << 42) - 1)) << 20 if block is None else block
-        cut = np.append(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))), len(key))
-        cut = cut if last else cut[:-1]
+    def of(rows: pa.Table, cut: list[int]):
+        key = rows.column("key").to_numpy()
         columns = [rows.column(c).to_numpy() for c in ("id", "label", "n_shingles", "side")]
-        sig = np.array([np.frombuffer(s, np.uint16) for s in rows.column("sig").to_pylist()], np.uint16)
-        counts = rows.column("bins").to_pylist() if "bins" in rows.column_names else []
-        found = [p for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in _pairs_of_group(int(key[i]), *[c[i:j] for c in columns], sig[i:j], counts[i:j])]
-        u, v, work = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
-        upto = done + np.cumsum(work)
-        numbers = block + (upto - work) // WORK
-        done = int(upto[-1]) if len(upto) else done
-        return pa.record_batch([pa.array(x, pa.int64()) for x in (numbers, u, v)], names=["block", "u", "v"]), rows.slice(int(cut[-1]))
+        columns.append(np.array([np.frombuffer(s, np.uint16) for s in rows.column("sig").to_pylist()], np.uint16))
+        columns.append(rows.column("bins").to_pylist() if "bins" in rows.column_names else [])
+        return [(int(key[i]), *[c[i:j] for c in columns]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
+    rest = None
     for b in batches:
         rows = pa.Table.from_batches([b])
         rows = rows if rest is None else pa.concat_tables([rest, rows])
         if rows.num_rows:
-            out, rest = pairs(rows, False)
-            yield out
+            key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))).tolist()
+            yield of(rows, cut)
+            rest = rows.slice(cut[-1])
     if rest is not None and rest.num_rows:
-        yield pairs(rest, True)[0]
+        yield of(rest, [0, rest.num_rows])
+
+
+def _compared(batches):
+    """Pairs of rows (key, part, side, id, label, n_shingles, sig, bins) that come sorted by key and part, in blocks of about WORK shingles.
+
+    Without the column bins no pair is left out for them.
+    """
+    block, done = None, 0
+    for groups in _groups(batches):
+        found = [p for g in groups for p in _pairs_of_group(*g)]
+        if found:
+            # tasks differ in their first key; what two of them number alike is one larger block
+            block = (groups[0][0] & ((1 << 42) - 1)) << 20 if block is None else block
+            u, v, work = (np.concatenate(x) for x in zip(*found, strict=True))
+            upto = done + np.cumsum(work)
+            numbers = block + (upto - work) // WORK
+            done = int(upto[-1]) if len(upto) else done
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (numbers, u, v)], names=["block", "u", "v"])
+
+
+def _nearest(batches):
+    """For each row (as of _compared) at most one pair u, v, w (the label of v), d: with the likest signature, d values apart, in another component."""
+    for groups in _groups(batches):
+        found = [np.zeros((0, 4), np.int64)]
+        for key, ids, label, size, side, sig, counts in groups:
+            far, other = np.full(len(ids), VALUES + 1), np.zeros(len(ids), np.int64)
+            for x, y, _ in _pairs_of_group(key, np.arange(len(ids)), label, size, side, sig, counts):
+                if len(y):
+                    d = (sig[y] != sig[x]).sum(axis=1)
+                    closer = d < far[y]
+                    far[y[closer]], other[y[closer]] = d[closer], x[0]
+                    if d.min() < far[x[0]]:
+                        far[x[0]], other[x[0]] = d.min(), y[d.argmin()]
+            at = np.flatnonzero(far <= VALUES)
+            found.append(np.stack((ids[at], ids[other[at]], label[other[at]], far[at]), axis=1))
+        yield pa.record_batch([pa.array(x) for x in np.concatenate(found).T.copy()], names=["u", "v", "w", "d"])
 
 
 def _similar(pairs: pa.Table, members: pa.Table) -> pa.Table:
@@ -298,6 +326,19 @@ def _met(entries: DataFrame, n: int, round: int) -> DataFrame:
     return rows.groupBy(F.col("id").alias("u"), "other").agg(F.min("v").alias("v")).select("u", "v", F.col("other").alias("w"))
 
 
+def _dealt(entries: DataFrame, many: DataFrame) -> DataFrame:
+    """The entries(key, id, label, members), sorted by key and part, with what pairs are judged by; a key of more than BLOCK members in several parts."""
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    whole = entries.where(F.col("members") <= BLOCK).select("key", "id", "label", F.lit(0).alias("part"), F.lit(2).alias("side"))
+    large = entries.where(F.col("members") > BLOCK).withColumn("parts", parts).withColumn("mine", mine)
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
+    large = large.select("key", "id", "label", part.alias("part"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
+    rows = whole.unionByName(large).join(many.select("id", "n_shingles", "sig", "bins"), "id")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "label", "n_shingles", "sig", "bins")
+
+
 def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """u, v: links between distinct(id, mark, n_shingles, sig, bins), enough of them to connect what is connected."""
     many = distinct.where("sig is not null")
@@ -325,16 +366,15 @@ def links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     known = components(found.select("u", "v")).select(F.col("node").alias("id"), "root")
     labels = few(ids.join(known, "id", "left").select("id", F.coalesce("root", "id").alias("label")), m)
     entries = _open(entries.select("key", "id"), n, labels).checkpoint()
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    whole = entries.where(F.col("members") <= BLOCK).select("key", "id", "label", F.lit(0).alias("part"), F.lit(2).alias("side"))
-    large = entries.where(F.col("members") > BLOCK).withColumn("parts", parts).withColumn("mine", mine)
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    part = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
-    large = large.select("key", "id", "label", part.alias("part"), F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"))
-    rows = whole.unionByName(large).join(many.select("id", "n_shingles", "sig", "bins"), "id")
-    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "side", "id", "label", "n_shingles", "sig", "bins")
-    last = dealt.mapInArrow(_compared, "block long, u long, v long")
+    n, most = entries.agg(F.count("*"), F.max("members")).first()
+    if (most or 0) > CROWD:
+        # first each with its nearest: what that connects need not be compared all with all
+        near = _dealt(entries, many).mapInArrow(_nearest, "u long, v long, w long, d long").groupBy("u", "w").agg(F.min(F.struct("d", "v")).alias("c"))
+        found = found.unionByName(few(confirmed(near.select("u", F.col("c.v").alias("v"), "w"), bodies).checkpoint(), m))
+        known = components(found.select("u", "v")).select(F.col("node").alias("id"), "root")
+        labels = few(ids.join(known, "id", "left").select("id", F.coalesce("root", "id").alias("label")), m)
+        entries = _open(few(entries, n).select("key", "id"), n, labels).checkpoint()
+    last = _dealt(entries, many).mapInArrow(_compared, "block long, u long, v long")
     return found.select("u", "v").unionByName(confirmed_in_blocks(last, bodies))
 
 

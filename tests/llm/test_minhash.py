@@ -170,3 +170,32 @@ def test_near_copies_below_the_threshold_are_few_pairs(spark, monkeypatch):
     got = m.minhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     assert made[0] <= len(rows) < len({x.component_id for x in got}) ** 2 / 2
+
+
+def test_nearest_makes_a_row_a_member_at_most():
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(200) < 0.96], r.integers(0, 1 << 63, 4, dtype=np.uint64)))) for _ in range(50)]
+    n, sig = [len(x) for x in sets], [m.signature(x) for x in sets]
+    label = [k % 5 for k in range(50)]
+    for side in ([2] * 50, [k % 2 for k in range(50)]):
+        rows = [m.pa.record_batch([[key] * 50, [0] * 50, side, list(range(50)), label, n, [x.tobytes() for x in sig]], names=["key", "part", "side", "id", "label", "n_shingles", "sig"]) for key in range(m.VALUES)]
+        pairs = m.pa.Table.from_batches([*m._compared(rows)])
+        near = m.pa.Table.from_batches([*m._nearest(rows)])
+        far = {}
+        for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist()):
+            d = int((sig[u] != sig[v]).sum())
+            far |= {x: min(d, far.get(x, 99)) for x in (u, v)}
+        got = {}
+        for x in near.to_pylist():
+            assert x["w"] == label[x["v"]] != label[x["u"]] and x["d"] == (sig[x["u"]] != sig[x["v"]]).sum()
+            got[x["u"]] = min(x["d"], got.get(x["u"], 99))
+        assert got == far and near.num_rows < pairs.num_rows
+
+
+def test_nearest_first(spark, monkeypatch):
+    for name, value in (("BLOCK", 3), ("ROUNDS", 1), ("CROWD", 1)):
+        monkeypatch.setattr(m, name, value)
+    rows = rows_of(3, groups=6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, m.minhash_components(df).collect()), key=str) == brute(rows)
